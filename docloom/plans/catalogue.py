@@ -1,0 +1,4 @@
+"""Registered queries for the operators of this library, each with its SQL where SQL can express it."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
