@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, substring_dedup
+from . import bpe, decontaminate, jaccard_join, line_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_file() -> str:
+    """The tokenizer's path is a parameter of the operator; queries take the installed public one."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark, _table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_bpe": op7_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
 }
