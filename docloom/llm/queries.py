@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, substring_dedup, warc
+from . import bpe, decontaminate, html_text, jaccard_join, licenses, line_dedup, quality, secrets, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(spark, _table(spark, sf_dir, "documents").select("doc_id", "source", "text")).filter("is_secret")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(spark, _table(spark, sf_dir, "documents"))
 
@@ -51,6 +63,9 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op1_html_text": op1_html_text,
     "op10_warc": op10_warc,
+    "op2_secrets": op2_secrets,
+    "op6_licenses": op6_licenses,
+    "op9_quality": op9_quality,
     "op4_decontaminate": op4_decontaminate,
     "op7_bpe": op7_bpe,
     "op5_line_dedup": op5_line_dedup,
