@@ -8,7 +8,9 @@ pair is counted in each of a few wider fragments separately and summed per pair.
 
 Groups of near copies are not expanded into pairs.  Equal sets are one class from the start.  In
 each bucket all classes are first compared with two leaders; then only classes of one bucket that lie in
-different components yet are compared with each other, which no link escapes.
+different components yet are compared with each other, which no link escapes.  Before that a bound
+rules pairs out: sets that differ in d shingles differ in d bits at most of their parity sketches (a
+bit for each of SKETCH_BITS ranges of the order, that of the count of shingles in it).
 
 Nulls and empty texts have no shingles (n_shingles 0) and are a component of their own.  Repeated
 rows give repeated rows; a doc_id with several texts links each of them.  A null doc_id links by its
@@ -29,6 +31,7 @@ U = np.uint64
 WORDS = 3
 #: wider fragments in which overlaps are counted
 COUNT_FRAGMENTS = 4
+SKETCH_BITS = 1024
 CHUNK_ROWS = 1 << 21
 LEVELS_OF_HASHES = 6
 
@@ -162,20 +165,26 @@ def _signature_rows(batches):
         yield flush()
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> U(64 - 10)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _segment_rows(batches):
     for batch in batches:
         for _, _, buf, off in B.text_slices(batch.column(0)):
             s, n = shingle_sets(buf, off)
             keys, a = class_keys(s, n), 0
-            key, frag, seg = [], [], []
+            key, frag, seg, sketch = [], [], [], []
             for i, c in enumerate(n):
                 cuts = np.searchsorted(s[a : a + c] >> U(32), [U(f * (1 << 32) // COUNT_FRAGMENTS) for f in range(1, COUNT_FRAGMENTS)])
                 for f, x in enumerate(np.split(s[a : a + c], cuts)):
                     key.append(keys[i])
                     frag.append(f)
                     seg.append(x.view(np.int64))
+                    sketch.append(None if f else parity_sketch(s[a : a + c]))
                 a += c
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], ["key", "frag", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "frag", "seg", "sketch"])
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -197,36 +206,43 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     rows = base.select("text").mapInArrow(_signature_rows, "sig long, key long, n long, lead long")
     follows = F.col("lead").isNotNull() & (F.col("lead") != F.col("key"))
-    by = Window.partitionBy(F.when(follows, F.xxhash64("key", "sig")).otherwise(F.col("sig")), follows)
-    shared = rows.withColumn("low", F.min("key").over(by)).withColumn("high", F.max("key").over(by))
+    # followers need no bucket: they are dealt by a hash of their own
+    rows = rows.withColumn("follows", F.coalesce(follows, F.lit(False))).withColumn("bucket", F.when(F.col("follows"), F.xxhash64("key", "sig")).otherwise(F.col("sig")))
+    by = Window.partitionBy("bucket", "follows")
+    shared = rows.select("sig", "key", "n", "lead", "follows", F.min("key").over(by).alias("low"), F.max("key").over(by).alias("high"))
     shared = shared.filter(F.col("lead").isNotNull() | (F.col("low") != F.col("high")))
-    shared = scratch.cut(
-        shared.select("sig", "key", "n", F.when(follows, F.col("lead")).otherwise(F.col("low")).alias("low"), F.when(follows, F.col("lead")).otherwise(F.col("high")).alias("high")),
-        "shared",
-    )
+    to = lambda c: F.when(F.col("follows"), F.col("lead")).otherwise(F.col(c)).alias(c)
+    shared = scratch.cut(shared.select("sig", "key", "n", "follows", to("low"), to("high")), "shared")
     stars = shared.select("key", F.explode(F.array("low", "high")).alias("other")).filter("key <> other")
     tried = scratch.cut(stars.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "stars")
 
     members = shared.select("key").distinct()
     wanted = sizes.join(members, "key", "left_semi").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("wanted"))
     texts = base.withColumn("wanted", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted, "wanted", "left_semi")
-    segments = scratch.cut(texts.select("text").mapInArrow(_segment_rows, "key long, frag int, seg array<long>").dropDuplicates(["key", "frag"]), "segments")
-    count = sizes.select("key", "n")
+    segments = scratch.cut(texts.select("text").mapInArrow(_segment_rows, "key long, frag int, seg array<long>, sketch array<long>").dropDuplicates(["key", "frag"]), "segments")
+    sketches = segments.filter("frag = 0").select("key", "sketch").join(sizes.select("key", "n"), "key")
+    differing = "+".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
+    possible = f"10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n) and {differing} <= (x.n + y.n) div 19"
 
     def linked(pairs: DataFrame) -> DataFrame:
-        x = overlaps(pairs, segments)
-        x = x.join(count.withColumnRenamed("n", "na"), x.a == F.col("key")).drop("key").join(count.withColumnRenamed("n", "nb"), F.col("b") == F.col("key")).drop("key")
-        return x.filter("100 * common >= 90 * (na + nb - common)").select("a", "b")
+        got = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
+        return got.filter("100 * common >= 90 * (na + nb - common)").select("a", "b")
 
-    links = scratch.cut(linked(tried), "links-1")
+    x = sketches.select(F.col("key").alias("a"), F.struct("sketch", "n").alias("x"))
+    y = sketches.select(F.col("key").alias("b"), F.struct("sketch", "n").alias("y"))
+    near = scratch.cut(tried.join(x, "a").join(y, "b").filter(possible).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "near-1")
+    links = scratch.cut(linked(near), "links-1")
     part = components(links, scratch, "parts-1")
-    at = shared.select("sig", "key", "n").distinct().join(part, shared.key == part.node, "left").select("sig", "key", "n", F.coalesce("component", "key").alias("c"))
+    # all pairs of a bucket of three have met: its lowest and highest have met each one
+    at = shared.select("sig", "key", "n", "follows").join(part, shared.key == part.node, "left").select("sig", "key", "n", "follows", F.coalesce("component", "key").alias("c"))
     at = scratch.cut(at, "at")
-    mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("sig")
-    at = scratch.cut(at.join(mixed, "sig", "left_semi"), "mixed")
+    mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), F.max("follows").alias("f")).filter("c0 <> c1 and (m > 3 or f)").select("sig")
+    at = at.join(mixed, "sig", "left_semi").drop("n").join(sketches, "key").select("sig", "key", "n", "c", "sketch")
+    at = scratch.cut(at, "mixed")
     x, y = at.alias("x"), at.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & F.expr("10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)"))
-    across = across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & F.expr(possible))
+    across = across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.when(F.expr("x.key < y.key"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.expr("x.key < y.key"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
+    across = scratch.cut(across.distinct().join(tried, ["a", "b"], "left_anti"), "near-2")
     more = scratch.cut(linked(across), "links-2")
     if more.limit(1).count():
         part = components(links.unionByName(more), scratch, "parts-2")
