@@ -178,20 +178,24 @@ def codec(path: str) -> Codec:
     return _held[path]
 
 
-def token_digests(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """docs' other columns, with n_tokens, ids_sha256 and decoded_sha256."""
+def token_digests(docs: DataFrame, tokenizer: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """docs' other columns, with n_tokens, ids_sha256 and decoded_sha256, and token_ids if asked for."""
     rest = [c for c in docs.columns if c != text_col]
+    names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
+    types = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
 
     def rows(batches):
         c = codec(tokenizer)
         for batch in batches:
-            out = [(len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b.tobytes()).hexdigest()) for i, b in c.encode_texts(batch.column(batch.num_columns - 1))]
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = []
+            for i, b in c.encode_texts(batch.column(1)):
+                out.append((len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b.tobytes()).hexdigest()) + ((i.astype(np.int32),) if with_ids else ()))
+            cols = list(zip(*out)) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{text_col}`").alias("__text"))
-    done = packed.mapInArrow(rows, f"row {packed.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "n_tokens", "ids_sha256", "decoded_sha256")
+    done = packed.mapInArrow(rows, f"row {packed.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], *names[1:])
 
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:

@@ -35,9 +35,10 @@ LOOK_UP = 48
 _BLANK = r"[\\x20\\x09-\\x0D]"
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum, the counts and the features in GRID for each row of docs."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(text_col, F.lit("")).alias("text"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: bool = False) -> DataFrame:
+    """doc_id, stratum, the counts and the features in GRID for each row of docs; the row too if carry."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None)
+    d = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(text_col, F.lit("")).alias("text"))
     d = d.withColumns(
         {
             "w": F.expr(rf"filter(split(text, '{_BLANK}+'), x -> x <> '')"),
@@ -45,7 +46,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         }
     )
     d = d.select(
-        "doc_id", "stratum", "w",
+        "row", "doc_id", "stratum", "w",
         F.expr("cast(size(w) as bigint)").alias("n_words"),
         F.expr(rf"cast(length(regexp_replace(text, '{_BLANK}+', '')) as bigint)").alias("word_chars"),
         F.expr("cast(regexp_count(text, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
@@ -65,6 +66,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     ).drop("pairs", "twice")
     d = d.withColumn("n_repeat_words", F.expr("coalesce(aggregate(transform(at, (x, j) -> if(j + 1 < size(at), least(3, at[j + 1] - x), 3)), 0L, (a, x) -> a + x), 0L)")).drop("at")
     share = lambda a, b: (F.col(a) / F.greatest(F.lit(1), F.col(b)))
+    d = d if carry else d.drop("row")
     return d.withColumns({"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "upper_share": share("n_upper", "word_chars")})
 
 
@@ -96,13 +98,32 @@ def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
     return tests.select("stratum", "feature", F.expr("if(last >= 0, grid[cast(last as int)], null)").alias("cutoff"), F.col("n").alias("n_good"), F.expr("if(last >= 0, k[cast(last as int)], 0L)").alias("n_rejected"))
 
 
+def _judged(measured: DataFrame, rules: DataFrame) -> DataFrame:
+    """measured with base_failed and kept."""
+    base = "n_words < %d or 100 * n_repeat_words > 50 * n_words" % MIN_WORDS
+    beyond = " or ".join(f"coalesce({f} > max_{f}, false)" for f in GRID)
+    return measured.join(rules, F.col("stratum") == F.col("s2"), "left").withColumn("base_failed", F.expr(base)).withColumn("kept", F.expr(f"not base_failed and not ({beyond})"))
+
+
+def _rules(measured: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per stratum, a cutoff per feature."""
+    per = fit(measured, labels).filter("cutoff is not null")
+    return scratch.cut(per.groupBy(F.col("stratum").alias("s2")).agg(*[F.max(F.when(F.col("feature") == f, F.col("cutoff"))).alias(f"max_{f}") for f in GRID]), "rules")
+
+
 def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for each row of docs."""
     scratch = Scratch(spark)
     measured = scratch.cut(features(docs), "features")
-    rules = fit(measured, labels).filter("cutoff is not null").groupBy(F.col("stratum").alias("s2")).agg(*[F.max(F.when(F.col("feature") == f, F.col("cutoff"))).alias(f"max_{f}") for f in GRID])
-    rules = scratch.cut(rules, "rules")
-    base = "n_words < %d or 100 * n_repeat_words > 50 * n_words" % MIN_WORDS
-    beyond = " or ".join(f"coalesce({f} > max_{f}, false)" for f in GRID)
-    got = measured.join(rules, F.col("stratum") == F.col("s2"), "left").withColumn("base_failed", F.expr(base)).withColumn("kept", F.expr(f"not base_failed and not ({beyond})"))
+    got = _judged(measured, _rules(measured, labels, scratch))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def kept_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep.  Texts are not shuffled: they are measured a second time instead."""
+    scratch = Scratch(spark)
+    measured = scratch.cut(features(docs), "features")
+    got = _judged(features(docs, carry=True), _rules(measured, labels, scratch))
+    # a filter is not pushed through inline(); pushed down, it would repeat the features' expressions
+    got = got.select(F.inline(F.array(F.struct("row", "kept")))).filter("kept")
+    return got.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
