@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, jaccard_join, licenses, line_dedup, quality, secrets, substring_dedup, warc
+from . import bpe, decontaminate, html_text, jaccard_join, licenses, line_dedup, oracles, quality, secrets, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,4 +78,11 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": oracles.DECONTAMINATE,
+    "op5_line_dedup": oracles.LINES,
+    "op6_licenses": oracles.LICENSES,
+    "op8_jaccard_join": oracles.JACCARD,
+    "op9_quality": oracles.QUALITY,
+    "op10_warc": oracles.WARC,
+}
