@@ -1,0 +1,231 @@
+"""Extraction, quality, licences, decontamination, BPE, WARC and secrets on small and odd inputs."""
+
+import hashlib
+import io
+import random
+import re
+from math import comb
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import bpe, decontaminate, html_text, licenses, quality, secrets, warc
+from docloom.llm.queries import tokenizer_file
+
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, None), (2, "", "en", "", 0), (3, "  \n \t", "en", "s", 5), (4, "one", "en", "s", 3), (4, "one", "en", "s", 3), (None, "no id but words", None, "s", 1), (5, "a b " * 20000, "fr", "s", 9), (6, "é " * 300, "de", "s", 9)]
+
+
+# --- 1 -------------------------------------------------------------------------------------------
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><p>The site's own header</p></header><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>
+<div class="cookie-notice">We use cookies and other things to follow you around.</div>
+<article><h1>A title &amp; more</h1><p>First paragraph, <b>bold<br>and</b> broken.<p>Second&nbsp;one.
+<div class="ad">Buy our things, they are the best things you can buy.</div><p>Short.</p></article>
+<aside>Elsewhere</aside><section id="comments"><p>I like it</p></section><form><label>Mail</label></form><footer>&copy; us</footer></body></html>"""
+
+
+def test_main_text_keeps_the_article_alone():
+    assert html_text.main_text(PAGE) == "A title & more\nFirst paragraph, bold and broken.\nSecond one.\nShort."
+
+
+def test_main_text_without_article_element_uses_line_blocks():
+    para = "This is a long paragraph of the text that the page is about, with many words in it."
+    page = f"<body><div class=menu><a href=1>One</a> <a href=2>Two</a></div><div><p>{para}</p><p>{para}</p></div><div><a href=3>More</a></div></body>"
+    assert html_text.main_text(page) == f"{para}\n{para}"
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>x</", "plain text", "<!-- never closed", "<script>never closed", "<div " * 50, "</p></div>", "<a href='x", "&#xD800;&#0;&bogus;"])
+def test_main_text_never_raises(page):
+    assert isinstance(html_text.main_text(page), str)
+
+
+def test_main_text_of_a_very_long_page():
+    text = html_text.main_text("<article>" + "<p>word word word</p>" * 50000 + "</article>")
+    assert text.count("\n") == 49999
+
+
+def test_extract_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Hello there</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, row string")
+    assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "u", "x", "Hello there"), (2, None, "y", "")]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+# --- 9 -------------------------------------------------------------------------------------------
+def brute_quality(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    hit = {p for v in at.values() if len(v) > 1 for i in v for p in range(i, i + 3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_counts_agree_with_brute_force(spark):
+    r = random.Random(1)
+    rows = ODD + [(100 + i, "".join(r.choice(["a", "b", "c", "#", " ", " ", "\n", "\t", "é"]) for _ in range(r.randint(0, 400))), "en", "s", 1) for i in range(150)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = sorted((tuple(x) for x in quality.verdicts(spark, df, labels).collect()), key=repr)
+    want = []
+    for i, t, *_ in rows:
+        b = brute_quality(t)
+        bad = b[0] < 50 or 100 * b[4] > 50 * b[0]
+        want.append((i, *b, bad, not bad))
+    assert got == sorted(want, key=repr)
+
+
+def test_binomial_tail_is_exact(spark):
+    for k, n, p in [(0, 10, 0.1), (3, 100, 0.05), (7, 1000, 0.0125), (40, 5000, 0.0125)]:
+        got = spark.sql(f"SELECT {quality.binomial_tail('k', 'n', f'{p}D')} AS x FROM (SELECT {k}L AS k, {n}L AS n)").first().x
+        want = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_cutoffs_hold_the_limit_on_other_documents(spark):
+    r = random.Random(2)
+
+    def doc(i, bad):
+        words = ["w%d" % r.randint(0, 9999) for _ in range(80)]
+        return (i, " ".join(w + ("###" if bad or r.random() < 0.02 else "") for w in words), "en", "s", 1)
+
+    rows = [doc(i, i % 4 == 0) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 3000)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, DOCS)
+    kept = {x.doc_id for x in quality.verdicts(spark, df, labels).filter("kept").collect()}
+    good = {i for i in range(3000) if i % 4}
+    assert len(good - kept) <= quality.ALPHA * len(good)
+    assert not kept - good
+    assert {x.doc_id for x in quality.kept_documents(spark, df, labels).collect()} == kept
+
+
+# --- 6 -------------------------------------------------------------------------------------------
+def test_licences_by_sentence_sequences(spark):
+    mit = " ".join(s[0] + "." for s in (licenses.SENTENCES["mit-grant"], licenses.SENTENCES["mit-notice"], licenses.SENTENCES["as-is"]))
+    rows = [(1, "Words here. Released under the MIT License. More words."), (2, mit), (3, "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3."), (4, "the licence of the poets"), (5, None), (6, ""), (7, ". ".join(reversed([s[0] for s in (licenses.SENTENCES["bsd-grant"], licenses.SENTENCES["bsd-source"], licenses.SENTENCES["bsd-binary"])])))]
+    got = {r.doc_id: (r.n_license_sentences, r.licenses) for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, "MIT"), 2: (3, "MIT"), 3: (2, "GPL-3.0-only,CC-BY-NC-4.0"), 4: (0, ""), 5: (0, ""), 6: (0, ""), 7: (3, "")}
+
+
+def test_every_known_sentence_has_a_hint():
+    assert all(any(h in s for h in licenses.HINTS) for every in licenses.SENTENCES.values() for s in every)
+
+
+# --- 4 -------------------------------------------------------------------------------------------
+def brute_hits(text, items):
+    find = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (s or "").translate(LOW))
+    w, hit, got = find(text), set(), set()
+    for item, t in items:
+        x = find(t)
+        for a in range(max(1, len(x) - 9)) if x else ():
+            win = x[a : a + 10]
+            for p in range(len(w) - len(win) + 1):
+                if w[p : p + len(win)] == win:
+                    hit.update(range(p, p + len(win)))
+                    got.add(str(item))
+    return len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("shard", [decontaminate.SHARD_BYTES, 60])
+def test_decontamination_agrees_with_brute_force(spark, shard):
+    r = random.Random(3)
+    word = lambda: r.choice(["aa", "b", "Cé", "d", "x9"])
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 2, 3, 9, 10, 11, 14])))) for i in range(12)] + [(50, None), (51, ""), (51, "!!"), (None, "aa")]
+    docs = ODD + [(200 + i, r.choice([" ", ", ", "\n"]).join([word() for _ in range(r.randint(0, 60))] + [r.choice(items)[1] or ""]), "en", "s", 1) for i in range(60)]
+    df, bm = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan_documents(spark, df.select("doc_id", "text"), bm, shard_bytes=shard)
+    got = got.select("doc_id", "text", "hit.n_words", "hit.n_hit", F.size("hit.items").alias("n"), F.sha2(F.array_join("hit.items", ",").cast("binary"), 256).alias("sha"), (F.col("hit.n_hit") > 0).alias("bad"))
+    own = [(i, t) for i, t in items if i is not None]
+    for x in got.collect():
+        assert tuple(x)[2:] == brute_hits(x.text, own)
+
+
+def test_decontamination_with_empty_tables(spark):
+    df, bm = spark.createDataFrame(ODD, DOCS), spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.report(spark, df, bm).filter("contaminated").count() == 0
+    assert decontaminate.report(spark, df.limit(0), bm).count() == 0
+
+
+def test_word_positions_map_to_bytes():
+    spans = decontaminate.word_bytes("Né, zwölf!")
+    assert ["Né, zwölf!".encode()[a:b].decode() for a, b in spans] == ["Né", "zwölf"]
+
+
+# --- 7 -------------------------------------------------------------------------------------------
+def test_bpe_agrees_with_the_library():
+    c, r = bpe.codec(tokenizer_file()), random.Random(4)
+    parts = ["a", "b", " ", "  ", "é", " ", "\n", "\t", "'s", "'LL", "!", "12", "<|endoftext|>", "世", " ", " th", "\x1c", "\x85", "😀", "́"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(800)]
+    texts += ["", "x" * 9000, "thequickfox" * 1500, "!" * 4000 + "'s", " " * 5000 + "x", "世界é" * 2000, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20000)), "x<|endoftext|>" * 500, "a b " * 20000]
+    for text, (ids, raw) in zip(texts, c.encode_texts(pa.array(texts)), strict=True):
+        want = c.tok.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want
+        assert raw.tobytes().decode() == c.tok.decode(want, skip_special_tokens=False) == text
+
+
+def test_tree_join_is_exact_at_any_cut():
+    c, r = bpe.codec(tokenizer_file()), random.Random(5)
+    for _ in range(200):
+        s = "".join(r.choice(["the", "re", "in", "q", "zz", "tion", "a"]) for _ in range(60))
+        k = r.randint(1, len(s) - 1)
+        enc = lambda x: [t.id for t in c.tok.model.tokenize(x)]
+        assert c.join(enc(s[:k]), enc(s[k:])) == enc(s)
+
+
+def test_bpe_digests_and_round_trip(spark):
+    df = spark.createDataFrame(ODD, DOCS).select("doc_id", "text")
+    got = bpe.token_digests(df, tokenizer_file()).collect()
+    assert sorted(x.decoded_sha256 for x in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in ODD)
+    back = bpe.decode(bpe.encode(df, tokenizer_file()), tokenizer_file(), text_col="back").collect()
+    assert all(x.back == (x.text or "") for x in back)
+
+
+# --- 10 ------------------------------------------------------------------------------------------
+def test_warc_round_trip_with_revisits(spark):
+    big, rows = "x" * 100, []
+    rows = [(5, "u5", big), (2, "u2", big), (9, None, big), (3, "u3", "small"), (4, "u4", "small"), (7, "u7", None), (8, "u8", ""), (2, "u2", big), (None, "n", big), (6, "u6", "é" * 50), (1, "bad\r\nurl", "y" * 300000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [tuple(r) for r in warc.round_trip(spark, df).collect()]
+    assert len(got) == len(rows)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert sorted(((p, n, d) for p, n, d, *_ in got), key=repr) == sorted(((p, len((h or "").encode()), sha(h or "")) for p, _, h in rows), key=repr)
+    copies = sorted(((p, t, r) for p, n, d, t, r in got if d == sha(big)), key=repr)
+    assert copies == sorted([(2, "response", None), (2, "revisit", 2), (5, "revisit", 2), (9, "revisit", 2), (None, "revisit", 2)], key=repr)
+    assert all(t == "response" for p, n, d, t, r in got if n < 100 or d == sha("é" * 50))
+
+
+def test_warc_reader_finds_damage():
+    good = warc.record(1, 0, "u", b"payload" * 50, "response")
+    assert [h["warc-type"] for h, _ in warc.read_records(io.BytesIO(warc.member(good) * 3))] == ["response"] * 3
+    for bad in (good.replace(b"payload", b"paylord", 1), good[:-5], good.replace(b"Content-Length: ", b"Content-Length: 1", 1), b"HTTP/1.1 200 OK\r\n\r\n"):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(io.BytesIO(warc.member(bad))))
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(warc.member(good)[:-20])))
+
+
+def test_warc_of_no_pages(spark):
+    assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- 2 -------------------------------------------------------------------------------------------
+def test_forest_removes_false_positives(spark):
+    held = secrets.example_findings(600, seed=99)
+    model = secrets.train(spark, secrets.example_findings())
+    data = spark.createDataFrame([(*secrets.features(v, b, a, p), float(y)) for v, b, a, p, y in held], ", ".join(f"{f} double" for f in secrets.FEATURES) + ", label double")
+    right = model.transform(data).filter("prediction = label").count()
+    assert right >= 0.95 * len(held)
+
+
+def test_scan_spans_and_odd_rows(spark):
+    r = random.Random(6)
+    value = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(1, f'é é token = "{value}" and so on', "src1"), (2, "anbletitionthtionbletion is a long word", "src1"), (3, None, None), (4, "", "x"), (4, "", "x")]
+    got = secrets.scan(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    hits = got.filter("is_secret").collect()
+    assert [(h.doc_id, rows[0][1][h.start : h.end]) for h in hits] == [(1, value)]
+    assert hits[0].value_sha256 == hashlib.sha256(value.encode()).hexdigest()
