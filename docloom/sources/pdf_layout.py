@@ -90,17 +90,13 @@ def spans_over(row: list[dict], table: list[list[dict]], bounds: list[float]) ->
 
 
 def fold_header(labels: list[dict], names: list[str], bounds: list[float]) -> list[str]:
-    """Column names prefixed with the label that spans them; the first column has none."""
-    out, last = list(names), 1
+    """Column names prefixed with the label over them: from where the one before ended to its own right edge."""
+    out, first = list(names), 1
     for label in labels:
-        first = last
-        middle = column_of(label, bounds)
-        end = max(first, min(len(names) - 1, max(middle, 2 * middle - first)))
+        end = sum(label["end"] > b for b in bounds)  # the column its right edge lies in
         for k in range(first, end + 1):
-            out[k] = f"{label['text']} {names[k]}".strip()
-        last = end + 1
-        if last >= len(names):
-            break
+            out[k] = f"{label['text']} {names[k]}" if names[k] else names[k]
+        first = max(first, end + 1)
     return out
 
 
