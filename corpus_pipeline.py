@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, once."""
-    groups = jaccard_join.link_components(spark, docs)
+    """Of each group of linked documents (5-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays, once."""
+    groups = jaccard_join.link_components(spark, docs, words=5, percent=80)
     stay = groups.filter((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 

@@ -1,8 +1,9 @@
 r"""N-gram Jaccard join by vertical partitioning.
 
-The global order of 3-word shingles (that of their 64-bit hashes) is cut into fragments.  Two sets
-that link (100 * intersection >= 90 * union, sizes n and m) differ in at most (n + m) / 19 shingles,
-so with one fragment more than that at least one fragment is the same in both.  Those fragments give
+The global order of shingles (that of their 64-bit hashes) is cut into fragments.  Two sets that link
+(100 * intersection >= percent * union, sizes n and m) differ in at most
+(n + m) * (100 - percent) / (100 + percent) shingles, so with one fragment more than that at least one
+fragment is the same in both.  Those fragments give
 the candidates: no pair is lost, and shared passages alone make none.  The overlap of a candidate
 pair is counted in each of a few wider fragments separately and summed per pair.
 
@@ -19,6 +20,8 @@ text and is never a component's id unless the component has no other.
 
 from __future__ import annotations
 
+from functools import lru_cache, partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -36,26 +39,28 @@ CHUNK_ROWS = 1 << 21
 LEVELS_OF_HASHES = 6
 
 
-def _bounds() -> tuple[np.ndarray, np.ndarray]:
-    """Sizes at which levels begin, and fragments by label; label l serves pairs of levels l-1 and l."""
+@lru_cache(None)
+def bounds(percent: int = 90) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes at which levels begin, and fragments by label; label l serves pairs of levels l-1 and l.
+
+    Linked sizes n <= m have 100 * n >= percent * m, so they are of one level or of neighbouring ones;
+    they differ in at most (n + m) * (100 - percent) / (100 + percent) shingles.
+    """
     b = [1]
     while b[-1] < 10**10:
-        b.append(max(b[-1] + 1, -(-10 * b[-1] // 9)))
-    f = [1] + [(b[i] - 1 + b[i + 1] - 1) // 19 + 1 for i in range(1, len(b) - 1)]
+        b.append(max(b[-1] + 1, -(-100 * b[-1] // percent)))
+    f = [1] + [(b[i] - 1 + b[i + 1] - 1) * (100 - percent) // (100 + percent) + 1 for i in range(1, len(b) - 1)]
     return np.array(b, np.int64), np.array(f, np.int64)
 
 
-BOUNDS, FRAGMENTS = _bounds()
-
-
-def shingle_sets(buf: np.ndarray, off: np.ndarray):
+def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int = WORDS):
     """Sorted distinct shingle hashes of each text of a slice, one after the other, and their counts."""
     _, _, h, counts = B.words(buf, off, B.BLANK_SEPARATED)
-    g3, parts, n = B.grams(h, WORDS), [], np.zeros(len(counts), np.int64)
+    every, parts, n = B.grams(h, words), [], np.zeros(len(counts), np.int64)
     a = 0
     for i, c in enumerate(counts):
-        if c >= WORDS:
-            x = np.sort(g3[a : a + c - WORDS + 1])
+        if c >= words:
+            x = np.sort(every[a : a + c - words + 1])
             if len(x) > 1:
                 x = x[np.concatenate(([True], x[1:] != x[:-1]))]
         else:
@@ -79,13 +84,14 @@ def class_keys(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return B.mix(_sums(B.mix(s ^ U(0xA5A5F00D12345677)), n) + n.astype(U)).view(np.int64)
 
 
-def signatures(s: np.ndarray, n: np.ndarray):
+def signatures(s: np.ndarray, n: np.ndarray, percent: int = 90):
     """(text, signature) for the fragments of each text, for both of its labels."""
-    level = np.searchsorted(BOUNDS, n, "right") - 1
+    begin, fragments = bounds(percent)
+    level = np.searchsorted(begin, n, "right") - 1
     texts, sigs = [], []
 
     def of(s, n, which, label, depth):
-        f = FRAGMENTS[label]
+        f = fragments[label]
         keep = (f > 1) & (n > 0)
         if not keep.any():
             return
@@ -119,14 +125,14 @@ def signatures(s: np.ndarray, n: np.ndarray):
     return np.concatenate(texts), np.concatenate(sigs).view(np.int64)
 
 
-def _class_rows(batches):
+def _class_rows(batches, words):
     for batch in batches:
         for i, j, buf, off in B.text_slices(batch.column(1)):
-            s, n = shingle_sets(buf, off)
+            s, n = shingle_sets(buf, off, words)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(class_keys(s, n))], ["doc_id", "n_shingles", "key"])
 
 
-def _signature_rows(batches):
+def _signature_rows(batches, words, percent):
     """Within a chunk of a task's rows, a class is emitted once, and of a signature's classes one
     leads: what meets in a hot bucket later is a row per chunk, not one per document."""
     held, size, seen = [], 0, set()
@@ -134,17 +140,21 @@ def _signature_rows(batches):
     def flush():
         sig, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.lexsort((key, sig))
-        sig, key, n = sig[by], key[by], n[by]
         first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        run = np.cumsum(first) - 1
-        lead = key[np.flatnonzero(first)][run]
+        first[1:] = sig[by][1:] != sig[by][:-1]
+        run = np.empty(len(sig), np.int64)
+        run[by] = np.cumsum(first) - 1
+        lead = key[by][np.flatnonzero(first)][run]
         alone = np.bincount(run)[run] == 1
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), pa.array(n), pa.array(lead, mask=alone)], ["sig", "key", "n", "lead"])
+        follows = ~alone & (lead != key)
+        # a follower needs no bucket: it is dealt by a hash of its own, and carries its signature beside it
+        bucket = np.where(follows, B.mix(sig.view(U) ^ B.mix(key.view(U))).view(np.int64), sig)
+        cols = [pa.array(bucket), pa.array(sig, mask=~follows), pa.array(key), pa.array(n.astype(np.int32)), pa.array(lead, mask=alone)]
+        return pa.RecordBatch.from_arrays(cols, ["bucket", "own", "key", "n", "lead"])
 
     for batch in batches:
         for _, _, buf, off in B.text_slices(batch.column(0)):
-            s, n = shingle_sets(buf, off)
+            s, n = shingle_sets(buf, off, words)
             keys = class_keys(s, n)
             fresh = np.zeros(len(n), bool)
             for i, k in enumerate(keys.tolist()):
@@ -154,8 +164,10 @@ def _signature_rows(batches):
             if len(seen) > 1_000_000:
                 seen.clear()  # a class emitted twice is only work done twice
             s, n, keys = s[np.repeat(fresh, n)], n[fresh], keys[fresh]
-            text, sig = signatures(s, n)
+            text, sig = signatures(s, n, percent)
             if len(sig):
+                by = np.argsort(text, kind="stable")  # a class's rows together compress well
+                text, sig = text[by], sig[by]
                 held.append((sig, keys[text], n[text]))
                 size += len(sig)
             if size >= CHUNK_ROWS:
@@ -170,10 +182,10 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _segment_rows(batches):
+def _segment_rows(batches, words):
     for batch in batches:
         for _, _, buf, off in B.text_slices(batch.column(0)):
-            s, n = shingle_sets(buf, off)
+            s, n = shingle_sets(buf, off, words)
             keys, a = class_keys(s, n), 0
             key, frag, seg, sketch = [], [], [], []
             for i, c in enumerate(n):
@@ -195,38 +207,34 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return each.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("part")).groupBy("a", "b").agg(F.sum("part").alias("common"))
 
 
-def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
+def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 90) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    if percent != 90:
-        raise ValueError("the fragment counts are for 90 percent")
     scratch = Scratch(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    classes = scratch.cut(base.mapInArrow(_class_rows, "doc_id long, n_shingles long, key long"), "classes")
+    classes = scratch.cut(base.mapInArrow(partial(_class_rows, words=words), "doc_id long, n_shingles long, key long"), "classes")
     sizes = classes.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
 
-    rows = base.select("text").mapInArrow(_signature_rows, "sig long, key long, n long, lead long")
-    follows = F.col("lead").isNotNull() & (F.col("lead") != F.col("key"))
-    # followers need no bucket: they are dealt by a hash of their own
-    rows = rows.withColumn("follows", F.coalesce(follows, F.lit(False))).withColumn("bucket", F.when(F.col("follows"), F.xxhash64("key", "sig")).otherwise(F.col("sig")))
-    by = Window.partitionBy("bucket", "follows")
-    shared = rows.select("sig", "key", "n", "lead", "follows", F.min("key").over(by).alias("low"), F.max("key").over(by).alias("high"))
-    shared = shared.filter(F.col("lead").isNotNull() | (F.col("low") != F.col("high")))
-    to = lambda c: F.when(F.col("follows"), F.col("lead")).otherwise(F.col(c)).alias(c)
-    shared = scratch.cut(shared.select("sig", "key", "n", "follows", to("low"), to("high")), "shared")
+    rows = base.select("text").mapInArrow(partial(_signature_rows, words=words, percent=percent), "bucket long, own long, key long, n int, lead long")
+    by = Window.partitionBy("bucket")
+    follows = F.col("own").isNotNull()
+    shared = rows.select("bucket", "own", "key", "n", "lead", F.min("key").over(by).alias("low"), F.max("key").over(by).alias("high"))
+    shared = shared.filter("lead is not null or low <> high")
+    to = lambda c: F.when(follows, F.col("lead")).otherwise(F.col(c)).alias(c)
+    shared = scratch.cut(shared.select(F.coalesce("own", "bucket").alias("sig"), "key", "n", follows.alias("follows"), to("low"), to("high")), "shared")
     stars = shared.select("key", F.explode(F.array("low", "high")).alias("other")).filter("key <> other")
     tried = scratch.cut(stars.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "stars")
 
     members = shared.select("key").distinct()
     wanted = sizes.join(members, "key", "left_semi").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("wanted"))
     texts = base.withColumn("wanted", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted, "wanted", "left_semi")
-    segments = scratch.cut(texts.select("text").mapInArrow(_segment_rows, "key long, frag int, seg array<long>, sketch array<long>").dropDuplicates(["key", "frag"]), "segments")
+    segments = scratch.cut(texts.select("text").mapInArrow(partial(_segment_rows, words=words), "key long, frag int, seg array<long>, sketch array<long>").dropDuplicates(["key", "frag"]), "segments")
     sketches = segments.filter("frag = 0").select("key", "sketch").join(sizes.select("key", "n"), "key")
     differing = "+".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
-    possible = f"10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n) and {differing} <= (x.n + y.n) div 19"
+    possible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing} <= ((x.n + y.n) * {100 - percent}) div {100 + percent}"
 
     def linked(pairs: DataFrame) -> DataFrame:
         got = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
-        return got.filter("100 * common >= 90 * (na + nb - common)").select("a", "b")
+        return got.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
     x = sketches.select(F.col("key").alias("a"), F.struct("sketch", "n").alias("x"))
     y = sketches.select(F.col("key").alias("b"), F.struct("sketch", "n").alias("y"))
@@ -246,6 +254,8 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     more = scratch.cut(linked(across), "links-2")
     if more.limit(1).count():
         part = components(links.unionByName(more), scratch, "parts-2")
+    for name in ("shared", "stars", "segments", "near-1", "near-2", "links-1", "links-2", "at", "mixed"):
+        scratch.drop(name)  # only classes and parts are read from here on
     labelled = classes.join(part, classes.key == part.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("c"))
     least = labelled.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     least = least.withColumnRenamed("c", "c2")

@@ -13,13 +13,13 @@ LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute_components(rows, k=3, percent=90):
+    sets = [shingles(t, k) for _, t in rows]
     part = list(range(len(rows)))
 
     def root(i):
@@ -30,7 +30,7 @@ def brute_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 part[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -38,8 +38,8 @@ def brute_components(rows):
     return sorted((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, None), (2, 50), (3, 7)])
-def test_links_agree_with_brute_force(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,k,percent", [(1, None, 3, 90), (2, 50, 3, 90), (3, 7, 5, 80), (4, None, 5, 80), (5, None, 2, 60)])
+def test_links_agree_with_brute_force(spark, monkeypatch, seed, chunk, k, percent):
     if chunk:
         monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", chunk)
     r = random.Random(seed)
@@ -57,7 +57,7 @@ def test_links_agree_with_brute_force(spark, monkeypatch, seed, chunk):
         rows.append((1000 - i, t))
     rows += [(1, ""), (2, "  \n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(tuple(x) for x in jaccard_join.link_components(spark, df).collect()) == brute_components(rows)
+    assert sorted(tuple(x) for x in jaccard_join.link_components(spark, df, words=k, percent=percent).collect()) == brute_components(rows, k, percent)
 
 
 def test_links_of_a_chain_of_near_copies(spark):
@@ -75,12 +75,13 @@ def test_links_of_odd_rows(spark):
     assert jaccard_join.link_components(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_fragment_counts_leave_one_fragment_whole():
-    b, f = jaccard_join.BOUNDS, jaccard_join.FRAGMENTS
-    for level in range(1, 60):
+@pytest.mark.parametrize("percent", [90, 80])
+def test_fragment_counts_leave_one_fragment_whole(percent):
+    b, f = jaccard_join.bounds(percent)
+    for level in range(1, 30):
         for n in {int(b[level]), int(b[level + 1]) - 1}:
-            for m in range(n, n * 10 // 9 + 1):
-                inter = min(k for k in range(n + 1) if 100 * k >= 90 * (n + m - k)) if 100 * n >= 90 * m else None
+            for m in range(n, n * 100 // percent + 1):
+                inter = min(k for k in range(n + 1) if 100 * k >= percent * (n + m - k)) if 100 * n >= percent * m else None
                 if inter is None:
                     continue
                 label = level + 1
