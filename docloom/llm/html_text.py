@@ -45,6 +45,7 @@ _WORDS = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SAFE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _CONTENT = frozenset("article content main story entry post".split())
+_STATES = frozenset("has with no without is show hide hides".split())
 _MARKS = frozenset("article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
@@ -65,8 +66,10 @@ def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
         return True
     said = set()
     for key in ("class", "id"):
-        if got.get(key):
-            said.update(_SPLIT.split(_CAMEL.sub("-", unescape(got[key])).lower()))
+        for name_ in unescape(got.get(key, "")).split():
+            parts = _SPLIT.split(_CAMEL.sub("-", name_).lower())
+            if parts[0] not in _STATES:  # has-sidebar says it of something within
+                said.update(parts)
     if not said & _WORDS:
         return False
     if name in ("a", "span", "b", "i", "em", "strong", "p") and not said & _WORDS - {"header", "alert", "notice", "legal", "foot", "comment", "comments", "related", "tags", "search", "skip"}:
@@ -82,7 +85,7 @@ def _is_content(attrs: str) -> bool:
     return any(not _CONTENT.isdisjoint(_SPLIT.split(_CAMEL.sub("-", got[k]).lower())) for k in ("class", "id") if got.get(k))
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+def lines_of(html: str, by_class: bool = True) -> list[tuple[str, int, bool, int]]:
     """(text, characters of it in links, within an article or main element, gap before it) of each block with text."""
     out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, bool, bool]] = []
@@ -175,7 +178,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
             end_line()
         if name in _VOID:
             continue
-        was = _is_chrome(name, m[3] or m[6] or "", articles > 0)
+        was = _is_chrome(name, (m[3] or m[6] or "") if by_class else "", articles > 0)
         mark = not was and name in ("div", "section", "td") and _is_content(m[3] or m[6] or "")
         stack.append((name, was, mark))
         chrome += was
@@ -213,7 +216,7 @@ def _stretches(lines, threshold: int, marked: bool = False) -> list[tuple[int, i
 
 
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
+    lines = lines_of(html or "") or lines_of(html or "", by_class=False)
     weight = lambda part: sum(len(x[0]) - x[1] for x in part)
     inside = [x for x in lines if x[2]]
     marked = bool(inside) and 2 * weight(inside) >= weight(lines)
