@@ -35,7 +35,7 @@ WORDS = 3
 #: wider fragments in which overlaps are counted
 COUNT_FRAGMENTS = 4
 SKETCH_BITS = 1024
-CHUNK_ROWS = 1 << 21
+CHUNK_ROWS = 1 << 19
 LEVELS_OF_HASHES = 6
 
 
@@ -161,7 +161,7 @@ def _signature_rows(batches, words, percent):
                 if n[i] and k not in seen:
                     fresh[i] = True
                     seen.add(k)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()  # a class emitted twice is only work done twice
             s, n, keys = s[np.repeat(fresh, n)], n[fresh], keys[fresh]
             text, sig = signatures(s, n, percent)
