@@ -40,17 +40,22 @@ LEVELS_OF_HASHES = 6
 
 
 @lru_cache(None)
-def bounds(percent: int = 90) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes at which levels begin, and fragments by label; label l serves pairs of levels l-1 and l.
+def bounds(percent: int = 90) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes at which levels begin; by label, fragments and the most shingles in which a linked pair differs.
 
-    Linked sizes n <= m have 100 * n >= percent * m, so they are of one level or of neighbouring ones;
-    they differ in at most (n + m) * (100 - percent) / (100 + percent) shingles.
+    Label l serves pairs of levels l-1 and l.  Linked sizes n <= m have 100 * n >= percent * m, so they
+    are of one level or of neighbouring ones.  There are as many fragments over the differences as are
+    likely to be empty: a set with more non-empty fragments than differences shares one of those.
     """
     b = [1]
     while b[-1] < 10**10:
         b.append(max(b[-1] + 1, -(-100 * b[-1] // percent)))
-    f = [1] + [(b[i] - 1 + b[i + 1] - 1) * (100 - percent) // (100 + percent) + 1 for i in range(1, len(b) - 1)]
-    return np.array(b, np.int64), np.array(f, np.int64)
+    d = [0] + [(b[i] - 1 + b[i + 1] - 1) * (100 - percent) // (100 + percent) for i in range(1, len(b) - 1)]
+    f = []
+    for i, x in enumerate(d):
+        empty = (x + 1) * np.exp(-b[max(0, i - 1)] / (x + 1))
+        f.append(x + 1 + (int(np.ceil(1.2 * empty + 2 * empty**0.5)) if x else 0))
+    return np.array(b, np.int64), np.array(f, np.int64), np.array(d, np.int64)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int = WORDS):
@@ -86,7 +91,7 @@ def class_keys(s: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def signatures(s: np.ndarray, n: np.ndarray, percent: int = 90):
     """(text, signature) for the fragments of each text, for both of its labels."""
-    begin, fragments = bounds(percent)
+    begin, fragments, differences = bounds(percent)
     level = np.searchsorted(begin, n, "right") - 1
     texts, sigs = [], []
 
@@ -109,8 +114,8 @@ def signatures(s: np.ndarray, n: np.ndarray, percent: int = 90):
         tag = B.mix(np.repeat(label, n)[at].astype(U) * U(0x100000001B3) + frag[at] * U(0x9E3779B97F4A7C15) + U(depth))
         texts.append(which[doc[at]])
         sigs.append(B.mix(np.add.reduceat(B.mix(s ^ U(0x0DDB1A5E5BAD5EED)), at) + tag))
-        short = np.bincount(doc[at], minlength=len(n)) < f
-        if short.any():  # an empty fragment may be the only equal one: cut by another order too
+        short = np.bincount(doc[at], minlength=len(n)) <= differences[label]
+        if short.any():  # empty fragments may be the only equal ones: cut by another order too
             if depth + 1 < LEVELS_OF_HASHES:
                 of(s[np.repeat(short, n)], n[short], which[short], label[short], depth + 1)
             else:
