@@ -6,6 +6,8 @@ MB, whatever the size of the Arrow batch; one text is never cut.
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -47,6 +49,15 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
     return t
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the system: workers live on, idle or not."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
     """(first, last, bytes, offsets) of runs of texts of about `limit` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,10 @@ from . import _bytes as B
 
 LONG = 2048
 LEAF = 512
-CACHE_UNITS = 1 << 20
+#: units whose tokens a task remembers, and units that the library encodes at a time
+CACHE_UNITS = 1 << 18
+BATCH_UNITS = 1 << 12
+OUT_ROWS = 1 << 10
 _held: dict[str, Codec] = {}
 
 
@@ -61,8 +64,10 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.unit_ids: list[list[int]] = []
+        """Hashes of known units in order, and where each one's tokens lie in `flat`."""
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
     # --- long texts -------------------------------------------------------------------------
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -109,10 +114,25 @@ class Codec:
                         out += self.tree(piece, pool) if len(piece) > LEAF else [t.id for t in self.tok.model.tokenize(piece)]
         return out
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        short = [u for u in units if len(u) <= LONG]
-        got = iter(self.tok.encode_batch(short, add_special_tokens=False))
-        return [next(got).ids if len(u) <= LONG else self.encode_long(u) for u in units]
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all units, one after the other, and the count of each."""
+        flat, size = [], []
+        for i in range(0, len(units), BATCH_UNITS):
+            part = units[i : i + BATCH_UNITS]
+            got = iter(self.tok.encode_batch_fast([u for u in part if len(u) <= LONG], add_special_tokens=False))
+            ids = [next(got).ids if len(u) <= LONG else self.encode_long(u) for u in part]
+            size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((t for x in ids for t in x), np.uint32, int(size[-1].sum())))
+        return np.concatenate(flat), np.concatenate(size)
+
+    def learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        flat, size = self.encode_units(units)
+        begin = len(self.flat) + np.cumsum(size) - size
+        known = np.concatenate((self.known, hashes))
+        by = np.argsort(known, kind="stable")
+        self.known = known[by]
+        self.begin, self.size = np.concatenate((self.begin, begin))[by], np.concatenate((self.size, size))[by]
+        self.flat = np.concatenate((self.flat, flat))
 
     # --- slices -----------------------------------------------------------------------------
     def encode_slice(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,24 +151,22 @@ class Codec:
         v = (buf.astype(np.uint64) + np.uint64(1)) * B._powers("up", B._R, n)[:n]
         h = B.mix(np.add.reduceat(v, a) * B._powers("down", B._RI, n)[a] + (b - a).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
         uniq, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.unit_ids) > CACHE_UNITS:
+        if max(len(self.known), len(self.flat) // 4) > CACHE_UNITS:
             self.forget()
-        where = [self.known.get(x, -1) for x in uniq.tolist()]
-        new = [i for i, w in enumerate(where) if w < 0]
-        raw = buf.tobytes()
-        ids = self.encode_units([raw[a[one[i]] : b[one[i]]].decode() for i in new])
-        for i, x in zip(new, ids, strict=True):
-            self.known[int(uniq[i])] = where[i] = len(self.unit_ids)
-            self.unit_ids.append(x)
-        parts = [self.unit_ids[w] for w in where]
-        size = np.array([len(p) for p in parts], np.int64)
-        flat = np.fromiter((t for p in parts for t in p), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
+        at = np.searchsorted(self.known, uniq)
+        new = np.ones(len(uniq), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != uniq[inside]
+        if new.any():
+            spans = zip(a[one[new]].tolist(), b[one[new]].tolist(), strict=True)
+            self.learn(uniq[new], [buf[i:j].tobytes().decode() for i, j in spans])
+            at = np.searchsorted(self.known, uniq)
+        begin, size = self.begin[at], self.size[at]
         k = size[inverse]
         take = np.repeat(begin[inverse] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
         total = np.concatenate(([0], np.cumsum(k)))
         counts = np.diff(total[np.searchsorted(a, off)])
-        return flat[take], counts
+        return self.flat[take], counts
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         k = self.length[ids]
@@ -187,11 +205,13 @@ def token_digests(docs: DataFrame, tokenizer: str, text_col: str = "text", with_
     def rows(batches):
         c = codec(tokenizer)
         for batch in batches:
-            out = []
-            for i, b in c.encode_texts(batch.column(1)):
-                out.append((len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b.tobytes()).hexdigest()) + ((i.astype(np.int32),) if with_ids else ()))
-            cols = list(zip(*out)) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+            texts, rest_of = batch.column(1), batch.column(0)
+            for at in range(0, len(texts), OUT_ROWS):
+                out = []
+                for i, b in c.encode_texts(texts.slice(at, OUT_ROWS)):
+                    out.append((len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b.tobytes()).hexdigest()) + ((i.astype(np.int32),) if with_ids else ()))
+                yield pa.RecordBatch.from_arrays([rest_of.slice(at, OUT_ROWS), *[pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)]], names)
+        B.release()
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{text_col}`").alias("__text"))
     done = packed.mapInArrow(rows, f"row {packed.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)

@@ -135,6 +135,7 @@ def _class_rows(batches, words):
         for i, j, buf, off in B.text_slices(batch.column(1)):
             s, n = shingle_sets(buf, off, words)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(class_keys(s, n))], ["doc_id", "n_shingles", "key"])
+    B.release()
 
 
 def _signature_rows(batches, words, percent):
@@ -180,6 +181,8 @@ def _signature_rows(batches, words, percent):
                 held, size = [], 0
     if size:
         yield flush()
+    del held, seen
+    B.release()
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:
@@ -202,6 +205,7 @@ def _segment_rows(batches, words):
                     sketch.append(None if f else parity_sketch(s[a : a + c]))
                 a += c
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "frag", "seg", "sketch"])
+    B.release()
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
