@@ -37,6 +37,8 @@ COUNT_FRAGMENTS = 4
 SKETCH_BITS = 1024
 CHUNK_ROWS = 1 << 19
 LEVELS_OF_HASHES = 6
+#: signatures by which a pair of one bucket knows that it also meets in another
+LOW_SIGNATURES = 32
 
 
 @lru_cache(None)
@@ -241,6 +243,9 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     differing = "+".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
     possible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing} <= ((x.n + y.n) * {100 - percent}) div {100 + percent}"
 
+    # a pair that shares many signatures meets at the least of them; where no low one is shared it may meet at several
+    once = "coalesce(array_min(array_intersect(x.lows, y.lows)) >= x.sig, true)"
+
     def linked(pairs: DataFrame) -> DataFrame:
         got = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
         return got.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
@@ -254,16 +259,17 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     at = shared.select("sig", "key", "n", "follows").join(part, shared.key == part.node, "left").select("sig", "key", "n", "follows", F.coalesce("component", "key").alias("c"))
     at = scratch.cut(at, "at")
     mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), F.max("follows").alias("f")).filter("c0 <> c1 and (m > 3 or f)").select("sig")
-    at = at.join(mixed, "sig", "left_semi").drop("n").join(sketches, "key").select("sig", "key", "n", "c", "sketch")
-    at = scratch.cut(at, "mixed")
+    at = scratch.cut(at.join(mixed, "sig", "left_semi").select("sig", "key", "c").distinct(), "mixed")  # tasks emit a class of copies each
+    lows = at.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOW_SIGNATURES).alias("lows"))
+    at = scratch.cut(at.join(lows, "key").join(sketches, "key").select("sig", "key", "n", "c", "sketch", "lows"), "compared")
     x, y = at.alias("x"), at.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & F.expr(possible))
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & F.expr(possible) & F.expr(once))
     across = across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.when(F.expr("x.key < y.key"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.expr("x.key < y.key"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
     across = scratch.cut(across.distinct().join(tried, ["a", "b"], "left_anti"), "near-2")
     more = scratch.cut(linked(across), "links-2")
     if more.limit(1).count():
         part = components(links.unionByName(more), scratch, "parts-2")
-    for name in ("shared", "stars", "segments", "near-1", "near-2", "links-1", "links-2", "at", "mixed"):
+    for name in ("shared", "stars", "segments", "near-1", "near-2", "links-1", "links-2", "at", "mixed", "compared"):
         scratch.drop(name)  # only classes and parts are read from here on
     labelled = classes.join(part, classes.key == part.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("c"))
     least = labelled.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
