@@ -156,6 +156,17 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
             assert " ".join(passage).encode() in text[x.source_doc_id][x.source_start_byte : x.source_end_byte]
 
 
+def test_passages_of_recombined_sentences(spark):
+    """The seeds of both sentences are first found in two other documents, only the whole in the third."""
+    r, rows = random.Random(13), []
+    for i in range(0, 160, 4):
+        one, two = words(r, 40), words(r, 40)
+        rows += [(i + j, " ".join(words(r, 60) + w + words(r, 60))) for j, w in enumerate((one, two, one + two, one + two))]
+    got = substring_dedup.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(x.doc_id, x.source_doc_id) for x in got} == {(i + 3, i + 2) for i in range(0, 160, 4)}
+    assert all(x.n_words >= 80 for x in got)
+
+
 def test_passages_of_odd_rows(spark):
     long = " ".join(words(random.Random(9), 30000))
     rows = [(1, None), (2, ""), (3, "a b"), (None, long), (4, long), (4, long), (5, long), (6, "and " * 500), (7, "and " * 400)]
