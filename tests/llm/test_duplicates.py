@@ -167,6 +167,22 @@ def test_passages_of_recombined_sentences(spark):
     assert all(x.n_words >= 80 for x in got)
 
 
+def test_every_copy_of_a_passage_is_found(spark):
+    """A document that holds an earlier one's text several times, one that quotes a part of it first, and runs."""
+    r = random.Random(14)
+    text, lone = words(r, 60), words(r, 30)
+    held = [words(r, 30) + text + words(r, 30), sum((words(r, 40) + text for _ in range(5)), []), words(r, 50) + text[:35] + words(r, 50) + text + words(r, 50)]
+    runs = [words(r, 20) + ["and"] * 60 + words(r, 20), words(r, 20) + ["and"] * 700 + words(r, 20), words(r, 20) + lone * 2 + words(r, 20), words(r, 20) + lone * 13 + words(r, 20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(held + runs)]
+    got = substring_dedup.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, n, part in ((1, 5, text), (2, 1, text), (4, 1, ["and"] * 700), (6, 1, lone * 13)):
+        full, part = rows[i][1], " ".join(part)
+        spans = [(x.start_byte, x.end_byte) for x in got if x.doc_id == i]
+        covered = {b for lo, hi in spans for b in range(lo, hi)}
+        at = [m.start() for m in re.finditer(re.escape(part), full)]
+        assert len(at) == n and all(b in covered or full[b] == " " for a in at for b in range(a, a + len(part)))
+
+
 def test_passages_of_odd_rows(spark):
     long = " ".join(words(random.Random(9), 30000))
     rows = [(1, None), (2, ""), (3, "a b"), (None, long), (4, long), (4, long), (5, long), (6, "and " * 500), (7, "and " * 400)]
