@@ -183,6 +183,23 @@ def test_every_copy_of_a_passage_is_found(spark):
         assert len(at) == n and all(b in covered or full[b] == " " for a in at for b in range(a, a + len(part)))
 
 
+def test_passages_with_many_changes_are_found(spark):
+    r, rows, least = random.Random(15), [], {(55, 0.82): 0.8, (55, 0.85): 0.88, (80, 0.8): 0.92, (80, 0.85): 0.98}
+    pairs = {k: [] for k in least}
+    for n, alike in least:
+        for _ in range(100):
+            p = words(r, n)
+            q = list(p)
+            for j in r.sample(range(n), int(n * (1 - alike) + 1e-9)):
+                q[j] = "new%d" % r.randint(0, 9999)
+            pairs[n, alike].append((len(rows) + 1, len(rows)))
+            rows += [(len(rows) + i, " ".join(words(r, 60) + w + words(r, 60))) for i, w in enumerate((p, q))]
+    got = {(x.doc_id, x.source_doc_id) for x in substring_dedup.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, every in pairs.items():
+        assert sum(x in got for x in every) >= least[k] * len(every), k
+    assert got <= {x for every in pairs.values() for x in every}
+
+
 def test_passages_of_odd_rows(spark):
     long = " ".join(words(random.Random(9), 30000))
     rows = [(1, None), (2, ""), (3, "a b"), (None, long), (4, long), (4, long), (5, long), (6, "and " * 500), (7, "and " * 400)]
