@@ -1,26 +1,31 @@
 r"""N-gram Jaccard join by vertical partitioning.
 
-The global order of shingles (that of their 64-bit hashes) is cut into fragments.  Two sets that link
-(100 * intersection >= percent * union, sizes n and m) differ in at most
-(n + m) * (100 - percent) / (100 + percent) shingles, so with one fragment more than that at least one
-fragment is the same in both.  Those fragments give
-the candidates: no pair is lost, and shared passages alone make none.  The overlap of a candidate
-pair is counted in each of a few wider fragments separately and summed per pair.
-
-Groups of near copies are not expanded into pairs.  Equal sets are one class from the start.  In
-each bucket all classes are first compared with two leaders; then only classes of one bucket that lie in
-different components yet are compared with each other, which no link escapes.  Before that a bound
-rules pairs out: sets that differ in d shingles differ in d bits at most of their parity sketches (a
-bit for each of SKETCH_BITS ranges of the order, that of the count of shingles in it).
+The global order of shingles (common ones last, each half by 64-bit hash) is cut into fragments.  Two sets
+that link (100 * intersection >= percent * union, sizes n and m) differ in at most
+D = (n + m) * (100 - percent) / (100 + percent) shingles, so at most D fragments of theirs differ: of the first D + 1
+non-empty fragments of each set, taken in order, at least one is the same in both (the first equal one has
+at most D unequal ones before it on either side).  Only those are joined, as a prefix filter over fragments; sets
+with fewer non-empty fragments take single shingles as fragments too.  Fragments are cut by the size class (octave) of
+the larger set, so sets of sizes that can't link don't meet.
+
+The overlap of a pair is counted in each of COUNT_FRAGMENTS wider fragments separately, and the partial
+counts are summed per pair.  Groups of near copies are not expanded into pairs: equal sets are one class from the start; the classes of
+a bucket meet its leader, and each class is counted against one; then only classes of one bucket that lie in
+different components yet are counted, which no link escapes.
+Parity sketches rule pairs out before arrays move: sets that differ in d shingles differ in d bits at most
+(a bit for each of SKETCH_BITS ranges of the order, that of the count of shingles in it).
+
+The COMMON most frequent shingles, of those that a chunk of a task's rows holds COMMON_IN_CHUNK times, are the
+common ones.  That table only orders the shingles: any order gives the same links, so its fixed size loses nothing.
 
 Nulls and empty texts have no shingles (n_shingles 0) and are a component of their own.  Repeated
 rows give repeated rows; a doc_id with several texts links each of them.  A null doc_id links by its
-text and is never a component's id unless the component has no other.
+text and is never a component's id unless the component has no other.  Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,29 +40,24 @@ WORDS = 3
 #: wider fragments in which overlaps are counted
 COUNT_FRAGMENTS = 4
 SKETCH_BITS = 1024
-CHUNK_ROWS = 1 << 19
-LEVELS_OF_HASHES = 6
+CHUNK_ROWS = 1 << 18
+#: shingles in a chunk among which common ones are looked for, how often they must be there, and how many are kept
+COMMON_CHUNK, COMMON_IN_CHUNK, COMMON = 1 << 21, 6, 1 << 18
 #: signatures by which a pair of one bucket knows that it also meets in another
 LOW_SIGNATURES = 32
+#: a class or component id that holds a large share of the rows is dealt to so many keys where it is joined
+SALTS = 16
 
 
-@lru_cache(None)
-def bounds(percent: int = 90) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes at which levels begin; by label, fragments and the most shingles in which a linked pair differs.
+def differences(n: np.ndarray, octave: np.ndarray, percent: int) -> np.ndarray:
+    """The most shingles in which sets of n shingles differ from linked ones, none of which is over the octave."""
+    m = np.minimum(100 * n // percent, (np.int64(2) << octave) - 1)
+    return (n + np.maximum(n, m)) * (100 - percent) // (100 + percent)
 
-    Label l serves pairs of levels l-1 and l.  Linked sizes n <= m have 100 * n >= percent * m, so they
-    are of one level or of neighbouring ones.  There are as many fragments over the differences as are
-    likely to be empty: a set with more non-empty fragments than differences shares one of those.
-    """
-    b = [1]
-    while b[-1] < 10**10:
-        b.append(max(b[-1] + 1, -(-100 * b[-1] // percent)))
-    d = [0] + [(b[i] - 1 + b[i + 1] - 1) * (100 - percent) // (100 + percent) for i in range(1, len(b) - 1)]
-    f = []
-    for i, x in enumerate(d):
-        empty = (x + 1) * np.exp(-b[max(0, i - 1)] / (x + 1))
-        f.append(x + 1 + (int(np.ceil(1.2 * empty + 2 * empty**0.5)) if x else 0))
-    return np.array(b, np.int64), np.array(f, np.int64), np.array(d, np.int64)
+
+def fragment_count(octave: int, percent: int) -> int:
+    """Enough fragments that more are non-empty than can differ, for nearly all sets of the octave."""
+    return 1 + -(-13 * ((2 << octave) * (100 - percent) // percent) // 10)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int = WORDS):
@@ -91,62 +91,88 @@ def class_keys(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return B.mix(_sums(B.mix(s ^ U(0xA5A5F00D12345677)), n) + n.astype(U)).view(np.int64)
 
 
-def signatures(s: np.ndarray, n: np.ndarray, percent: int = 90):
-    """(text, signature) for the fragments of each text, for both of its labels."""
-    begin, fragments, differences = bounds(percent)
-    level = np.searchsorted(begin, n, "right") - 1
-    texts, sigs = [], []
-
-    def of(s, n, which, label, depth):
-        f = fragments[label]
-        keep = (f > 1) & (n > 0)
-        if not keep.any():
-            return
-        if not keep.all():
-            s, which, label, f, n = s[np.repeat(keep, n)], which[keep], label[keep], f[keep], n[keep]
-        order = s if depth == 0 else B.mix(s ^ U(0x51ED270B0A1F39C1 + depth))
-        doc = np.repeat(np.arange(len(n)), n)
-        frag = ((order >> U(32)) * np.repeat(f, n).astype(U)) >> U(32)
-        if depth:
-            by = np.lexsort((frag, doc))
-            frag, s = frag[by], s[by]
-        first = np.ones(len(s), bool)
-        first[1:] = (frag[1:] != frag[:-1]) | (doc[1:] != doc[:-1])
+def signatures(s: np.ndarray, n: np.ndarray, percent: int = 90, common: np.ndarray | None = None):
+    """(text, signature) for the first fragments of each text, in each octave where it may meet others."""
+    texts, sigs = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    late = np.zeros(len(s), bool)
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        late = common[at] == s
+    begin = np.cumsum(n) - n
+    own = np.frexp(np.maximum(n, 1).astype(np.float64))[1].astype(np.int64) - 1
+    top = np.frexp(np.maximum(100 * n // percent, 1).astype(np.float64))[1].astype(np.int64) - 1
+
+    def emit(which: np.ndarray, octave: int, single: bool):
+        """The fragments of the texts `which`; with `single`, each shingle is one."""
+        size, most = n[which], differences(n[which], np.int64(octave), percent)
+        doc = np.repeat(np.arange(len(which)), size)
+        take = np.repeat(begin[which] - (np.cumsum(size) - size), size) + np.arange(len(doc))
+        x, c = s[take], late[take]
+        if single:
+            frag = c.astype(np.int64)  # order within: by hash, which s has already
+        else:
+            f = fragment_count(octave, percent)
+            frag = (((x >> U(32)) * U(f)) >> U(32)).astype(np.int64) + f * c
+        if c.any():
+            by = np.argsort((doc << 40) + frag, kind="stable")
+            x, doc, frag = x[by], doc[by], frag[by]
+        first = np.ones(len(x), bool)
+        if not single:
+            first[1:] = (frag[1:] != frag[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(first)
-        tag = B.mix(np.repeat(label, n)[at].astype(U) * U(0x100000001B3) + frag[at] * U(0x9E3779B97F4A7C15) + U(depth))
-        texts.append(which[doc[at]])
-        sigs.append(B.mix(np.add.reduceat(B.mix(s ^ U(0x0DDB1A5E5BAD5EED)), at) + tag))
-        short = np.bincount(doc[at], minlength=len(n)) <= differences[label]
-        if short.any():  # empty fragments may be the only equal ones: cut by another order too
-            if depth + 1 < LEVELS_OF_HASHES:
-                of(s[np.repeat(short, n)], n[short], which[short], label[short], depth + 1)
-            else:
-                texts.append(which[short])
-                sigs.append(B.mix(label[short].astype(U) + U(0xE0E0E0E0)))
-
-    every = np.arange(len(n))
-    for label in (level, level + 1):
-        of(s, n, every, np.maximum(label, 0), 0)
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        of = doc[at]
+        held = np.bincount(of, minlength=len(which))  # non-empty fragments
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(held) - held, held)
+        tag = U(octave * 2 + single + 1) * U(0x100000001B3) + (U(0) if single else frag[at].astype(U) * U(0x9E3779B97F4A7C15))
+        sig = B.mix(np.add.reduceat(B.mix(x ^ U(0x0DDB1A5E5BAD5EED)), at) + B.mix(tag)) if len(at) else np.zeros(0, U)
+        keep = rank <= most[of]
+        texts.append(which[of[keep]])
+        sigs.append(sig[keep])
+        short = (held <= most) & (most > 0)
+        if not single and short.any():
+            emit(which[short], octave, True)
+
+    for octave in range(int(top.max()) + 1 if len(n) else 0):
+        which = np.flatnonzero((n > 0) & (own <= octave) & (octave <= top))
+        which = which[differences(n[which], np.int64(octave), percent) > 0]
+        if len(which):
+            emit(which, octave, False)
     return np.concatenate(texts), np.concatenate(sigs).view(np.int64)
 
 
 def _class_rows(batches, words):
+    """Of each row doc_id, n_shingles and class key; beside them, with n_shingles < 0, shingles (as key) that
+    are common in a chunk, and minus their count."""
+    held, size = [], 0
+
+    def frequent():
+        token, times = np.unique(np.concatenate(held), return_counts=True)
+        at = times >= COMMON_IN_CHUNK
+        token, times = token[at].view(np.int64), times[at]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int64()), pa.array(-times), pa.array(token)], ["doc_id", "n_shingles", "key"])
+
     for batch in batches:
         for i, j, buf, off in B.text_slices(batch.column(1)):
             s, n = shingle_sets(buf, off, words)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(class_keys(s, n))], ["doc_id", "n_shingles", "key"])
+            held.append(s)
+            size += len(s)
+            if size >= COMMON_CHUNK:
+                yield frequent()
+                held, size = [], 0
+    if held:
+        yield frequent()
+    del held
     B.release()
 
 
-def _signature_rows(batches, words, percent):
+def _signature_rows(batches, words, percent, common):
     """Within a chunk of a task's rows, a class is emitted once, and of a signature's classes one
     leads: what meets in a hot bucket later is a row per chunk, not one per document."""
     held, size, seen = [], 0, set()
 
     def flush():
-        sig, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        sig, key = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.lexsort((key, sig))
         first = np.ones(len(sig), bool)
         first[1:] = sig[by][1:] != sig[by][:-1]
@@ -157,8 +183,7 @@ def _signature_rows(batches, words, percent):
         follows = ~alone & (lead != key)
         # a follower needs no bucket: it is dealt by a hash of its own, and carries its signature beside it
         bucket = np.where(follows, B.mix(sig.view(U) ^ B.mix(key.view(U))).view(np.int64), sig)
-        cols = [pa.array(bucket), pa.array(sig, mask=~follows), pa.array(key), pa.array(n.astype(np.int32)), pa.array(lead, mask=alone)]
-        return pa.RecordBatch.from_arrays(cols, ["bucket", "own", "key", "n", "lead"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(sig, mask=~follows), pa.array(key), pa.array(lead, mask=alone)], ["bucket", "own", "key", "lead"])
 
     for batch in batches:
         for _, _, buf, off in B.text_slices(batch.column(0)):
@@ -169,14 +194,14 @@ def _signature_rows(batches, words, percent):
                 if n[i] and k not in seen:
                     fresh[i] = True
                     seen.add(k)
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()  # a class emitted twice is only work done twice
             s, n, keys = s[np.repeat(fresh, n)], n[fresh], keys[fresh]
-            text, sig = signatures(s, n, percent)
+            text, sig = signatures(s, n, percent, common.value)
             if len(sig):
                 by = np.argsort(text, kind="stable")  # a class's rows together compress well
                 text, sig = text[by], sig[by]
-                held.append((sig, keys[text], n[text]))
+                held.append((sig, keys[text]))
                 size += len(sig)
             if size >= CHUNK_ROWS:
                 yield flush()
@@ -193,86 +218,113 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _segment_rows(batches, words):
+    """The segments of texts whose class key is among `keys`."""
+    cuts_at = [U(f * (1 << 32) // COUNT_FRAGMENTS) for f in range(1, COUNT_FRAGMENTS)]
     for batch in batches:
-        for _, _, buf, off in B.text_slices(batch.column(0)):
+        wanted = batch.column(1)
+        for i0, _, buf, off in B.text_slices(batch.column(0)):
             s, n = shingle_sets(buf, off, words)
             keys, a = class_keys(s, n), 0
             key, frag, seg, sketch = [], [], [], []
             for i, c in enumerate(n):
-                cuts = np.searchsorted(s[a : a + c] >> U(32), [U(f * (1 << 32) // COUNT_FRAGMENTS) for f in range(1, COUNT_FRAGMENTS)])
-                for f, x in enumerate(np.split(s[a : a + c], cuts)):
-                    key.append(keys[i])
-                    frag.append(f)
-                    seg.append(x.view(np.int64))
-                    sketch.append(None if f else parity_sketch(s[a : a + c]))
+                if c and int(keys[i]) in wanted[i0 + i].as_py():
+                    cuts = np.searchsorted(s[a : a + c] >> U(32), cuts_at)
+                    for f, x in enumerate(np.split(s[a : a + c], cuts)):
+                        key.append(keys[i])
+                        frag.append(f)
+                        seg.append(x.view(np.int64))
+                        sketch.append(None if f else parity_sketch(s[a : a + c]))
                 a += c
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["key", "frag", "seg", "sketch"])
     B.release()
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs(a, b) with the size of the intersection: counted in each fragment, summed per pair."""
-    left = segments.select(F.col("key").alias("a"), "frag", F.col("seg").alias("sa"))
+    """pairs(a, b) with the size of the intersection: counted in each fragment, summed per pair.
+
+    Only the segments of b travel to those of a; both end in the task that counts them, and counts alone
+    go on.  A segment that is there twice counts once.
+    """
     right = segments.select(F.col("key").alias("b"), "frag", F.col("seg").alias("sb"))
-    each = pairs.join(left, "a").join(right, ["b", "frag"])
-    return each.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("part")).groupBy("a", "b").agg(F.sum("part").alias("common"))
+    left = segments.select(F.col("key").alias("a"), "frag", F.col("seg").alias("sa"))
+    each = pairs.select("a", "b").join(right, "b").join(left, ["a", "frag"])
+    part = [F.max(F.when(F.col("frag") == f, F.size(F.array_intersect("sa", "sb")))).alias(f"part{f}") for f in range(COUNT_FRAGMENTS)]
+    return each.groupBy("a", "b").agg(*part).select("a", "b", F.expr(" + ".join(f"part{f}" for f in range(COUNT_FRAGMENTS))).alias("common"))
+
+
+def common_shingles(classes: DataFrame) -> np.ndarray:
+    """The COMMON most frequent of the shingles that some chunk found common, sorted: a table of fixed size."""
+    top = classes.filter("n_shingles < 0").groupBy("key").agg(F.sum("n_shingles").alias("m")).orderBy("m", "key").limit(COMMON).select("key")
+    got = top.toArrow().column("key").to_numpy()
+    return np.sort(got.astype(np.int64).view(U))
 
 
 def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 90) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     scratch = Scratch(spark)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    classes = scratch.cut(base.mapInArrow(partial(_class_rows, words=words), "doc_id long, n_shingles long, key long"), "classes")
-    sizes = classes.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = scratch.cut(base.mapInArrow(partial(_class_rows, words=words), "doc_id long, n_shingles long, key long"), "classes")
+    classes = found.filter("n_shingles >= 0")
+    sizes = scratch.cut(classes.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "sizes")
+    common = spark.sparkContext.broadcast(common_shingles(found))
 
-    rows = base.select("text").mapInArrow(partial(_signature_rows, words=words, percent=percent), "bucket long, own long, key long, n int, lead long")
+    rows = base.select("text").mapInArrow(partial(_signature_rows, words=words, percent=percent, common=common), "bucket long, own long, key long, lead long")
     by = Window.partitionBy("bucket")
     follows = F.col("own").isNotNull()
-    shared = rows.select("bucket", "own", "key", "n", "lead", F.min("key").over(by).alias("low"), F.max("key").over(by).alias("high"))
-    shared = shared.filter("lead is not null or low <> high")
-    to = lambda c: F.when(follows, F.col("lead")).otherwise(F.col(c)).alias(c)
-    shared = scratch.cut(shared.select(F.coalesce("own", "bucket").alias("sig"), "key", "n", follows.alias("follows"), to("low"), to("high")), "shared")
-    stars = shared.select("key", F.explode(F.array("low", "high")).alias("other")).filter("key <> other")
-    tried = scratch.cut(stars.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "stars")
-
-    members = shared.select("key").distinct()
-    wanted = sizes.join(members, "key", "left_semi").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("wanted"))
-    texts = base.withColumn("wanted", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted, "wanted", "left_semi")
-    segments = scratch.cut(texts.select("text").mapInArrow(partial(_segment_rows, words=words), "key long, frag int, seg array<long>, sketch array<long>").dropDuplicates(["key", "frag"]), "segments")
-    sketches = segments.filter("frag = 0").select("key", "sketch").join(sizes.select("key", "n"), "key")
+    shared = rows.select("bucket", "own", "key", "lead", F.min("key").over(by).alias("low"), F.max("key").over(by).alias("high"))
+    shared = shared.filter("lead is not null or low <> high").select(F.coalesce("own", "bucket").alias("sig"), "key", F.when(follows, F.col("lead")).otherwise(F.col("low")).alias("low"))
+    shared = scratch.cut(shared, "shared")
+
+    none = F.lit(-(1 << 63))
+    wanted = sizes.join(shared.select("key").distinct(), "key", "left_semi").groupBy(F.coalesce("doc_id", none).alias("wanted")).agg(F.collect_list("key").alias("keys"))
+    texts = base.withColumn("wanted", F.coalesce("doc_id", none)).join(wanted, "wanted").select("text", "keys")
+    segments = scratch.cut(texts.mapInArrow(partial(_segment_rows, words=words), "key long, frag int, seg array<long>, sketch array<long>"), "segments")
+    sketches = scratch.cut(segments.filter("frag = 0").select("key", "sketch").dropDuplicates(["key"]).join(sizes.select("key", "n"), "key"), "sketches")
     differing = "+".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
     possible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing} <= ((x.n + y.n) * {100 - percent}) div {100 + percent}"
 
-    # a pair that shares many signatures meets at the least of them; where no low one is shared it may meet at several
-    once = "coalesce(array_min(array_intersect(x.lows, y.lows)) >= x.sig, true)"
-
     def linked(pairs: DataFrame) -> DataFrame:
-        got = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
+        got = overlaps(pairs, segments).join(pairs, ["a", "b"])
         return got.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
+    # each class and the leaders of its buckets, as far as sketches allow
     x = sketches.select(F.col("key").alias("a"), F.struct("sketch", "n").alias("x"))
     y = sketches.select(F.col("key").alias("b"), F.struct("sketch", "n").alias("y"))
-    near = scratch.cut(tried.join(x, "a").join(y, "b").filter(possible).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "near-1")
-    links = scratch.cut(linked(near), "links-1")
+    stars = shared.filter("key <> low").select(F.least("key", "low").alias("a"), F.greatest("key", "low").alias("b")).distinct()
+    near = scratch.cut(stars.join(x, "a").join(y, "b").filter(possible).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "near")
+    one = near.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+    links = scratch.cut(linked(one), "links-1")
     part = components(links, scratch, "parts-1")
-    # all pairs of a bucket of three have met: its lowest and highest have met each one
-    at = shared.select("sig", "key", "n", "follows").join(part, shared.key == part.node, "left").select("sig", "key", "n", "follows", F.coalesce("component", "key").alias("c"))
-    at = scratch.cut(at, "at")
-    mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"), F.max("follows").alias("f")).filter("c0 <> c1 and (m > 3 or f)").select("sig")
-    at = scratch.cut(at.join(mixed, "sig", "left_semi").select("sig", "key", "c").distinct(), "mixed")  # tasks emit a class of copies each
+
+    # buckets whose classes lie in different components still
+    at = scratch.cut(shared.select("sig", "key").join(part, shared.key == part.node, "left").select("sig", "key", F.coalesce("component", "key").alias("c")).distinct(), "at")
+    mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1 and m > 2").select("sig")
+    at = scratch.cut(at.join(mixed, "sig", "left_semi"), "mixed")
     lows = at.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOW_SIGNATURES).alias("lows"))
     at = scratch.cut(at.join(lows, "key").join(sketches, "key").select("sig", "key", "n", "c", "sketch", "lows"), "compared")
+    # a pair that shares many signatures meets at the least of them; where no low one is shared it may meet at several
+    once = "coalesce(array_min(array_intersect(x.lows, y.lows)) >= x.sig, true)"
     x, y = at.alias("x"), at.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & F.expr(possible) & F.expr(once))
-    across = across.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.when(F.expr("x.key < y.key"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(F.expr("x.key < y.key"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    across = scratch.cut(across.distinct().join(tried, ["a", "b"], "left_anti"), "near-2")
-    more = scratch.cut(linked(across), "links-2")
-    if more.limit(1).count():
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & F.expr(possible) & F.expr(once))
+    across = across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    # and the leaders that have not been counted, in so far as they lie apart
+    rest = near.join(one.select("a", "b"), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(part.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    rest = rest.filter("ca <> cb").select("a", "b", "na", "nb")
+    more = scratch.cut(linked(scratch.cut(across.unionByName(rest).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), "near-2")), "links-2")
+    if not more.isEmpty():
         part = components(links.unionByName(more), scratch, "parts-2")
-    for name in ("shared", "stars", "segments", "near-1", "near-2", "links-1", "links-2", "at", "mixed", "compared"):
-        scratch.drop(name)  # only classes and parts are read from here on
-    labelled = classes.join(part, classes.key == part.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("c"))
-    least = labelled.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    least = least.withColumnRenamed("c", "c2")
-    out = labelled.join(least, (F.col("c") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
+
+    # the least doc_id of each component, then of each class; a hot component or class is dealt to SALTS keys
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    labels = sizes.join(part, sizes.key == part.node, "left").select("key", "doc_id", F.coalesce("component", "key").alias("c"))
+    least = labels.groupBy("c").agg(F.min("doc_id").alias("least")).withColumn("salt", salts)
+    labels = labels.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(least, ["c", "salt"]).select("key", "least")
+    labels = scratch.cut(labels, "labels")
+    for name in ("shared", "segments", "sketches", "near", "near-2", "links-1", "links-2", "at", "mixed", "compared", "sizes"):
+        scratch.drop(name)  # only classes and labels are read from here on
+    left = classes.withColumn("salt", F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
+    right = labels.withColumn("salt", salts)
+    out = left.join(right, ["key", "salt"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

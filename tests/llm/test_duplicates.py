@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from docloom.llm import jaccard_join, line_dedup, substring_dedup
@@ -75,17 +76,24 @@ def test_links_of_odd_rows(spark):
     assert jaccard_join.link_components(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("percent", [90, 80])
-def test_fragment_counts_leave_one_fragment_whole(percent):
-    b, f, d = jaccard_join.bounds(percent)
-    for level in range(1, 30):
-        for n in {int(b[level]), int(b[level + 1]) - 1}:
-            for m in range(n, n * 100 // percent + 1):
-                inter = min(k for k in range(n + 1) if 100 * k >= percent * (n + m - k)) if 100 * n >= percent * m else None
-                if inter is None:
-                    continue
-                label = level + 1
-                assert m < b[level + 2] and (n + m - 2 * inter) <= d[label] < f[label]
+@pytest.mark.parametrize("percent,limit", [(90, 0), (80, 0), (80, 3), (60, 0)])
+def test_linked_sets_share_a_signature(percent, limit):
+    """Pairs that differ in as much as a link allows, most of all, for any table of common shingles."""
+    r = np.random.default_rng(percent + limit)
+    for _ in range(400):
+        n = int(r.choice([1, 2, 3, 5, 8, 13, 30, 64, 127, 128, 300, 700]))
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        gone = int(r.integers(0, max(1, n * (100 - percent) // 100) + 1))
+        fresh = int(r.integers(0, max(1, n * (100 - percent) // percent) + 1))
+        b = np.concatenate((a[gone:], r.integers(0, 1 << 63, fresh).astype(np.uint64)))
+        common = np.sort(r.choice(np.concatenate((a, b)), limit * n // 4)) if limit else None
+        a, b = np.unique(a), np.unique(b)
+        same = len(np.intersect1d(a, b))
+        if not len(b) or 100 * same < percent * (len(a) + len(b) - same) or len(a) == len(b) == same:
+            continue
+        s, c = np.concatenate((a, b)), np.array([len(a), len(b)])
+        text, sig = jaccard_join.signatures(s, c, percent, common)
+        assert set(sig[text == 0]) & set(sig[text == 1])
 
 
 def test_components(spark):
