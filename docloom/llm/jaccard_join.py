@@ -123,7 +123,7 @@ def signatures(s: np.ndarray, n: np.ndarray, percent: int = 90, common: np.ndarr
         of = doc[at]
         held = np.bincount(of, minlength=len(which))  # non-empty fragments
         rank = np.arange(len(at)) - np.repeat(np.cumsum(held) - held, held)
-        tag = U(octave * 2 + single + 1) * U(0x100000001B3) + (U(0) if single else frag[at].astype(U) * U(0x9E3779B97F4A7C15))
+        tag = np.full(len(at), (octave * 2 + single + 1) * 0x100000001B3, U) + (U(0) if single else frag[at].astype(U) * U(0x9E3779B97F4A7C15))
         sig = B.mix(np.add.reduceat(B.mix(x ^ U(0x0DDB1A5E5BAD5EED)), at) + B.mix(tag)) if len(at) else np.zeros(0, U)
         keep = rank <= most[of]
         texts.append(which[of[keep]])
