@@ -30,11 +30,17 @@ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)"""
 
 LINES = rf"""WITH l AS (SELECT doc_id, line, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-f AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE t <> ''),
-w AS (SELECT doc_id, p, string_agg(t, chr(10)) OVER run AS k, count(*) OVER run AS n FROM f WINDOW run AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {line_dedup.RUN - 1} FOLLOWING)),
-e AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM w WHERE n = {line_dedup.RUN}),
-g AS (SELECT DISTINCT doc_id, unnest(range(p, p + {line_dedup.RUN})) AS p FROM e WHERE again),
-gone AS (SELECT f.doc_id, f.i FROM f JOIN g USING (doc_id, p))
+f AS (SELECT doc_id, i, md5(t) AS h, greatest(1, (len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) + {line_dedup.UNIT_WORDS - 1}) // {line_dedup.UNIT_WORDS}) AS u, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE t <> ''),
+un AS (SELECT doc_id, p, h, j, row_number() OVER (PARTITION BY doc_id ORDER BY p, j) AS q FROM (SELECT doc_id, p, h, unnest(range(0, u)) AS j FROM f)),
+sh AS (SELECT doc_id, p, q, left(md5(string_agg(h || '.' || j, '|') OVER s), 16) AS g, count(*) OVER s AS c FROM un WINDOW s AS (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND {line_dedup.NOISE - 1} FOLLOWING)),
+s AS (SELECT doc_id, p, q, g, count(*) OVER (PARTITION BY doc_id) AS m FROM sh WHERE c = {line_dedup.NOISE}),
+w AS (SELECT doc_id, q, m, min(g || lpad(CAST(999999999 - q AS VARCHAR), 9, '0')) OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND {line_dedup.WINDOW - 1} FOLLOWING) AS x FROM s),
+c AS (SELECT DISTINCT doc_id, 999999999 - CAST(substr(x, 17) AS BIGINT) AS q FROM w WHERE q <= greatest(1, m - {line_dedup.WINDOW - 1})),
+o AS (SELECT g, doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM c JOIN s USING (doc_id, q)),
+pr AS (SELECT o.doc_id, o.p, z.doc_id AS d0, o.p - z.p AS d FROM o JOIN o z ON o.g = z.g AND o.r > 1 AND z.r = 1),
+e AS (SELECT x.doc_id, d0, d, a.p, a.p - row_number() OVER (PARTITION BY x.doc_id, d0, d ORDER BY a.p) AS island FROM (SELECT DISTINCT doc_id, d0, d FROM pr) x JOIN f a ON a.doc_id = x.doc_id JOIN f b ON b.doc_id = x.d0 AND b.p = a.p - x.d AND b.h = a.h),
+k AS (SELECT DISTINCT doc_id, d0, d, island FROM e JOIN pr USING (doc_id, d0, d, p)),
+gone AS (SELECT DISTINCT f.doc_id, f.i FROM e JOIN k USING (doc_id, d0, d, island) JOIN f ON f.doc_id = e.doc_id AND f.p = e.p)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(x.t, '') END AS text, d.lang, d.source, d.n_chars, CAST(coalesce(y.n, 0) AS BIGINT) AS n_removed_lines FROM documents d
 LEFT JOIN (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS t FROM l ANTI JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY 1) x USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) y USING (doc_id)"""
 

@@ -1,5 +1,6 @@
 """Near-duplicate joins, line and passage dedup against brute force, and the pipeline."""
 
+import hashlib
 import random
 import re
 
@@ -103,35 +104,68 @@ def test_components(spark):
 
 
 # --- 5 -------------------------------------------------------------------------------------------
-def brute_lines(rows, run=line_dedup.RUN):
-    seen, out = {}, {}
+def brute_lines(rows):
+    """Every selected shingle against its first place, and every line of the diagonal between them looked at."""
+    docs, chosen = {}, {}
     for d, t in sorted(rows):
-        key = [x.strip(" \t\r\x0b\x0c") for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")]
-        gone = set()
-        for p in range(len(key) - run + 1):
-            if seen.setdefault(tuple(key[p : p + run]), (d, p)) != (d, p):
-                gone.update(range(p, p + run))
-        out[d] = ([x for i, x in enumerate(key) if i not in gone], len(gone))
-    return out
-
-
-@pytest.mark.parametrize("chunk", [None, 5])
-def test_line_dedup_agrees_with_brute_force(spark, monkeypatch, chunk):
-    if chunk:
-        monkeypatch.setattr(line_dedup, "CHUNK_ROWS", chunk)
-    r = random.Random(7)
-    rows = [(i, "\n".join(r.choice(["a", "b", " c", "d\r", "", "é", "f f"]) for _ in range(r.randint(0, 25)))) for i in range(80)]
+        lines = [x.strip(" \t\r\x0b\x0c") for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")]
+        units = [(i, j) for i, x in enumerate(lines) for j in range(-(-len(x.split()) // line_dedup.UNIT_WORDS))]
+        g = [hashlib.md5("|".join(f"{hashlib.md5(lines[i].encode()).hexdigest()}.{j}" for i, j in units[k : k + 3]).encode()).hexdigest()[:16] for k in range(len(units) - 2)]
+        picked = {max(k for k in w if g[k] == min(g[j] for j in w)) for w in (range(k, min(k + 3, len(g))) for k in range(max(1, len(g) - 2) if g else 0))}
+        docs[d], chosen[d] = lines, [(g[k], units[k][0]) for k in sorted(picked)]
+    first, gone = {}, {d: set() for d in docs}
+    for d in docs:
+        for g, p in chosen[d]:
+            e, q = first.setdefault(g, (d, p))
+            if (e, q) != (d, p):
+                for step in (1, -1):
+                    k = 0
+                    while 0 <= p + k < len(docs[d]) and 0 <= q + k < len(docs[e]) and docs[d][p + k] == docs[e][q + k]:
+                        gone[d].add(p + k)
+                        k += step
+    return {d: ([x for i, x in enumerate(docs[d]) if i not in gone[d]], len(gone[d])) for d in docs}
+
+
+def kept_lines(text):
+    return [y.strip(" \t\r\x0b\x0c") for y in text.split("\n") if y.strip(" \t\r\x0b\x0c")]
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_line_dedup_agrees_with_brute_force(spark, seed):
+    r = random.Random(seed)
+    some = ["a", "b", " c", "d\r", "", "é", "f f", "w " * 25, "x y " * 9, *map(str, range(8 * (seed - 7)))]
+    rows = [(i, "\n".join(r.choice(some) for _ in range(r.randint(0, 25)))) for i in range(80)]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
-    got = {x.doc_id: ([y.strip(" \t\r\x0b\x0c") for y in x.text.split("\n") if y.strip(" \t\r\x0b\x0c")], x.n_removed_lines) for x in line_dedup.remove_repeated_lines(spark, df).collect()}
+    got = {x.doc_id: (kept_lines(x.text), x.n_removed_lines) for x in line_dedup.remove_repeated_lines(spark, df).collect()}
     assert got == brute_lines(rows)
 
 
+def test_fingerprints_are_sparse_and_guaranteed():
+    """Fewer than the shingles, and one in common of any five units that two texts share."""
+    r = random.Random(3)
+    for _ in range(300):
+        shared = [b"line %d" % r.randint(0, 10**6) for _ in range(5)]
+        one, two = ([b"%d" % r.randint(0, 10**9) for _ in range(r.randint(0, 9))] + shared + [b"%d" % r.randint(0, 10**9) for _ in range(r.randint(0, 9))] for _ in range(2))
+        assert {g for g, _ in line_dedup.fingerprints(one)[1]} & {g for g, _ in line_dedup.fingerprints(two)[1]}
+    lines = [b"%d" % i for i in range(3000)]
+    assert 0.4 < len(line_dedup.fingerprints(lines)[1]) / len(lines) < 0.6
+
+
+def test_repeated_runs_go_and_one_long_line_too(spark):
+    r = random.Random(4)
+    long, run = " ".join(f"w{r.randint(0, 9999)}" for _ in range(45)), [f"line {r.randint(0, 9999)} of it" for _ in range(5)]
+    rows = [(i, "\n".join([f"own {i} a", *part, f"own {i} b"])) for i, part in enumerate([[long], run, [long], run, ["x", *run, long]])]
+    got = {x.doc_id: kept_lines(x.text) for x in line_dedup.remove_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ["own 0 a", long, "own 0 b"], 1: ["own 1 a", *run, "own 1 b"], 2: ["own 2 a", "own 2 b"], 3: ["own 3 a", "own 3 b"], 4: ["own 4 a", "x", "own 4 b"]}
+
+
 def test_line_dedup_of_odd_rows(spark):
-    t = "a\nb\nc\nd"
+    t = "a\nb\nc\nd\ne"
     rows = [(1, None), (2, ""), (3, t), (3, t), (4, f"x\n\n{t}\n\ny"), (None, t), (5, "\n".join(map(str, range(30000))))]
-    df = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, line int")
-    got = sorted(((x.doc_id, x.text, x.line, x.n_removed_lines) for x in line_dedup.remove_repeated_lines(spark, df).collect()), key=repr)
-    assert got == sorted([(1, None, 7, 0), (2, "", 7, 0), (3, t, 7, 0), (3, t, 7, 0), (4, "x\n\n\ny", 7, 4), (None, t, 7, 0), (5, rows[-1][1], 7, 0)], key=repr)
+    df = spark.createDataFrame([(*x, 7, 8, 9) for x in rows], "doc_id long, text string, line int, doc int, n_removed_lines int")
+    got = sorted(((x.doc_id, x.text, x.line, x.doc, x.n_removed_lines) for x in line_dedup.remove_repeated_lines(spark, df).collect()), key=repr)
+    assert got == sorted([(1, None, 7, 8, 0), (2, "", 7, 8, 0), (3, t, 7, 8, 0), (3, t, 7, 8, 0), (4, "x\n\n\ny", 7, 8, 5), (None, t, 7, 8, 0), (5, rows[-1][1], 7, 8, 0)], key=repr)
+    assert line_dedup.remove_repeated_lines(spark, df.limit(0)).count() == 0
 
 
 # --- 3 -------------------------------------------------------------------------------------------
