@@ -173,7 +173,33 @@ def test_tree_join_is_exact_at_any_cut():
         s = "".join(r.choice(["the", "re", "in", "q", "zz", "tion", "a"]) for _ in range(60))
         k = r.randint(1, len(s) - 1)
         enc = lambda x: [t.id for t in c.tok.model.tokenize(x)]
-        assert c.join(enc(s[:k]), enc(s[k:])) == enc(s)
+        assert c.join([(enc(s[:k]), enc(s[k:]))]) == [enc(s)]
+
+
+def test_tree_gives_the_same_tokens_at_any_size_of_its_parts(monkeypatch):
+    """Leaves cut anywhere, stretches without a place to cut, special tokens across cuts: the ids are the library's."""
+    c, r = bpe.codec(tokenizer_file()), random.Random(1)
+    parts = ["a", "b", " ", "  ", "\n", " \n", "é", "ß", "漢", "😀", "1", "23", "'s", "'ll", " the", "word", "\t", ".", "!?", "<|endoftext|>", "\u00a0", "aaaaaaaa", "\r\n", "\u3000", "Ġ"]
+    for _ in range(300):
+        for name, sizes in (("LEAF", [1, 2, 3, 5, 7, 16, 40]), ("LONG", [1, 4, 30, 100, 2048]), ("PIECE", [1, 2, 5, 50]), ("AROUND", [1, 2])):
+            monkeypatch.setattr(bpe, name, r.choice(sizes))
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(5)]
+        for text, (ids, _) in zip(texts, c.encode_texts(pa.array(texts)), strict=True):
+            assert ids.tolist() == c.tok.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [bpe.LEAF - 1, bpe.LEAF, bpe.LEAF + 1, 2 * bpe.LEAF, 2 * bpe.LEAF + 1, bpe.LONG + 1, 5 * bpe.LEAF + 3])
+def test_texts_over_a_leaf_are_joined(size, monkeypatch):
+    c, r, joins = bpe.codec(tokenizer_file()), random.Random(size), []
+    join = c.join_nodes
+    monkeypatch.setattr(c, "join_nodes", lambda buf, units, pairs: joins.append(len(pairs)) or join(buf, units, pairs))
+    prose, solid = "", "".join(r.choice("abcdeé") for _ in range(size))
+    while len(prose) < size:
+        prose += r.choice(["The ", "quick, ", "été ", "fox\n", "isn't ", "12 "])
+    for text in (prose[:size], solid):
+        (ids, _), = c.encode_texts(pa.array([text]))
+        assert ids.tolist() == c.tok.encode(text, add_special_tokens=False).ids
+    assert sum(joins) >= -(-size // bpe.LEAF) - 1
 
 
 def test_bpe_digests_and_round_trip(spark):
@@ -182,6 +208,9 @@ def test_bpe_digests_and_round_trip(spark):
     assert sorted(x.decoded_sha256 for x in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in ODD)
     back = bpe.decode(bpe.encode(df, tokenizer_file()), tokenizer_file(), text_col="back").collect()
     assert all(x.back == (x.text or "") for x in back)
+    clash = bpe.token_digests(df.withColumn("n_tokens", F.lit("x")).withColumn("row", F.lit(1)), tokenizer_file())
+    assert sorted(clash.columns) == ["decoded_sha256", "doc_id", "ids_sha256", "n_tokens", "row"] and clash.agg(F.sum("n_tokens")).first()[0] == sum(x.n_tokens for x in got)
+    assert bpe.token_digests(df.limit(0), tokenizer_file()).count() == 0
 
 
 # --- 10 ------------------------------------------------------------------------------------------
