@@ -1,88 +1,224 @@
 r"""Licence recognition by sentence rules.  DataFrame functions only.
 
-A text is cut into sentences (at \n, and at white space after . ! ? : ;), each normalised to lower-case
-words of a-z and 0-9.  Known sentences have identifiers; a document's identifiers, in order, are matched
-against the rules in order: a rule names a licence and the sentences that must follow each other for it,
-others between them not counting.  A licence is given once, in the order of the rules; a rule that a
-more specific one before it covers can be shut out by it.
+A text is lowered; comment leaders are stripped from its lines, the lines of a paragraph joined (a joint is
+kept as ~), sentences cut at blank lines and at white space after . ! ? unless a digit follows, and each one normalised
+to words of a-z and 0-9.  Known licence sentences have identifiers: a sentence is known by the words that every published
+form of it has, as a whole or within a longer one ("this file, licensed under the MIT License, is ...");
+headings only as whole sentences or lines.  SPDX-License-Identifier lines are read as expressions.
 
-Null and empty texts have no sentences.  Repeated rows give repeated rows.
+A document's identifiers, in order, are matched against the rules in order: a rule names a licence and the
+sentences that must follow each other for it, others between them not counting.  A licence is given
+once, in the order of the rules; a rule is shut out by the licences that it names as more specific, and "all
+rights reserved" by any licence.
+
+Null and empty texts have no sentences, nor has a text of any length without one of HINTS.  Texts are read whole.  Repeated rows give repeated rows, an
+empty table none.  Other columns stay as they are; those named like a result (n_license_sentences, sentence_ids, licenses) are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Public licence sentences, normalised, by identifier.
+# Wording of public licences, normalised, as patterns; an identifier's pattern comes before those that it extends.
+_UNDER = r"(?:licen[cs]ed|released|distributed|redistributed|available|provided|published|offered|issued|covered|governed|subject|modify it|redistribute it)(?: [a-z0-9]+){0,3}? (?:under|by|to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+_LATER = r"(?: only)?(?: of the licen[cs]e)? (?:or any later|or later|or at your option any later|or newer)"
+_GPL, _LGPL, _AGPL = r"gnu (?:general public licen[cs]e|gpl)", r"gnu (?:lesser|library) (?:general public licen[cs]e|gpl)", r"gnu affero (?:general public licen[cs]e|gpl)"
+_FSF = " as published by the free software foundation either version {} of the license or at your option any later version"
 SENTENCES = {
-    "mit-ref": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "mit license", "the mit license"],
-    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
-    "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "apache-ref": ["licensed under the apache license version 2 0", "released under the apache license version 2 0", "this project is licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "apache license version 2 0"],
-    "apache-may": ["you may not use this file except in compliance with the license"],
-    "apache-basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "gpl3-ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3", "gnu general public license version 3"],
-    "gpl2-ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
-    "gpl-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
-    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "bsd-name": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "cc-by": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc0": ["this work is dedicated to the public domain under cc0 1 0", "licensed under cc0 1 0"],
-    "mpl-ref": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "reserved": ["all rights reserved"],
+    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-notice": r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software",
+    "as-is": r"(?:the|this) software is provided as is (?:and the author disclaims all warranties|without warranty of any kind)",
+    "mit-ref": _UNDER + r"(?:mit|expat) licen[cs]e",
+    "mit-title": r"\| (?:the )?(?:mit|expat) licen[cs]e(?: mit)? \|",
+    "apache-title": r"apache license version 2 0 january 2004",
+    "apache-ref": _UNDER + r"apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?",
+    "apache-head": r"\| (?:the )?apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)? \|",
+    "apache-may": r"you may not use this (?:file|work|software) except in compliance with the license",
+    "apache-basis": r"distributed under the license is distributed on an as is basis",
+    "agpl3-free": _AGPL + _FSF.format("3"),
+    "agpl3-title": r"\| " + _AGPL + r" version 3 19 november 2007",
+    "agpl3-later": _UNDER + _AGPL + r" (?:version |v)?3(?: 0)?" + _LATER,
+    "agpl3-ref": _UNDER + _AGPL + r" (?:version |v)?3",
+    "lgpl3-free": _LGPL + _FSF.format("3"),
+    "lgpl21-free": _LGPL + _FSF.format("2 1"),
+    "lgpl2-free": _LGPL + _FSF.format("2"),
+    "lgpl3-title": r"\| " + _LGPL + r" version 3 29 june 2007",
+    "lgpl21-title": r"\| " + _LGPL + r" version 2 1 february 1999",
+    "lgpl3-later": _UNDER + _LGPL + r" (?:version |v)?3(?: 0)?" + _LATER,
+    "lgpl21-later": _UNDER + _LGPL + r" (?:version |v)?2 1" + _LATER,
+    "lgpl3-ref": _UNDER + _LGPL + r" (?:version |v)?3",
+    "lgpl21-ref": _UNDER + _LGPL + r" (?:version |v)?2 1",
+    "gpl3-free": _GPL + _FSF.format("3"),
+    "gpl2-free": _GPL + _FSF.format("2"),
+    "gpl3-title": r"\| " + _GPL + r" version 3 29 june 2007",
+    "gpl2-title": r"\| " + _GPL + r" version 2 june 1991",
+    "gpl3-later": _UNDER + _GPL + r" (?:version |v)?3(?: 0)?" + _LATER,
+    "gpl2-later": _UNDER + _GPL + r" (?:version |v)?2(?: 0)?" + _LATER,
+    "gpl3-ref": r"(?:" + _UNDER + _GPL + r" (?:version |v)?3|under (?:the )?(?:terms of )?version 3 of the " + _GPL + r" (?:as|only))",
+    "gpl2-ref": r"(?:" + _UNDER + _GPL + r" (?:version |v)?2|under (?:the )?(?:terms of )?version 2 of the " + _GPL + r" (?:as|only))",
+    "gpl3-head": r"\| " + _GPL + r" (?:version |v)?3(?: 0)? \|",
+    "gpl2-head": r"\| " + _GPL + r" (?:version |v)?2(?: 0)? \|",
+    "gpl-hope": r"is distributed in the hope that it will be useful but without any warranty",
+    "bsd-grant": r"redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-source": r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-name": r"(?:neither the names? of|the names? of)(?: [a-z0-9]+){1,16}? may (?:not )?be used to endorse or promote products derived from this software",
+    "bsd3-ref": _UNDER + r"(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?",
+    "bsd3-head": r"\| (?:the )?(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd) licen[cs]e \|",
+    "bsd2-ref": _UNDER + r"(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)(?: licen[cs]e)?",
+    "bsd2-head": r"\| (?:the )?(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd) licen[cs]e \|",
+    "isc-grant": r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted",
+    "isc-ref": _UNDER + r"isc licen[cs]e",
+    "zlib-grant": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "zlib-origin": r"the origin of this software must not be misrepresented",
+    "boost-grant": r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation",
+    "boost-ref": _UNDER + r"boost software licen[cs]e(?: version)? 1 0",
+    "unlicense-free": r"this is free and unencumbered software released into the public domain",
+    "epl2-title": r"\| eclipse public license v(?:ersion)? ?2 0 \|",
+    "epl2-ref": _UNDER + r"eclipse public licen[cs]e(?: v| version)? ?2(?: 0)?",
+    "mpl-form": r"this source code form is subject to the terms of the mozilla public license v ?2 0",
+    "mpl-title": r"\| mozilla public license version 2 0 \|",
+    "mpl-ref": _UNDER + r"mozilla public licen[cs]e(?: v| version)? ?2(?: 0)?",
+    "cc-by-nc": _UNDER + r"(?:cc by nc(?: 4 0)?|creative commons attribution non ?commercial 4 0)",
+    "cc-by-sa": _UNDER + r"(?:cc by sa(?: 4 0)?|creative commons attribution share ?alike 4 0)",
+    "cc-by-nd": _UNDER + r"(?:cc by nd(?: 4 0)?|creative commons attribution no ?deriv(?:ative)?s 4 0)",
+    "cc-by": _UNDER + r"(?:cc by(?: 4 0)?|creative commons attribution 4 0)",
+    "cc0": r"(?:" + _UNDER + r"cc0|public domain under cc0|\| cc0 1 0 universal|creative commons cc0)(?: 1 0)?",
+    "reserved": r"all rights reserved",
+    "spdx": r"spdx license identifier",
 }
-#: (licence, sentences in order, licences before it that shut it out)
+#: (licence, sentences in order, licences before it that shut it out; * is any)
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"], []),
     ("MIT", ["mit-ref"], []),
+    ("MIT", ["mit-title"], []),
     ("Apache-2.0", ["apache-ref", "apache-may", "apache-basis"], []),
+    ("Apache-2.0", ["apache-title"], []),
     ("Apache-2.0", ["apache-ref"], []),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"], []),
-    ("GPL-3.0-or-later", ["gpl-free"], []),
+    ("Apache-2.0", ["apache-head"], []),
+    ("AGPL-3.0-only", ["agpl3-title"], []),
+    ("AGPL-3.0-or-later", ["agpl3-free"], ["AGPL-3.0-only"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"], ["AGPL-3.0-only"]),
+    ("AGPL-3.0-only", ["agpl3-ref"], ["AGPL-3.0-or-later"]),
+    ("LGPL-3.0-only", ["lgpl3-title"], []),
+    ("LGPL-2.1-only", ["lgpl21-title"], []),
+    ("LGPL-3.0-or-later", ["lgpl3-free"], ["LGPL-3.0-only"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"], ["LGPL-3.0-only"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"], ["LGPL-2.1-only"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"], ["LGPL-2.1-only"]),
+    ("LGPL-2.0-or-later", ["lgpl2-free"], []),
+    ("LGPL-3.0-only", ["lgpl3-ref"], ["LGPL-3.0-or-later"]),
+    ("LGPL-2.1-only", ["lgpl21-ref"], ["LGPL-2.1-or-later"]),
+    ("GPL-3.0-only", ["gpl3-title"], []),
+    ("GPL-2.0-only", ["gpl2-title"], []),
+    ("GPL-3.0-or-later", ["gpl3-free", "gpl-hope"], ["GPL-3.0-only"]),
+    ("GPL-3.0-or-later", ["gpl3-free"], ["GPL-3.0-only"]),
+    ("GPL-3.0-or-later", ["gpl3-later"], ["GPL-3.0-only"]),
+    ("GPL-2.0-or-later", ["gpl2-free"], ["GPL-2.0-only"]),
+    ("GPL-2.0-or-later", ["gpl2-later"], ["GPL-2.0-only"]),
     ("GPL-3.0-only", ["gpl3-ref"], ["GPL-3.0-or-later"]),
-    ("GPL-2.0-only", ["gpl2-ref"], []),
+    ("GPL-3.0-only", ["gpl3-head"], ["GPL-3.0-or-later"]),
+    ("GPL-2.0-only", ["gpl2-ref"], ["GPL-2.0-or-later"]),
+    ("GPL-2.0-only", ["gpl2-head"], ["GPL-2.0-or-later"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], []),
+    ("BSD-3-Clause", ["bsd3-ref"], []),
+    ("BSD-3-Clause", ["bsd3-head"], []),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], ["BSD-3-Clause"]),
+    ("BSD-2-Clause", ["bsd2-ref"], []),
+    ("BSD-2-Clause", ["bsd2-head"], []),
     ("ISC", ["isc-grant"], []),
+    ("ISC", ["isc-ref"], []),
+    ("Zlib", ["zlib-grant", "zlib-origin"], []),
+    ("BSL-1.0", ["boost-grant"], []),
+    ("BSL-1.0", ["boost-ref"], []),
+    ("Unlicense", ["unlicense-free"], []),
+    ("EPL-2.0", ["epl2-title"], []),
+    ("EPL-2.0", ["epl2-ref"], []),
+    ("MPL-2.0", ["mpl-title"], []),
+    ("MPL-2.0", ["mpl-form"], []),
+    ("MPL-2.0", ["mpl-ref"], []),
     ("CC-BY-NC-4.0", ["cc-by-nc"], []),
     ("CC-BY-SA-4.0", ["cc-by-sa"], []),
+    ("CC-BY-ND-4.0", ["cc-by-nd"], []),
     ("CC-BY-4.0", ["cc-by"], []),
     ("CC0-1.0", ["cc0"], []),
-    ("MPL-2.0", ["mpl-ref"], []),
-    ("Proprietary", ["reserved"], []),
+    ("Proprietary", ["reserved"], ["*"]),
 ]
+#: names in SPDX expressions besides the licences' own: those that older files have
+SPDX = {"GPL-2.0-only": ["GPL-2.0"], "GPL-2.0-or-later": ["GPL-2.0+"], "GPL-3.0-only": ["GPL-3.0"], "GPL-3.0-or-later": ["GPL-3.0+"], "LGPL-2.1-only": ["LGPL-2.1"], "LGPL-2.1-or-later": ["LGPL-2.1+"], "LGPL-3.0-only": ["LGPL-3.0"], "LGPL-3.0-or-later": ["LGPL-3.0+"], "AGPL-3.0-only": ["AGPL-3.0"], "AGPL-3.0-or-later": ["AGPL-3.0+"]}
 #: each known sentence has one of these, so texts without them need no cutting
-HINTS = ["licen", "permi", "warrant", "redistribut", "free software", "copyright", "compliance", "public domain", "rights reserved", "endorse"]
+HINTS = ["licen", "permi", "warrant", "redistribut", "public domain", r"rights[\x20\x09-\x0D]+reserved", "endorse", "misrepresented", "cc0", "cc.by", "bsd", "apache"]
+HINT = "(?i)" + "|".join(h.replace("public domain", r"public[\x20\x09-\x0D]+domain") for h in HINTS)
+#: replacements that normalise a text of lower case, in order; \1 stands for the first group
+STEPS = [
+    (r"\r\n?", "\n"),
+    (r"\n[\x20\x09]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|>+|dnl )?[\x20\x09]*", "\n"),
+    (r"\n\n+", " | "),
+    (r"([.!?])[\"')\]]*[\x20\x09-\x0D]+([^0-9\x20\x09-\x0D])", r"\1 | \2"),
+    (r"\n", " ~ "),
+    (r"[^a-z0-9|~]+", " "),
+    (r"[ ~]*\|[ |~]*", " || "),
+]
+EXPRESSION = r"spdx-license-identifier:[\x20\x09]*([a-z0-9.+() -]+)"
+
+
+def known() -> dict[str, str]:
+    """The patterns over normalised texts, in which ~ may stand where a line ends; headings may begin and end with it."""
+    return {k: p.replace(" \\|", r" [|~]").replace("\\| ", r"[|~] ").replace(" ", "(?: ~)? ").replace(r"(?: ~)? [|~]", r" [|~]") for k, p in SENTENCES.items()}
+
 
+def expression_name(name: str) -> str:
+    return r"(?:^|[ (])(?:" + "|".join(x.lower().replace(".", "[.]").replace("+", "[+]") for x in [name, *SPDX.get(name, [])]) + r")(?:$|[ )])"
 
-def sentences(text: Column) -> Column:
-    cut = F.split(F.lower(text), r"\n|(?<=[.!?:;])[\x20\x09-\x0D]+")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+
+def sequence(parts: list[str]) -> str:
+    """The pattern of a rule over a document's identifiers, each between blanks."""
+    return " " + " (?:.* )?".join(parts) + " "
+
+
+def normalised(text: Column) -> Column:
+    t = F.concat(F.lit("\n"), F.lower(text))
+    for pattern, by in STEPS:
+        t = F.regexp_replace(t, pattern, by.replace("\\1", "$1").replace("\\2", "$2"))
+    return F.concat(F.lit("|"), F.regexp_replace(t, r"^[ |~]*|[ |~]*$", " "), F.lit("|"))
 
 
 def recognise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_license_sentences, sentence_ids (space-joined, in order) and licenses (comma-joined)."""
-    ids = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for s in v for x in (s, k)])
+    patterns = known()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    hinted = text.rlike("(?i)" + "|".join(HINTS))
-    likely = F.filter(sentences(text), lambda s: F.length(s) >= 11)
-    found = F.when(hinted, F.array_compact(F.transform(likely, lambda s: F.try_element_at(ids, s)))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("__ids", found)
-    seq = F.concat(F.lit(" "), F.array_join("__ids", " "), F.lit(" "))
-    out = out.withColumn("__seq", seq)
-    got = F.array().cast("array<string>")
-    for i, (name, parts, shut) in enumerate(RULES):
-        hit = F.col("__seq").rlike(".* ".join(f" {p} " if len(parts) == 1 else (f" {p}" if j == 0 else f"{p}") for j, p in enumerate(parts)) + ("" if len(parts) == 1 else " "))
-        if shut:
-            hit &= ~F.arrays_overlap(F.col(f"__got{i - 1}"), F.array(*[F.lit(s) for s in shut]))
-        before = F.col(f"__got{i - 1}") if i else got
-        out = out.withColumn(f"__got{i}", F.when(hit, F.array_union(before, F.array(F.lit(name)))).otherwise(before))
-    last = f"__got{len(RULES) - 1}"
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.size("__ids").cast("long").alias("n_license_sentences"), F.array_join("__ids", " ").alias("sentence_ids"), F.array_join(last, ",").alias("licenses"))
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(normalised(text), F.lit("|".join(patterns.values())), F.lit(0))
+
+    def identifier(s: Column) -> Column:
+        case = None
+        for k, p in patterns.items():
+            case = (F if case is None else case).when(s.rlike(f"^(?:{p})$"), F.lit(k))
+        return case
+
+    hinted = text.rlike(HINT)
+    rest = [c for c in docs.columns if c not in ("n_license_sentences", "sentence_ids", "licenses")]
+    out = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"),
+        F.when(hinted, F.transform(found, identifier)).otherwise(none).alias("ids"),
+        F.when(hinted, F.regexp_extract_all(F.lower(text), F.lit(EXPRESSION), F.lit(1))).otherwise(none).alias("named"),
+    )
+    out = out.withColumn("seq", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")))
+    hits = []
+    for i, (name, parts, _) in enumerate(RULES):
+        hit = F.col("seq").rlike(sequence(parts))
+        if name not in {r[0] for r in RULES[:i]}:
+            hit = hit | F.array_join("named", " ").rlike(expression_name(name))
+        hits.append(F.when(hit, F.lit(i)))
+    hit = F.when(F.size("ids") > 0, F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<int>"))
+    out = out.select("row", "ids", hit.alias("hit"))
+    names, shut = F.array(*[F.lit(r[0]) for r in RULES]), F.array(*[F.array(*[F.lit(x) for x in r[2]]).cast("array<string>") for r in RULES])
+
+    def step(got: Column, i: Column) -> Column:
+        barred = F.arrays_overlap(got, shut[i]) | (F.array_contains(shut[i], "*") & (F.size(got) > 0))
+        return F.when(barred, got).otherwise(F.array_union(got, F.array(names[i])))
+
+    out = out.withColumn("got", F.aggregate("hit", none, step))
+    return out.select(F.inline(F.array(F.struct("row", F.size("ids").cast("long").alias("n"), F.array_join("ids", " ").alias("ids"), F.array_join("got", ",").alias("got"))))).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in rest], F.col("n").alias("n_license_sentences"), F.col("ids").alias("sentence_ids"), F.col("got").alias("licenses")
+    )

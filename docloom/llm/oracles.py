@@ -46,16 +46,25 @@ LEFT JOIN (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS t FROM l A
 
 
 def _licenses() -> str:
-    known = ", ".join(f"('{s}', '{k}')" for k, every in licenses.SENTENCES.items() for s in every)
-    sql = rf"""WITH c AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?:;]){_BLANK}+', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents),
-u AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM c), n AS (SELECT doc_id, i, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM u),
-k(s, id) AS (VALUES {known}), m AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS ids FROM n JOIN k USING (s) GROUP BY 1),
-q AS (SELECT d.doc_id, coalesce(m.n, 0) AS n, coalesce(ids, '') AS ids, ' ' || coalesce(ids, '') || ' ' AS seq FROM documents d LEFT JOIN m USING (doc_id)), r0 AS (SELECT *, CAST([] AS VARCHAR[]) AS got FROM q)"""
+    patterns = licenses.known()
+    quoted = lambda s: s.replace("'", "''").replace("\n", "' || chr(10) || '")
+    text = "chr(10) || lower(t)"
+    for pattern, by in licenses.STEPS:
+        text = f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(by)}', 'g')"
+    every = quoted("|".join(patterns.values()))
+    case = " ".join(f"WHEN regexp_matches(x, '^(?:{quoted(p)})$') THEN '{k}'" for k, p in patterns.items())
+    seen, sql = set(), rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, '|' || regexp_replace({text}, '^[ |~]*|[ |~]*$', ' ', 'g') || '|' AS s, regexp_matches(t, '{quoted(licenses.HINT)}') AS hinted FROM t),
+q AS (SELECT doc_id, CASE WHEN hinted THEN list_transform(regexp_extract_all(s, '{every}', 0), lambda x: CASE {case} END) ELSE [] END AS ids, CASE WHEN hinted THEN regexp_extract_all(lower(t), '{quoted(licenses.EXPRESSION)}', 1) ELSE [] END AS named FROM n),
+r0 AS (SELECT doc_id, ids, named, ' ' || array_to_string(ids, ' ') || ' ' AS seq, CAST([] AS VARCHAR[]) AS got FROM q)"""
     for i, (name, parts, shut) in enumerate(licenses.RULES):
-        pattern = " " + " (?:.* )?".join(parts) + " "
-        barred = "".join(f" AND NOT list_contains(got, '{s}')" for s in shut)
-        sql += f",\nr{i + 1} AS (SELECT doc_id, n, ids, seq, CASE WHEN regexp_matches(seq, '{pattern}') AND NOT list_contains(got, '{name}'){barred} THEN list_append(got, '{name}') ELSE got END AS got FROM r{i})"
-    return sql + f"\nSELECT doc_id, n AS n_license_sentences, ids AS sentence_ids, array_to_string(got, ',') AS licenses FROM r{len(licenses.RULES)}"
+        hit = f"regexp_matches(seq, '{licenses.sequence(parts)}')"
+        if name not in seen:
+            hit = f"({hit} OR regexp_matches(array_to_string(named, ' '), '{licenses.expression_name(name)}'))"
+        seen.add(name)
+        barred = " AND len(got) = 0" if "*" in shut else "".join(f" AND NOT list_contains(got, '{s}')" for s in shut)
+        sql += f",\nr{i + 1} AS (SELECT doc_id, ids, named, seq, CASE WHEN len(ids) > 0 AND {hit} AND NOT list_contains(got, '{name}'){barred} THEN list_append(got, '{name}') ELSE got END AS got FROM r{i})"
+    return sql + f"\nSELECT doc_id, CAST(len(ids) AS BIGINT) AS n_license_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string(got, ',') AS licenses FROM r{len(licenses.RULES)}"
 
 
 LICENSES = _licenses()
