@@ -1,28 +1,35 @@
 r"""Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element (br counts as white space).  Elements that are
-never article text by their nature (scripts, styles, menus, headers, footers, sidebars, forms) or by
-a class, id or role that says so (adverts, notices, comments and the like) leave a gap instead of
-text.  Where the page marks an article or main element, or one that class, id or role call the
-content, with half of the text at least, its lines alone are taken.  Over the rest the text
-lengths, links left out, of WINDOW successive lines are summed: where the sum rises to the threshold is a
-surge point, where it falls below a dive point, and the lines between them are kept, as far as the
-stretch is no small fraction of the longest.
-
-Null, empty and markup-only pages give an empty text.  Character references are decoded as HTML5
-does; white space within a block becomes one space, blocks are joined by \n.  Broken markup never raises.
+Markup is stripped to lines, one per block element (br counts as white space).  Each line has a weight: its
+text length, that of links left out; nothing, where its element is never article text by its nature (menus,
+headers, footers, sidebars, forms) or by a class, id or role that says so (adverts, notices, comments and the like).
+Weights are summed over sliding windows of WINDOW lines: where the sum rises to the threshold is a
+surge point, where it falls below a dive point.
+
+A first search finds the body of the page, the element whose own lines weigh most in the
+heaviest stretch between a surge and a dive.  A line of the body then weighs THRESHOLD more; so does one of an article or main
+element, or one that class, id or role call the content, where those hold half of the weight at least, and other
+lines then weigh nothing.  The second search keeps the lines with a weight between its surge and dive points, but for those of stretches
+that are a small fraction of the heaviest and hold no line of the body.
+
+Null, empty and markup-only pages give an empty text; very long pages are read whole; repeated rows give repeated rows, an empty table none.  Character references are decoded as HTML5
+does; white space within a block becomes one space, blocks are joined by \n.  Broken markup never raises, and an unclosed element never ends the
+page, but for script, style, textarea and title, as in HTML.  Other columns stay as they are; one named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
-#: characters that WINDOW lines must hold, outside an article element
+#: characters that WINDOW lines must hold
 THRESHOLD = 60
 #: of the longest stretch between surge and dive that another one must reach
 SHARE = 0.2
@@ -30,6 +37,8 @@ SHARE = 0.2
 # Element names and words of class, id or role attributes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video".split())
+_TO_THE_END = frozenset("script style textarea title".split())
+_HOLDS = frozenset("html body div section article main td th nav header footer aside form fieldset dialog menu".split())
 _CHROME = frozenset("nav header footer aside form menu dialog button head fieldset".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -85,39 +94,46 @@ def _is_content(attrs: str) -> bool:
     return any(not _CONTENT.isdisjoint(_SPLIT.split(_CAMEL.sub("-", got[k]).lower())) for k in ("class", "id") if got.get(k))
 
 
-def lines_of(html: str, by_class: bool = True) -> list[tuple[str, int, bool, int]]:
-    """(text, characters of it in links, within an article or main element, gap before it) of each block with text."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    marked: bool  # within an article, main or content element
+    chrome: bool  # within an element that is never article text
+    holder: int  # the number of the element that holds it, headings count with what follows
+
+
+def lines_of(html: str, by_class: bool = True) -> list[Line]:
+    """Each block with text, in page order."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, chrome, of a line's part only, mark, number
     text: list[str] = []
-    linked = links = chrome = articles = gap = 0
+    linked = links = chrome = inline = articles = 0
+    holders, parents = [0], [0]
+    unclosed: set[str] = set()
 
     def end_line():
-        nonlocal text, linked, gap
+        nonlocal text, linked
         line = " ".join(unescape("".join(text)).split()) if text else ""
         if line:
-            out.append((line, min(linked, len(line)), articles > 0, gap))
-            gap = 0
+            out.append(Line(line, min(linked, len(line)), articles > 0, chrome > 0, holders[-1]))
         text, linked = [], 0
 
     def pop_to(depth: int):
-        nonlocal chrome, links, articles, gap
+        nonlocal chrome, inline, links, articles
         while len(stack) > depth:
-            name, was, mark = stack.pop()
+            name, was, part, mark, number = stack.pop()
             if name in _BLOCK:
-                end_line() if not chrome else None
-            if was:
-                chrome -= 1
-                if not chrome:
-                    gap += 1
-            if name == "a":
-                links -= 1
-            if name in _MARKS or mark:
-                articles -= 1
+                end_line()
+            chrome -= was
+            inline -= part
+            links -= name == "a"
+            articles -= name in _MARKS or mark
+            if number:
+                holders.pop()
 
     def add(s: str):
         nonlocal linked
-        if s and not chrome:
+        if s and not inline:
             text.append(s)
             if links:
                 linked += len(s)
@@ -142,7 +158,7 @@ def lines_of(html: str, by_class: bool = True) -> list[tuple[str, int, bool, int
             continue
         if m[1] or m[4]:
             if name == "p" and not any(x[0] == "p" for x in stack):
-                end_line() if not chrome else None
+                end_line()
                 continue
             for d in range(len(stack) - 1, -1, -1):
                 if stack[d][0] == name:
@@ -154,10 +170,16 @@ def lines_of(html: str, by_class: bool = True) -> list[tuple[str, int, bool, int
         if name == "br":
             add(" ")
             continue
+        attrs = m[3] or m[6] or ""
         if name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if not (m[3] or m[6] or "").rstrip().endswith("/") or name in ("script", "style"):
-                at = close.end() if close else n
+            if name not in unclosed and (not attrs.rstrip().endswith("/") or name in _TO_THE_END):
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                if close:
+                    at = close.end()
+                elif name in _TO_THE_END:
+                    at = n
+                else:
+                    unclosed.add(name)  # what follows is text like any other
             continue
         if name in _CLOSES_P:
             for d in range(len(stack) - 1, -1, -1):
@@ -174,65 +196,101 @@ def lines_of(html: str, by_class: bool = True) -> list[tuple[str, int, bool, int
                         break
                     if stack[d][0] in within:
                         break
-        if name in _BLOCK and not chrome:
+        if name in _BLOCK:
             end_line()
         if name in _VOID:
             continue
-        was = _is_chrome(name, (m[3] or m[6] or "") if by_class else "", articles > 0)
-        mark = not was and name in ("div", "section", "td") and _is_content(m[3] or m[6] or "")
-        stack.append((name, was, mark))
+        was = _is_chrome(name, attrs if by_class else "", articles > 0)
+        mark = not was and name in ("div", "section", "td") and _is_content(attrs)
+        number = 0
+        if name in _HOLDS:
+            number = len(parents)
+            parents.append(holders[-1])
+            holders.append(number)
+        part = was and name not in _BLOCK
+        stack.append((name, was, part, mark, number))
         chrome += was
+        inline += part
         links += name == "a"
         articles += name in _MARKS or mark
     pop_to(0)
-    if not chrome:
-        end_line()
+    end_line()
+    alone = Counter(x.holder for x in out)
+    return [x._replace(holder=parents[x.holder]) if alone[x.holder] == 1 else x for x in out]  # a div around one line is a line
+
+
+def surges(weights: list[int], threshold: int) -> list[tuple[int, int]]:
+    """[surge, dive) of each stretch of rows that lie in a window of WINDOW rows whose sum reaches the threshold."""
+    total = [0, *accumulate(weights)]
+    n, out, begin, end = len(weights), [], None, 0
+    for i in range(n):
+        if total[min(i + WINDOW, n)] - total[i] >= threshold:
+            if begin is None or i > end:
+                if begin is not None:
+                    out.append((begin, end))
+                begin = i
+            end = min(i + WINDOW, n)
+    if begin is not None:
+        out.append((begin, end))
     return out
 
 
-def _stretches(lines, threshold: int, marked: bool = False) -> list[tuple[int, int]]:
-    """(surge, dive) pairs: [surge, dive) are line numbers between which windows reach the threshold."""
-    rows: list[int] = []  # lines with the gaps between them
-    where: list[int] = []
-    for i, (text, linked, _, gap) in enumerate(lines):
-        rows += [0] * gap
-        where += [-1] * gap
-        rows.append(len(text) - (0 if marked else linked))
+def _stretches(weights: list[int], zones: list, threshold: int) -> list[list[int]]:
+    """The lines with a weight of each stretch; no window reaches over zones or lines without a weight."""
+    rows, where = [], []
+    for i, w in enumerate(weights):
+        if i and (zones[i] != zones[i - 1] or not w):
+            rows += [0] * (WINDOW - 1)
+            where += [-1] * (WINDOW - 1)
+        rows.append(w)
         where.append(i)
-    sums = [sum(rows[i : i + WINDOW]) for i in range(len(rows))]
-    dense = [False] * len(rows)
-    for i, s in enumerate(sums):
-        if s >= threshold:
-            for j in range(i, min(i + WINDOW, len(rows))):
-                dense[j] = dense[j] or rows[j] > 0
-    out, begin = [], None
-    for i, d in enumerate([*dense, False]):
-        if d and begin is None:
-            begin = i
-        elif not d and begin is not None and (i == len(dense) or rows[i] == 0):
-            out.append((begin, i))
-            begin = None
-    return [(where[a], max(where[a:b]) + 1) for a, b in out]
+    out = []
+    for a, b in surges(rows, threshold):
+        part: list[int] = []
+        for k in range(a, b):
+            if rows[k] > 0:
+                part.append(where[k])
+            elif part and where[k] >= 0:
+                out.append(part)
+                part = []
+        if part:
+            out.append(part)
+    return out
+
+
+def kept_lines(lines: list[Line]) -> list[int]:
+    """The numbers of the lines that are main text."""
+    base = [0 if x.chrome else len(x.text) - x.linked for x in lines]
+    weigh = lambda part: sum(base[i] for i in part)
+    marks = [x.marked and not x.chrome for x in lines]
+    if any(marks) and 2 * weigh(i for i, m in enumerate(marks) if m) >= sum(base):
+        body = marks
+        weights = [w + THRESHOLD if m else 0 for w, m in zip(base, marks)]
+    else:
+        found = _stretches(base, [x.chrome for x in lines], THRESHOLD) or _stretches(base, [x.chrome for x in lines], 1)
+        if not found:
+            return []
+        held: Counter = Counter()
+        for i in max(found, key=weigh):
+            held[lines[i].holder] += base[i]
+        holder = max(held, key=lambda h: (held[h], -h))
+        body = [x.holder == holder and w > 0 for x, w in zip(lines, base)]
+        weights = [w + THRESHOLD if m else w for w, m in zip(base, body)]
+    parts = _stretches(weights, body, THRESHOLD)
+    least = SHARE * max((weigh(p) for p in parts), default=0)
+    return [i for p in parts if body[p[0]] or weigh(p) >= least for i in p]
 
 
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "") or lines_of(html or "", by_class=False)
-    weight = lambda part: sum(len(x[0]) - x[1] for x in part)
-    inside = [x for x in lines if x[2]]
-    marked = bool(inside) and 2 * weight(inside) >= weight(lines)
-    if marked:
-        lines = inside
-    parts = _stretches(lines, 1 if marked else THRESHOLD, marked)
-    if not parts and lines:  # a page of a few short lines
-        parts = _stretches(lines, 1)
-    size = [weight(lines[a:b]) for a, b in parts]
-    least = 0 if marked else SHARE * max(size, default=0)
-    return "\n".join(lines[i][0] for (a, b), s in zip(parts, size, strict=True) if s >= least for i in range(a, b))
+    lines = lines_of(html or "")
+    if all(x.chrome for x in lines):
+        lines = lines_of(html or "", by_class=False)
+    return "\n".join(lines[i].text for i in kept_lines(lines))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with the main text of each as text_col, in place of the html."""
-    rest = [c for c in pages.columns if c != html_col]
+    rest = [c for c in pages.columns if c not in (html_col, text_col)]
     packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{html_col}`").alias("html"))
 
     def rows(batches):

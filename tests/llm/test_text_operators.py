@@ -38,6 +38,41 @@ def test_main_text_without_article_element_uses_line_blocks():
     assert html_text.main_text(page) == f"{para}\n{para}"
 
 
+LONG = "This is a long paragraph of the text that the page is about, with many words in it."
+
+
+def test_main_text_of_pages_without_any_mark():
+    """Chrome of no telling class goes by its weight alone; short lines of the body stay, also behind an advert."""
+    page = f"""<body><div class=x1><a href=1>One</a> | <a href=2>Two</a></div><div class=x2>Call us</div><div class=x3><div class=x4><h2>Its title</h2><p>{LONG}</p><p>Short.</p>
+    <div class="ad">Buy a thing that you do not need, it is the best of all the things that we sell here.</div><p>{LONG}</p><ul><li>An item</li></ul><p>The end.</p></div></div>
+    <div class=x5><a href=3>More</a></div><div class=x6>(c) us</div></body>"""
+    assert html_text.main_text(page) == f"Its title\n{LONG}\nShort.\n{LONG}\nAn item\nThe end."
+    assert len(html_text.lines_of(page)) == 11
+
+
+def test_the_search_removes_lines_of_marked_pages_too():
+    lines = html_text.lines_of(PAGE)
+    kept = html_text.kept_lines(lines)
+    assert len(lines) - len(kept) >= 8 and all(lines[i].marked and not lines[i].chrome for i in kept)
+
+
+@pytest.mark.parametrize("name", ["object data=x", "select", "svg", "canvas", "iframe src=y", "video", "template", "noscript"])
+def test_unclosed_elements_lose_nothing(name):
+    page = f"<article><p>One is the first.</p><{name}>caption<p>Two is the second.</p></article>"
+    assert html_text.main_text(page).split("\n")[::2] == ["One is the first.", "Two is the second."]
+    closed = f"<article><p>One is the first.</p><{name}>caption</{name.split()[0]}><p>Two is the second.</p></article>"
+    assert html_text.main_text(closed) == "One is the first.\nTwo is the second."
+
+
+def test_surges_agree_with_plain_windows():
+    r = random.Random(2)
+    for _ in range(500):
+        w, least = [r.choice([0, 0, 5, 20, 70]) for _ in range(r.randint(0, 20))], r.choice([1, 20, 60])
+        dense = [any(sum(w[i : i + html_text.WINDOW]) >= least for i in range(max(0, k - html_text.WINDOW + 1), k + 1)) for k in range(len(w))]
+        got = html_text.surges(w, least)
+        assert [any(a <= k < b for a, b in got) for k in range(len(w))] == dense
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>x</", "plain text", "<!-- never closed", "<script>never closed", "<div " * 50, "</p></div>", "<a href='x", "&#xD800;&#0;&bogus;"])
 def test_main_text_never_raises(page):
     assert isinstance(html_text.main_text(page), str)
@@ -49,8 +84,8 @@ def test_main_text_of_a_very_long_page():
 
 
 def test_extract_keeps_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "u", "<p>Hello there</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, row string")
-    assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "u", "x", "Hello there"), (2, None, "y", "")]
+    df = spark.createDataFrame([(1, "u", "<p>Hello there</p>", "x", "t"), (2, None, None, "y", None), (2, None, None, "y", None)], "page_id long, url string, html string, row string, text string")
+    assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "u", "x", "Hello there"), (2, None, "y", ""), (2, None, "y", "")]
     assert html_text.extract(df.limit(0)).count() == 0
 
 
