@@ -193,10 +193,19 @@ def test_decontamination_agrees_with_brute_force(spark, shard):
     got = decontaminate.scan_documents(spark, df.select("doc_id", "text"), bm, shard_bytes=shard)
     got = got.select("doc_id", "text", "hit.n_words", "hit.n_hit", F.size("hit.items").alias("n"), F.sha2(F.array_join("hit.items", ",").cast("binary"), 256).alias("sha"), (F.col("hit.n_hit") > 0).alias("bad"))
     own = [(i, t) for i, t in items if i is not None]
-    for x in got.collect():
+    got = got.collect()
+    assert len(got) == len(docs)
+    for x in got:
         assert tuple(x)[2:] == brute_hits(x.text, own)
 
 
+def test_decontamination_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "aa b", "x", 3), (1, "aa b", "x", 3), (1, "cc", "y", 4)], "doc_id long, text string, items string, hit int")
+    for shard in (decontaminate.SHARD_BYTES, 2):
+        got = decontaminate.scan_documents(spark, df, spark.createDataFrame([(1, "aa b"), (2, "zz")], "item_id long, text string"), shard_bytes=shard)
+        assert sorted((x.doc_id, x.text, x.items, x.hit.n_hit, x.hit.n_words, x.hit.items) for x in got.collect()) == [(1, "aa b", "x", 2, 2, ["1"])] * 2 + [(1, "cc", "y", 0, 1, [])]
+
+
 def test_decontamination_with_empty_tables(spark):
     df, bm = spark.createDataFrame(ODD, DOCS), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(spark, df, bm).filter("contaminated").count() == 0
@@ -276,12 +285,12 @@ def test_warc_round_trip_with_revisits(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert sorted(((p, n, d) for p, n, d, *_ in got), key=repr) == sorted(((p, len((h or "").encode()), sha(h or "")) for p, _, h in rows), key=repr)
     copies = sorted(((p, t, r) for p, n, d, t, r in got if d == sha(big)), key=repr)
-    assert copies == sorted([(2, "response", None), (2, "revisit", 2), (5, "revisit", 2), (9, "revisit", 2), (None, "revisit", 2)], key=repr)
+    assert copies == sorted([(2, "response", None), (2, "response", None), (5, "revisit", 2), (9, "revisit", 2), (None, "revisit", 2)], key=repr)
     assert all(t == "response" for p, n, d, t, r in got if n < 100 or d == sha("é" * 50))
 
 
 def test_warc_reader_finds_damage():
-    good = warc.record(1, 0, "u", b"payload" * 50, "response")
+    good = warc.record("1", "u", b"payload" * 50, "response")
     assert [h["warc-type"] for h, _ in warc.read_records(io.BytesIO(warc.member(good) * 3))] == ["response"] * 3
     for bad in (good.replace(b"payload", b"paylord", 1), good[:-5], good.replace(b"Content-Length: ", b"Content-Length: 1", 1), b"HTTP/1.1 200 OK\r\n\r\n"):
         with pytest.raises(warc.WarcError):
@@ -290,6 +299,20 @@ def test_warc_reader_finds_damage():
         list(warc.read_records(io.BytesIO(warc.member(good)[:-20])))
 
 
+def test_warc_of_string_ids_and_of_none(spark):
+    big = "long payload " * 10
+    rows = [("b:1>", "u", big), ("a b/é", "u", big), (None, "u", big), (None, "u", big + "."), (None, "u", big + ".")]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("refers_to", F.lit(1))).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=repr) == sorted([("a b/é", "response", None), ("b:1>", "revisit", "a b/é"), (None, "revisit", "a b/é"), (None, "response", None), (None, "response", None)], key=repr)
+
+
+def test_warc_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
+    df = spark.createDataFrame([(i, "u", f"page {i}" * 30) for i in range(60)], "page_id long, url string, html string").repartition(2)
+    got = warc.round_trip(spark, df)
+    assert got.count() == 60 and got.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_warc_of_no_pages(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
