@@ -6,24 +6,28 @@ Words are written as single characters, by a vocabulary of the benchmark's words
 all windows and reads each document once.  Word positions map back to byte offsets of the text.
 
 The automaton is sent to executors only for items of up to SHARD_BYTES; a larger benchmark is dealt
-into shards of that size, each read against the documents in turn, and the hits are merged by row.
+into shards of that size.  Each is a pass of its own over the documents, whose hits are written before the next shard is
+sent and the last one freed: a worker never holds more than one.  Hits are then merged by doc_id and text.  The result is the same.
 
-Null and empty texts have no words.  Repeated items count once by item_id; repeated documents give
-repeated rows; rows with a null doc_id are scanned like others.
+Null and empty texts have no words, texts of any length are read whole.  Repeated items count once by item_id, items without an id not at all; repeated documents give
+repeated rows; rows with a null doc_id are scanned like others; empty tables give no rows or no hits.  Other columns stay as they are; one named hit is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _bytes as B
+from ._scratch import Scratch
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _HIT = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
@@ -116,35 +120,43 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int):
         yield i, n, [(r.item, r.text) for r in part.collect()]
 
 
+def _merged(spans: str) -> str:
+    """SQL for a list of spans in order, in which those that touch are one."""
+    return f"""aggregate(array_sort({spans}), cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
+        if(size(acc) > 0 and acc[size(acc) - 1].end >= x.start,
+           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'end', greatest(acc[size(acc) - 1].end, x.end)))),
+           concat(acc, array(x))))"""
+
+
 def scan_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs with a struct `hit`: n_words, n_hit, items (sorted), spans (word numbers, end exclusive)."""
-    out = docs
-    fields: list[str] = []
-    for i, n, items in shards(benchmark, item_col, item_text_col, shard_bytes):
-        held = spark.sparkContext.broadcast(Windows(items))
+    text, passes, scratch = F.col(f"`{text_col}`"), [], None
 
+    def scanner(held):
         @F.pandas_udf(_HIT)
-        def scanned(texts, held=held):
+        def scanned(texts):
             import pandas as pd
 
             rows = list(held.value.scan(pa.array(texts, pa.string())))
             return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
-        fields.append(f"__hit{i}")
-        out = out.withColumn(fields[-1], scanned(F.col(f"`{text_col}`")))
-    if len(fields) == 1:
-        return out.withColumn("hit", F.expr(f"struct({fields[0]}.n_words, {fields[0]}.n_hit, array_sort({fields[0]}.items) as items, {fields[0]}.spans)")).drop(*fields)
-    every = ", ".join(f"{f}.spans" for f in fields)
-    items = ", ".join(f"{f}.items" for f in fields)
-    # merge overlapping spans of different shards, in order
-    merged = f"""aggregate(array_sort(flatten(array({every}))), cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
-        if(size(acc) > 0 and acc[size(acc) - 1].end >= x.start,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'end', greatest(acc[size(acc) - 1].end, x.end)))),
-           concat(acc, array(x))))"""
-    out = out.withColumn("__spans", F.expr(merged))
-    return out.withColumn(
-        "hit", F.expr(f"struct({fields[0]}.n_words as n_words, aggregate(__spans, 0L, (s, x) -> s + x.end - x.start) as n_hit, array_sort(array_distinct(flatten(array({items})))) as items, __spans as spans)")
-    ).drop(*fields, "__spans")
+        return scanned
+
+    for i, n, items in shards(benchmark, item_col, item_text_col, shard_bytes):
+        held = spark.sparkContext.broadcast(Windows(items))
+        if n == 1:
+            out = docs.withColumn("hit", scanner(held)(text))
+            return out.withColumn("hit", F.expr("struct(hit.n_words, hit.n_hit, array_sort(hit.items) as items, hit.spans)"))
+        scratch = scratch or Scratch(spark)
+        got = docs.select(F.col(f"`{id_col}`").alias("i"), F.xxhash64(text).alias("t"), F.octet_length(text).alias("b"), scanner(held)(text).alias("x"))
+        passes.append(scratch.cut(got.filter("x.n_hit > 0").select("i", "t", "b", "x.items", "x.spans").dropDuplicates(["i", "t", "b"]), f"hits-{i}"))
+        held.destroy()
+    hits = reduce(DataFrame.unionByName, passes).groupBy("i", "t", "b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = hits.select(F.struct("i", "t", "b").alias("k"), "items", F.expr(_merged("spans")).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "hit"]).alias("row"), F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(text).alias("t"), F.octet_length(text).alias("b")).alias("d"), F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    same = (F.col("d.t") == F.col("k.t")) & F.col("d.i").eqNullSafe(F.col("k.i")) & F.col("d.b").eqNullSafe(F.col("k.b"))
+    hit = F.expr("struct(n_words, aggregate(coalesce(spans, array()), 0L, (s, x) -> s + x.end - x.start) as n_hit, coalesce(items, array()) as items, coalesce(spans, array()) as spans)")
+    return rows.join(hits, same, "left").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "hit"], hit.alias("hit"))
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
