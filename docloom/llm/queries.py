@@ -21,7 +21,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(spark, _table(spark, sf_dir, "documents").select("doc_id", "source", "text")).filter("is_secret")
+    return secrets.scan(spark, _table(spark, sf_dir, "documents").select("doc_id", "source", "text"), vocabulary_files()).filter("is_secret")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,13 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary_files() -> tuple[str, ...]:
+    """The vocabularies, a parameter as well, whose words are op2's dictionary: an English one and one of many languages."""
+    import public_tokenizers
+
+    return tuple(public_tokenizers.path(f"{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
