@@ -10,8 +10,8 @@ the larger set, so sets of sizes that can't link don't meet.
 
 The overlap of a pair is counted in each of COUNT_FRAGMENTS wider fragments separately, and the partial
 counts are summed per pair.  Groups of near copies are not expanded into pairs: equal sets are one class from the start; the classes of
-a bucket meet its leader, and each class is counted against one; then only classes of one bucket that lie in
-different components yet are counted, which no link escapes.
+a bucket have a leader, and each class is counted against one of its leaders, then against one in each other component that they
+lie in; then only classes of one bucket that lie in different components still are counted, which no link escapes.
 Parity sketches rule pairs out before arrays move: sets that differ in d shingles differ in d bits at most
 (a bit for each of SKETCH_BITS ranges of the order, that of the count of shingles in it).
 
@@ -283,22 +283,33 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     differing = "+".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
     possible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differing} <= ((x.n + y.n) * {100 - percent}) div {100 + percent}"
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        got = overlaps(pairs, segments).join(pairs, ["a", "b"])
-        return got.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
-
-    # each class and the leaders of its buckets, as far as sketches allow
-    x = sketches.select(F.col("key").alias("a"), F.struct("sketch", "n").alias("x"))
-    y = sketches.select(F.col("key").alias("b"), F.struct("sketch", "n").alias("y"))
-    stars = shared.filter("key <> low").select(F.least("key", "low").alias("a"), F.greatest("key", "low").alias("b")).distinct()
-    near = scratch.cut(stars.join(x, "a").join(y, "b").filter(possible).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "near")
-    one = near.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
-    links = scratch.cut(linked(one), "links-1")
+    sides = [sketches.select(F.col("key").alias(k), F.struct("sketch", "n").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of pairs(key, low) that link, by sketches first, then by overlaps."""
+        pairs = pairs.select(F.least("key", "low").alias("a"), F.greatest("key", "low").alias("b")).distinct()
+        near = pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        near = scratch.cut(near, f"near-{name}")
+        got = overlaps(near, segments).join(near, ["a", "b"])
+        return scratch.cut(got.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), f"links-{name}")
+
+    def placed(rows: DataFrame, part: DataFrame, key: str, c: str) -> DataFrame:
+        node, component = F.col("node").alias(f"__{key}"), F.col("component").alias(f"__{c}")
+        rows = rows.join(part.select(node, component), F.col(key) == F.col(f"__{key}"), "left")
+        return rows.withColumn(c, F.coalesce(f"__{c}", key)).drop(f"__{key}", f"__{c}")
+
+    # each class meets one leader of its buckets; then one in each other component that its leaders lie in
+    links = linked(shared.filter("key <> low").groupBy("key").agg(F.min("low").alias("low")), "1")
     part = components(links, scratch, "parts-1")
+    apart = placed(placed(shared.select("key", "low").filter("key <> low").distinct(), part, "key", "c"), part, "low", "d").filter("c <> d")
+    more = linked(apart.groupBy("key", "d").agg(F.min("low").alias("low")), "2")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        part = components(links, scratch, "parts-2")
 
-    # buckets whose classes lie in different components still
-    at = scratch.cut(shared.select("sig", "key").join(part, shared.key == part.node, "left").select("sig", "key", F.coalesce("component", "key").alias("c")).distinct(), "at")
-    mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1 and m > 2").select("sig")
+    # at last classes of one bucket that lie in different components still
+    at = scratch.cut(placed(shared.select("sig", "key"), part, "key", "c").distinct(), "at")
+    mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("sig")
     at = scratch.cut(at.join(mixed, "sig", "left_semi"), "mixed")
     lows = at.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOW_SIGNATURES).alias("lows"))
     at = scratch.cut(at.join(lows, "key").join(sketches, "key").select("sig", "key", "n", "c", "sketch", "lows"), "compared")
@@ -306,15 +317,9 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     once = "coalesce(array_min(array_intersect(x.lows, y.lows)) >= x.sig, true)"
     x, y = at.alias("x"), at.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & F.expr(possible) & F.expr(once))
-    across = across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    # and the leaders that have not been counted, in so far as they lie apart
-    rest = near.join(one.select("a", "b"), ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(part.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    rest = rest.filter("ca <> cb").select("a", "b", "na", "nb")
-    more = scratch.cut(linked(scratch.cut(across.unionByName(rest).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti"), "near-2")), "links-2")
+    more = linked(across.select(F.col("x.key").alias("key"), F.col("y.key").alias("low")), "3")
     if not more.isEmpty():
-        part = components(links.unionByName(more), scratch, "parts-2")
+        part = components(links.unionByName(more), scratch, "parts-3")
 
     # the least doc_id of each component, then of each class; a hot component or class is dealt to SALTS keys
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -322,7 +327,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     least = labels.groupBy("c").agg(F.min("doc_id").alias("least")).withColumn("salt", salts)
     labels = labels.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(least, ["c", "salt"]).select("key", "least")
     labels = scratch.cut(labels, "labels")
-    for name in ("shared", "segments", "sketches", "near", "near-2", "links-1", "links-2", "at", "mixed", "compared", "sizes"):
+    for name in ("shared", "segments", "sketches", "near-1", "near-2", "near-3", "links-1", "links-2", "links-3", "at", "mixed", "compared", "sizes"):
         scratch.drop(name)  # only classes and labels are read from here on
     left = classes.withColumn("salt", F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
     right = labels.withColumn("salt", salts)
