@@ -32,12 +32,18 @@ def collapse(c: Column | str) -> Column:
 
 def utf16_length(c: Column | str) -> Column:
     """Length in UTF-16 code units: astral characters count twice."""
-    return F.length(col(c)) + F.length(F.regexp_replace(col(c), r"[^\x{10000}-\x{10FFFF}]", ""))
+    return (F.octet_length(F.encode(col(c), "UTF-16BE")) / 2).cast("int")
+
+
+def utf16_span(c: Column | str, start: Column | str, end: Column | str) -> Column:
+    """The text between two offsets in UTF-16 code units, as far as it goes."""
+    cut = F.substring(F.encode(col(c), "UTF-16BE"), (2 * col(start) + 1).cast("int"), (2 * (col(end) - col(start))).cast("int"))
+    return F.decode(cut, "UTF-16BE")
 
 
 def approx_tokens(c: Column | str) -> Column:
-    """A token per four characters, rounded up."""
-    return F.ceil(F.length(col(c)) / 4).cast("int")
+    """A token per four UTF-16 code units, rounded up."""
+    return F.ceil(F.octet_length(F.encode(col(c), "UTF-16BE")) / 8).cast("int")
 
 
 def half_up(c: Column) -> Column:
@@ -56,9 +62,9 @@ def group_digits(c: Column | str) -> Column:
 def register(spark: SparkSession) -> None:
     """The helpers as SQL functions of the session."""
     for name, args, kind, body in [
-        ("approx_tokens", "t STRING", "INT", "CAST(ceil(length(t) / 4) AS INT)"),
+        ("approx_tokens", "t STRING", "INT", "CAST(ceil(octet_length(encode(t, 'UTF-16BE')) / 8) AS INT)"),
         ("source_id", "t STRING", "STRING", "substring(sha2(CAST(t AS BINARY), 256), 1, 16)"),
-        ("utf16_length", "t STRING", "INT", r"length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', ''))"),
+        ("utf16_length", "t STRING", "INT", "CAST(octet_length(encode(t, 'UTF-16BE')) / 2 AS INT)"),
         ("half_up", "x DOUBLE", "BIGINT", "floor(x + 0.5D)"),
     ]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")

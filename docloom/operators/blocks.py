@@ -15,7 +15,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = T.approx_tokens, volatility_col: str | None = None) -> DataFrame:
-    """A row per block of the Markdown in text_col, with its span (half-open, code points) in that text.
+    """A row per block of the Markdown in text_col, with its span (half-open, UTF-16 units) in that text.
 
     Blank lines part blocks, a heading line is a block of its own, and a fenced block runs to its closing
     fence whatever stands between.
@@ -23,7 +23,7 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     by = Window.partitionBy("doc_id").orderBy("line_no")
     so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
     x = lines(docs, id_col, text_col)
-    x = x.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    x = x.withColumn("start", F.coalesce(F.sum(T.utf16_length("line") + 1).over(before), F.lit(0)))
     x = x.withColumn("fenced", F.sum(F.col("line").rlike(rf"\A{T.WS}*```").cast("int")).over(so_far) % 2 == 1)
     x = x.withColumn("blank", ~F.col("fenced") & (T.js_trim("line") == "")).withColumn("head", ~F.col("fenced") & F.col("line").rlike(rf"\A{T.WS}*#{{1,6}}{T.WS}"))
     x = x.withColumn("cut", (F.col("blank") | F.col("head") | F.coalesce(F.lag("head").over(by), F.lit(False))).cast("int"))
@@ -41,7 +41,7 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     b = b.withColumns({"kind": kind, "level": F.when(level > 0, level), "tokens": tokens(F.col("markdown"))})
     return b.select(
         "doc_id", "idx", F.concat(F.lit("s"), F.col("idx")).alias("section_id"), "kind", "level", "markdown", "tokens", F.lit("stable").alias("volatility"),
-        F.struct("source_id", F.col("at").cast("int").alias("start"), (F.col("at") + F.length("markdown")).cast("int").alias("end"), F.lit(None).cast("int").alias("page")).alias("src"),
+        F.struct("source_id", F.col("at").cast("int").alias("start"), (F.col("at") + T.utf16_length("markdown")).cast("int").alias("end"), F.lit(None).cast("int").alias("page")).alias("src"),
         F.lit(False).alias("compressed"),
     )
 

@@ -62,7 +62,7 @@ def fact_survival(originals: DataFrame, outputs: DataFrame) -> DataFrame:
     originals: doc_id, text; outputs: doc_id, markdown.  Anchors resolve within the document itself.
     """
     x = originals.join(outputs, "doc_id")
-    spans = F.transform(blocks.parse_anchors("markdown"), lambda a: F.substring(F.col("text"), a["start"] + 1, a["end"] - a["start"]))
+    spans = F.transform(blocks.parse_anchors("markdown"), lambda a: T.utf16_span("text", a["start"], a["end"]))
     x = x.select("doc_id", "markdown", spans.alias("spans"), F.explode(facts("text")).alias("fact"))
     fate = F.when(F.contains("markdown", "fact"), "present").when(F.exists("spans", lambda s: F.contains(s, F.col("fact"))), "recoverable").otherwise("lost")
     return x.select("doc_id", "fact", fate.alias("fate"))

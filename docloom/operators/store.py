@@ -38,7 +38,7 @@ def get(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
 def spans(anchors: DataFrame, stored: DataFrame) -> DataFrame:
     """anchors(source_id, start, end) with the verbatim text of each, null where the span is none."""
     valid = (F.col("start") >= 0) & (F.col("end") >= F.col("start"))
-    cut = F.when(valid, F.substring(F.col("text"), F.col("start") + 1, F.least(F.col("end"), F.length("text")) - F.col("start")))
+    cut = F.when(valid, T.utf16_span("text", "start", "end"))
     return anchors.join(stored.select("source_id", "text"), "source_id", "left").withColumn("span", cut).drop("text")
 
 

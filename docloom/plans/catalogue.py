@@ -461,11 +461,6 @@ def json_table(spark, d):
     return n.select("k", tables.json_table("json").alias("markdown"))
 
 
-@query("SELECT event_id, true AS flat FROM events")
-def json_flat(spark, d):
-    return table(spark, d, "events").select("event_id", tables.flat_objects(F.concat(F.lit("["), "props", F.lit("]"))).isNotNull().alias("flat"))
-
-
 @query("SELECT 'region' AS name, '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || '\\| |', chr(10) ORDER BY r_regionkey) AS markdown FROM region")
 def markdown_table(spark, d):
     r = table(spark, d, "region").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("r"))
@@ -603,3 +598,6 @@ def sanitize(spark, d):
 def guard_rejects(spark, d):
     t = F.when(F.col("doc_id") % 50 == 0, F.lit("  ")).when(F.col("doc_id") % 50 == 1, F.repeat(F.lit("x"), 1000001)).otherwise(F.col("text"))
     return digest.rejects(table(spark, d, "documents").withColumn("text", t)).select("doc_id", "reject")
+
+
+from docloom.plans import conversions  # noqa: E402, F401  its queries are registered here
