@@ -13,7 +13,7 @@ HEAD_SHARE, HEAD_MAX, TAIL_SHARE, TAIL_MAX = 0.25, 2000, 0.15, 1000
 MIN_SECTION_TOKENS, MAX_SHRINK, MIN_TARGET = 24, 0.5, 10
 PREVIEW_CHARS = 72
 MAX_CHARS, MAX_BYTES = 1_000_000, 25 * 1024 * 1024
-RATE_WINDOW = "60 seconds"
+RATE_WINDOW, RATE_CALLERS = "60 seconds", 10_000
 ENTRY_BYTES, ARCHIVE_BYTES = 50 * 1024 * 1024, 200 * 1024 * 1024
 
 #: prefix of anchors and markers in Markdown comments

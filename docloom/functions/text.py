@@ -4,30 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-#: white space as ECMAScript has it; Java's \s is ASCII only
-WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# White space as ECMAScript has it (Java's \s is ASCII only), but for the space itself.
+_SPACES = r"\t-\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS, NOT_WS = f"[ {_SPACES}]", f"[^ {_SPACES}]"
+#: the same, character by character, for functions that take no pattern
+WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value evaluated once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def word(pattern: str) -> str:
     """The pattern between ASCII word boundaries."""
     return rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
 def js_trim(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"\A{WS}+|{WS}+\z", "")
+    return F.trim(col(c), F.lit(WS_CHARS))
 
 
 def js_trim_start(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"\A{WS}+", "")
+    return F.ltrim(col(c), F.lit(WS_CHARS))
 
 
 def collapse(c: Column | str) -> Column:
     """White space runs become one space, none is left at the ends."""
-    return F.trim(F.regexp_replace(col(c), f"{WS}+", " "))
+    plain = F.translate(col(c), WS_CHARS[1:], " " * (len(WS_CHARS) - 1))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def utf16_length(c: Column | str) -> Column:

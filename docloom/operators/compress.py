@@ -20,20 +20,26 @@ def extractive_summary(text: Column | str, target: Column | str, parity: bool =
     With parity, sentences end at every . ! or ? and what stands before an unspaced one is lost, as the
     published behaviour has it; without, they end where white space follows and no character is lost.
     """
-    flat = T.collapse(text)
     if parity:
-        parts = F.regexp_extract_all(flat, F.lit(r"([^.!?]+[.!?]+(?:\s|$)|[^.!?]+$)"), F.lit(0))
+        # the third form takes at once what no sentence can begin in; it is left out
+        found = lambda flat: F.regexp_extract_all(flat, F.lit(r"([^.!?]++[.!?]++(?:\s|$)|[^.!?]++$|[^.!?]*+[.!?]++)"), F.lit(0))
+        whole = lambda p: F.filter(p, lambda s, i: ~s.rlike(r"\A[.!?]") & (~s.rlike(r"[.!?]\z") | (i == F.size(p) - 1)))
+        cut = lambda flat: T.let(found(flat), whole)
     else:
-        parts = F.transform(F.split(flat, r"(?<=[.!?])\s"), lambda s: F.concat(s, F.lit(" ")))
-    parts = F.when(F.size(parts) == 0, F.array(T.col(text))).otherwise(parts)
-    start = F.struct(F.lit("").alias("s"), F.lit(False).alias("stop"))
+        cut = lambda flat: F.transform(F.split(flat, r"(?<=[.!?])\s"), lambda s: F.concat(s, F.lit(" ")))
+    limit = T.col(target).cast("int") * 4
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
-    def step(a, x):
-        full = a["stop"] | ((F.length(a["s"]) > 0) & (T.approx_tokens(F.concat(a["s"], x)) > T.col(target)))
-        return F.struct(F.when(full, a["s"]).otherwise(F.concat(a["s"], x)).alias("s"), full.alias("stop"))
+    def step(a, size):
+        full = a["full"] | ((a["n"] > 0) & (a["used"] + size > limit))
+        return F.struct((a["used"] + F.when(full, 0).otherwise(size)).alias("used"), (a["n"] + F.when(full, 0).otherwise(1)).alias("n"), full.alias("full"))
 
-    out = T.js_trim(F.aggregate(parts, start, step, lambda a: a["s"]))
-    return F.when(F.length(out) < F.length(T.js_trim(text)), F.concat(out, F.lit(" […]"))).otherwise(out)
+    def lead(parts: Column) -> Column:
+        own = F.when(F.size(parts) == 0, F.array(T.col(text))).otherwise(parts)
+        return T.js_trim(F.array_join(F.slice(own, 1, F.aggregate(F.transform(own, T.utf16_length), start, step, lambda a: a["n"])), ""))
+
+    # each step is bound to a name, so that nothing is evaluated twice
+    return T.let(cut(T.collapse(text)), lambda parts: T.let(lead(parts), lambda out: F.when(F.length(out) < F.length(T.js_trim(text)), F.concat(out, F.lit(" […]"))).otherwise(out)))
 
 
 def middle(secs: DataFrame, budget: Column | int, head: Column | None = None, tail: Column | None = None, min_section: int = C.MIN_SECTION_TOKENS) -> DataFrame:
@@ -100,34 +106,53 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.CACHE_PROFILES, "provider string, min_prefix_tokens int, breakpoint_style string, max_breakpoints int, read_factor double, write_premium double")
 
 
+def amortised(first: Column | str, later: Column | str, calls: Column | int) -> Column:
+    """Tokens per call over so many calls."""
+    return T.half_up((T.col(first) + (calls - 1) * T.col(later)) / calls)
+
+
 def savings(spark: SparkSession, prefixes: DataFrame, raw: DataFrame, calls: int = 10) -> DataFrame:
     """A row per document and provider; raw has doc_id and raw_tokens.  The four profiles are a constant table."""
     x = prefixes.join(raw, "doc_id").crossJoin(F.broadcast(profiles(spark)))
     x = x.withColumn("volatile_tokens", F.col("tokens") - F.col("prefix_tokens")).withColumn("cache_eligible", F.col("prefix_tokens") >= F.col("min_prefix_tokens"))
     cost = lambda factor: F.when(F.col("cache_eligible"), T.half_up(F.col("prefix_tokens") * factor + F.col("volatile_tokens"))).otherwise(F.col("tokens"))
     x = x.withColumns({"first_call": cost(1 + F.col("write_premium")), "next_call": cost(F.col("read_factor"))})
-    x = x.withColumn("amortized", T.half_up((F.col("first_call") + (calls - 1) * F.col("next_call")) / calls))
+    x = x.withColumn("amortized", amortised("first_call", "next_call", calls))
     pct = F.when(F.col("raw_tokens") > 0, T.half_up((1 - F.col("next_call") / F.col("raw_tokens")) * 1000) / 10).otherwise(F.lit(0.0))
     ratio = F.when(F.col("raw_tokens") > 0, F.col("tokens") / F.col("raw_tokens")).otherwise(F.lit(1.0))
     return x.select("doc_id", "provider", "raw_tokens", F.col("tokens").alias("compressed_tokens"), "prefix_tokens", "volatile_tokens", "cache_eligible", "first_call", "next_call", "amortized", ratio.alias("ratio"), pct.alias("saved_pct"))
 
 
+def _marker_tokens(as_of: datetime | None, explicit: bool) -> int:
+    stamp = f"<!-- {C.MARKER}:generated {as_of.isoformat()}Z source={'0' * 16} -->" if as_of is not None else ""
+    return -(-len(f"<!-- {C.MARKER}:cache-breakpoint -->") // 4) * explicit + -(-len(stamp) // 4)
+
+
+def ledger(marked: DataFrame, short: DataFrame, raw: DataFrame, marker_tokens: int) -> DataFrame:
+    """doc_id, ord, phase, tokens: what each phase leaves, from the marked sections and the summarised ones, each read once."""
+    kept = F.col("removed_by").isNull()
+    one = marked.groupBy("doc_id").agg(F.sum("tokens").cast("bigint").alias("structure"), F.sum(F.when(kept, F.col("tokens"))).cast("bigint").alias("strip"))
+    two = short.groupBy("doc_id").agg(F.sum("tokens").cast("bigint").alias("summarize")).join(raw, "doc_id")
+    laid = F.when(F.col("summarize") + marker_tokens < F.col("raw_tokens"), F.col("summarize") + marker_tokens).otherwise(F.col("summarize"))
+    wide = one.join(two.select("doc_id", "summarize", laid.alias("layout")), "doc_id", "left")
+    names = ["structure", "strip", "summarize", "layout"]
+    return wide.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("phase"), F.col(n).alias("tokens")) for i, n in enumerate(names)])).alias("x")).select("doc_id", "x.*").filter("tokens is not null")
+
+
 def compress(spark: SparkSession, docs: DataFrame, budget: int, provider: str = "anthropic", as_of: datetime | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> dict[str, DataFrame]:
     """The four phases.  Frames: sections, markdown, phases (long), savings (of the provider), warnings."""
     if budget <= 0:
         raise ValueError("the budget must be positive")
     style = {p[0]: p[2] for p in C.CACHE_PROFILES}[provider]
     parsed = blocks.sections(docs, id_col, text_col)
-    stripped = clean.kept(clean.strip(parsed))
+    marked = clean.strip(parsed)
+    stripped = clean.kept(marked)
     short = summarise(stripped, budget, **options)
     laid = layout(short, as_of, style == "explicit")
     raw = docs.select(F.col(id_col).alias("doc_id"), T.approx_tokens(F.coalesce(text_col, F.lit(""))).cast("bigint").alias("raw_tokens"))
     sums = laid.groupBy("doc_id").agg(F.sum("tokens").alias("laid")).join(raw, "doc_id").select("doc_id", (F.col("laid") < F.col("raw_tokens")).alias("helps"))
     final = laid.join(sums, "doc_id").filter("helps or kind <> 'metadata'").drop("helps")
-    phases = None
-    for i, (name, frame) in enumerate([("structure", parsed), ("strip", stripped), ("summarize", short), ("layout", final)]):
-        one = frame.groupBy("doc_id").agg(F.sum("tokens").cast("bigint").alias("tokens")).select("doc_id", F.lit(i).alias("ord"), F.lit(name).alias("phase"), "tokens")
-        phases = one if phases is None else phases.unionByName(one)
+    phases = ledger(marked, short, raw, _marker_tokens(as_of, style == "explicit"))
     over = short.groupBy("doc_id").agg(F.sum("tokens").alias("t")).filter(F.col("t") > budget).select("doc_id", F.lit("budget-exceeded").alias("code"))
     skipped = sums.filter("not helps").select("doc_id", F.lit("layout-skipped").alias("code"))
     saved = savings(spark, stable_prefix(final), raw).filter(F.col("provider") == provider)

@@ -81,7 +81,10 @@ def rejects(inputs: DataFrame, text_col: str = "text") -> DataFrame:
     return inputs.withColumn("reject", F.when(t.isNull() | (T.js_trim(t) == ""), "empty").when(F.length(t) > C.MAX_CHARS, "too-many-chars").when(F.octet_length(t) > C.MAX_BYTES, "too-many-bytes"))
 
 
-def rate_windows(calls: DataFrame, caller: str, ts: str = "ts", limit: int = 10, window: str = C.RATE_WINDOW) -> DataFrame:
-    """Calls per caller and fixed window, and how many went over the limit; unknown callers share one entry."""
-    x = calls.groupBy(F.coalesce(F.col(caller).cast("string"), F.lit("unknown")).alias("caller"), F.window(ts, window).alias("w")).agg(F.count("*").alias("calls"))
+def rate_windows(calls: DataFrame, caller: str, ts: str = "ts", limit: int = 10, window: str = C.RATE_WINDOW, max_callers: int = C.RATE_CALLERS) -> DataFrame:
+    """Calls per caller and fixed window, and how many went over the limit; unknown callers share one entry,
+    and so do, as `overflow`, those that come first after max_callers others in the window."""
+    x = calls.groupBy(F.coalesce(F.col(caller).cast("string"), F.lit("unknown")).alias("caller"), F.window(ts, window).alias("w")).agg(F.count("*").alias("calls"), F.min(ts).alias("begun"))
+    late = F.row_number().over(Window.partitionBy("w").orderBy("begun", "caller")) > max_callers
+    x = x.withColumn("caller", F.when(late, "overflow").otherwise(F.col("caller"))).groupBy("caller", "w").agg(F.sum("calls").cast("bigint").alias("calls"))
     return x.select("caller", F.col("w.start").alias("window_start"), "calls", F.greatest(F.lit(0), F.col("calls") - limit).cast("bigint").alias("over"))

@@ -19,9 +19,10 @@ def token_report(secs: DataFrame, raw: DataFrame, budget: int | None = None, wit
     return x.withColumn("within_budget", F.col("output_tokens") <= budget) if budget is not None else x
 
 
-def baseline(kind: Column | str, text: Column | str, engine_output: Column | str) -> Column:
-    """The text that savings are measured against: the input itself where it is text."""
-    return F.when(T.col(kind).isin("prompt", "email", "html", "csv", "json"), T.col(text)).otherwise(T.col(engine_output))
+def baseline(kind: Column | str, text: Column | str, engine_output: Column | str, from_file: bool = False) -> Column:
+    """The text that savings are measured against: a text input itself, of a file only HTML, CSV and JSON, else the output."""
+    own = ("html", "csv", "json") if from_file else ("prompt", "email", "html", "csv", "json")
+    return F.when(T.col(kind).isin(*own), T.col(text)).otherwise(T.col(engine_output))
 
 
 def batch_tally(results: DataFrame) -> DataFrame:
@@ -85,8 +86,14 @@ def output_names(files: DataFrame, name_col: str = "file", order_col: str = "seq
     """
     base = F.regexp_replace(F.regexp_extract(F.col(name_col), r"([^/\\]*)\z", 1), r"\.[^.]*\z", "")
     x = files.withColumn("base", base).withColumn("nth", F.row_number().over(Window.partitionBy(F.lower(base)).orderBy(order_col)))
-    taken = x.select(F.lower("base").alias("taken")).filter(F.col("taken").rlike(r"-\d+\z")).groupBy(F.regexp_replace("taken", r"-\d+\z", "").alias("stem")).agg(F.collect_set(F.regexp_extract("taken", r"-(\d+)\z", 1).cast("int")).alias("used"))
-    x = x.join(taken, F.lower("base") == F.col("stem"), "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = F.filter(F.sequence(F.lit(2), F.col("nth") + F.size("used") + 1), lambda i: ~F.array_contains(F.col("used"), i))
-    name = F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.element_at(free, F.col("nth") - 1).cast("string")))
-    return x.withColumn("out_name", F.concat(name, F.lit(".md"))).drop("base", "nth", "stem", "used")
+    # the k-th free number is k + 1 and one more for each taken number u, the r-th of its stem, with u - r - 1 < k: a count of what stands before k
+    own = F.regexp_extract(F.lower("base"), r"\A(.*)-(\d{1,9})\z", 1), F.regexp_extract(F.lower("base"), r"\A(.*)-(\d{1,9})\z", 2).try_cast("int")
+    taken = x.select(own[0].alias("stem"), own[1].alias("u")).filter("u >= 2").distinct()
+    taken = taken.withColumn("at", F.col("u") - F.row_number().over(Window.partitionBy("stem").orderBy("u")) - 1)
+    wanted = x.filter("nth > 1").select(F.lower("base").alias("stem"), (F.col("nth") - 1).alias("at"), F.lit(0).alias("used"))
+    both = wanted.unionByName(taken.select("stem", "at", F.lit(1).alias("used")))
+    before = Window.partitionBy("stem").orderBy("at", "used").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    free = both.withColumn("passed", F.sum("used").over(before)).filter("used = 0").select("stem", (F.col("at") + 1).alias("nth"), (F.col("at") + 1 + F.col("passed")).alias("number"))
+    x = x.withColumn("stem", F.lower("base")).join(free, ["stem", "nth"], "left")
+    name = F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string")))
+    return x.withColumn("out_name", F.concat(name, F.lit(".md"))).select(*files.columns, "out_name")

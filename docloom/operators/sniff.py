@@ -18,24 +18,22 @@ def basename(filename: Column | str) -> Column:
     return F.regexp_extract(T.col(filename), r"([^/\\]*)\z", 1)
 
 
-def filled_lines(c: Column | str) -> Column:
-    return F.filter(F.split(T.col(c), r"\r?\n"), lambda x: T.js_trim(x) != "")
-
-
-def is_csv_like(rows: Column) -> Column:
-    """Two rows or more, three comma fields or more, the same number in each."""
-    widths = F.transform(rows, lambda x: F.size(F.split(x, ",")))
-    return (F.size(rows) >= 2) & F.coalesce((F.array_min(widths) == F.array_max(widths)) & (F.array_min(widths) >= 3), F.lit(False))
-
-
 def probe_text(c: Column | str = "text") -> Column:
+    """Lines are cut once and each is looked at once: whether it holds a tag, and how many commas."""
     c = T.col(c)
-    rows = filled_lines(c)
-    tagged = F.size(F.filter(rows, lambda x: x.rlike(TAG)))
-    return F.struct(
-        F.length(c).alias("chars"), F.size(F.split(c, r"\r?\n")).alias("lines"), F.when(F.size(rows) > 0, tagged / F.size(rows)).otherwise(F.lit(0.0)).alias("markup_ratio"),
-        (F.regexp_count(c, F.lit(MAIL_HEADER)) >= 2).alias("looks_like_email"), is_csv_like(rows).alias("looks_like_csv"),
-    )
+    filled = F.filter(F.split(c, "\n"), lambda x: x.rlike(T.NOT_WS))
+    seen = F.transform(filled, lambda x: F.struct(x.rlike(TAG).alias("tag"), (F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))).alias("commas")))
+
+    def probe(rows: Column) -> Column:
+        commas = F.transform(rows, lambda x: x["commas"])
+        csv = (F.size(rows) >= 2) & F.coalesce((rows[0]["commas"] >= 2) & (F.array_min(commas) == F.array_max(commas)), F.lit(False))
+        return F.struct(
+            T.utf16_length(c).alias("chars"), (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).alias("lines"),
+            F.when(F.size(rows) > 0, F.size(F.filter(rows, lambda x: x["tag"])) / F.size(rows)).otherwise(F.lit(0.0)).alias("markup_ratio"),
+            (F.regexp_count(c, F.lit(MAIL_HEADER)) >= 2).alias("looks_like_email"), csv.alias("looks_like_csv"),
+        )
+
+    return T.let(seen, probe)
 
 
 def probe_pdf(content: Column | str = "content") -> Column:
@@ -49,8 +47,8 @@ def probe_pdf(content: Column | str = "content") -> Column:
 
 
 def is_json(c: Column | str) -> Column:
-    t = T.js_trim(c)
-    return (t.startswith("{") | t.startswith("[")) & F.try_parse_json(t).isNotNull()
+    """Only what begins as an object or an array is parsed."""
+    return F.when(T.col(c).rlike(rf"\A{T.WS}*[\[{{]"), F.try_parse_json(T.js_trim(c)).isNotNull()).otherwise(F.lit(False))
 
 
 def classify_text(c: Column | str, probe: Column, ext: Column) -> Column:

@@ -380,11 +380,8 @@ def savings_by_provider(spark, d):
 
 @query(f"{T_KEPT} SELECT provider, CAST(calls AS INT) AS calls, CAST(sum(floor((f + (calls - 1) * n) / calls::DOUBLE + 0.5)) AS BIGINT) AS amortized FROM ({_SAVED}), unnest([1, 10, 100]) c(calls) GROUP BY 1, 2")
 def amortized_n(spark, d):
-    raw, prefix, out = raw_tokens(threads(spark, d)), compress.stable_prefix(t_kept(spark, d)), None
-    for n in (1, 10, 100):
-        x = compress.savings(spark, prefix, raw, n).groupBy("provider").agg(F.sum("amortized").cast("bigint").alias("amortized")).select("provider", F.lit(n).alias("calls"), "amortized")
-        out = x if out is None else out.unionByName(x)
-    return out
+    x = compress.savings(spark, compress.stable_prefix(t_kept(spark, d)), raw_tokens(threads(spark, d))).withColumn("calls", F.explode(F.array(*[F.lit(n) for n in (1, 10, 100)])))
+    return x.groupBy("provider", "calls").agg(F.sum(compress.amortised("first_call", "next_call", F.col("calls"))).cast("bigint").alias("amortized"))
 
 
 @query(f"{T_KEPT} SELECT doc_id, 's' || idx AS section_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind <> 'heading', idx) - 1 AS INT) AS idx FROM k")

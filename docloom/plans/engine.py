@@ -6,13 +6,37 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import constants as C, text as T
+from docloom.functions.scratch import Scratch
 from docloom.operators import blocks, clean, compress as squeeze, outline as index, prompts, report, sniff, store
 from docloom.sources import delimited, external, html, ooxml, pdf, pdf_layout
 
 
+_CONVERTERS = {"html": html.to_markdown, "csv": delimited.csv_to_markdown, "json": delimited.json_to_markdown, "prompt": prompts.clean_prompt}
+
+
+def _convert(job: str | None, text: str | None) -> tuple[str | None, str | None]:
+    if text is None or job is None:
+        return None, None
+    try:
+        return _CONVERTERS[job](text), None
+    except Exception as e:  # noqa: BLE001  a text that can't be converted takes the text path
+        return None, f"{type(e).__name__}: {e}"
+
+
+def _converted(job: Column, text: Column) -> Column:
+    """struct(markdown, error) of each text, by its kind."""
+
+    @F.pandas_udf("markdown string, error string")
+    def run(jobs: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_convert(j, t) for j, t in zip(jobs, texts)], columns=["markdown", "error"])
+
+    return run(job, text)
+
+
 @dataclass
 class Engine:
     """Services are optional callables; `originals` is the path of the store of original texts."""
@@ -29,41 +53,37 @@ class Engine:
     def convert_texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filename_col: str | None = None, budget: int | None = None, structure: bool = True) -> DataFrame:
         """doc_id, kind, engine, markdown, input_tokens, output_tokens, warnings for texts of any kind.
 
-        Equal texts are converted once.  Each kind is a branch of its own, so only the rows that need Python meet it.
+        The input is read once: sniffed, converted in one Python pass that goes by the kind (other kinds' texts don't reach
+        it), and written; sections and the result are made from what was written.  A text that its converter
+        fails on takes the text path, with a warning.
         """
         x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(filename_col).alias("filename")] if filename_col else []))
-        x = x.withColumn("source_id", T.source_id("text"))
-        name = ["filename"] if filename_col else []
-        unique = x.dropDuplicates(["source_id", *name])
-        unique = sniff.sniff(unique, "text", filename_col and "filename").withColumn("decision", sniff.route("kind"))
-        base = unique.select("source_id", *name, "kind", F.col("decision.engine").alias("engine"), "text")
-        parts = [html.convert(base.filter("kind = 'html'"), "text"), delimited.convert(base.filter("kind = 'csv'"), "csv"), delimited.convert(base.filter("kind = 'json'"), "json")]
-        plain = prompts.strip_filler(base.filter("kind = 'prompt'"))
+        x = sniff.sniff(x, "text", filename_col and "filename").withColumn("engine", sniff.route("kind")["engine"])
         # headings and fences mark Markdown, which is not taken for a request
-        marked = F.col("text").rlike(r"(?m)^(?:#{1,6}\s|```)")
-        plain = plain.withColumn("cleaned", F.when(marked, F.col("text")).otherwise(F.col("cleaned")))
+        request = (F.col("kind") == "prompt") & ~F.col("text").rlike(r"(?m)^(?:#{1,6}\s|```)")
+        job = F.when(F.col("kind").isin("html", "csv", "json"), F.col("kind")).when(request, "prompt")
+        x = x.withColumn("made", _converted(job, F.when(job.isNotNull(), F.col("text"))))
+        failed = F.col("made.error").isNotNull()
+        shorter = F.col("made.markdown").isNotNull() & ((F.col("kind") != "prompt") | (T.approx_tokens("made.markdown") < T.approx_tokens("text")))
+        x = x.withColumns({"engine": F.when(failed, "prompt-optimizer").otherwise(F.col("engine")), "converted": F.when(shorter, F.col("made.markdown")).otherwise(F.col("text")), "failed": failed})
         if structure:
-            plain = prompts.structure(plain, "cleaned", "markdown").withColumn("markdown", F.when(marked, F.col("text")).otherwise(F.col("markdown")))
-        else:
-            plain = plain.withColumn("markdown", F.col("cleaned"))
-        cols = ["source_id", *name, "kind", "engine", "text", "markdown"]
-        done = plain.select(*cols).unionByName(base.filter("kind = 'email'").withColumn("markdown", F.col("text")).select(*cols))
-        for p in parts:
-            done = done.unionByName(p.select(*cols))
-        marked_secs = clean.strip(blocks.sections(done.select(F.concat_ws("|", "source_id", *name).alias("doc_id"), F.col("markdown").alias("text"))))
-        stripped = clean.kept(marked_secs)
-        sums = clean.strip_report(marked_secs)
-        md = blocks.render(stripped).join(sums, "doc_id", "right")
-        out = done.drop("markdown").withColumn("__k", F.concat_ws("|", "source_id", *name)).join(md.withColumnRenamed("doc_id", "__k"), "__k", "left")
-        out = out.withColumns({"markdown": F.coalesce("markdown", F.lit("")), "input_tokens": T.approx_tokens("text").cast("bigint"), "output_tokens": F.coalesce("kept_tokens", F.lit(0))})
+            laid = prompts.structure(x.withColumn("request", request), "converted", "laid").drop("structured")
+            x = laid.withColumn("converted", F.when(F.col("request"), F.col("laid")).otherwise(F.col("converted"))).drop("laid", "request")
+        x = x.withColumns({"row": F.monotonically_increasing_id(), "input_tokens": T.approx_tokens("text").cast("bigint")})
+        x = Scratch(self.spark).cut(x.select("row", "doc_id", "kind", "engine", "failed", "converted", "input_tokens"), "converted")
+        marked = clean.strip(blocks.sections(x, "row", "converted"))
+        md = blocks.render(clean.kept(marked)).join(clean.strip_report(marked), "doc_id", "right").withColumnRenamed("doc_id", "row")
+        out = x.drop("converted").join(md, "row", "left")
+        out = out.withColumns({"markdown": F.coalesce("markdown", F.lit("")), "output_tokens": F.coalesce("kept_tokens", F.lit(0))})
         grew = F.when((F.col("output_tokens") > F.col("input_tokens")) & F.col("kind").isin("html", "csv", "json"), "grew")
         removed = F.when(clean.content_removed(F.coalesce("removed_tokens", F.lit(0)), F.coalesce("removed_tokens", F.lit(0)) + F.col("output_tokens")), "content-removed")
-        out = out.withColumn("warnings", F.array_compact(F.array(grew, removed, F.when(F.col("kind").isin("prompt", "email"), "no-language-model"))))
-        out = x.select("doc_id", "source_id", *name).join(out.select("source_id", *name, "kind", "engine", "markdown", "input_tokens", "output_tokens", "warnings"), ["source_id", *name]).drop("source_id", *name)
+        text_path = F.when(F.col("kind").isin("prompt", "email") | F.col("failed"), "no-language-model")
+        out = out.withColumn("warnings", F.array_compact(F.array(F.when(F.col("failed"), "engine-error"), grew, removed, text_path)))
+        out = out.select("row", "doc_id", "kind", "engine", "markdown", "input_tokens", "output_tokens", "warnings")
         if budget is None:
-            return out
-        short = self.compress(out.select("doc_id", F.col("markdown").alias("text")), budget)["markdown"].withColumnRenamed("markdown", "short")
-        out = out.join(short, "doc_id", "left")
+            return out.drop("row")
+        short = self.compress(out.select(F.col("row").alias("doc_id"), F.col("markdown").alias("text")), budget)["markdown"].select(F.col("doc_id").alias("row"), F.col("markdown").alias("short"))
+        out = out.join(short, "row", "left").drop("row")
         less = (F.col("output_tokens") > budget) & (T.approx_tokens("short") < F.col("output_tokens"))
         return out.withColumns({"markdown": F.when(less, F.col("short")).otherwise(F.col("markdown")), "output_tokens": F.when(less, T.approx_tokens("short").cast("bigint")).otherwise(F.col("output_tokens"))}).drop("short")
 
@@ -112,9 +132,11 @@ class Engine:
 
     def batch(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(results with out_name, the tally)."""
-        done = self.convert_files(files).withColumns({"in_tokens": F.lit(0).cast("bigint"), "out_tokens": T.approx_tokens(F.coalesce("markdown", F.lit(""))).cast("bigint")})
-        sizes = files.select("path", F.ceil(F.length("content") / 4).cast("bigint").alias("in_tokens"))
-        done = report.output_names(done.drop("in_tokens").join(sizes, "path"), "path", "path")
+        done = self.convert_files(files)
+        own = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("own"))
+        markdown = F.coalesce("markdown", F.lit(""))
+        done = done.join(own, "path").withColumns({"in_tokens": T.approx_tokens(F.coalesce(report.baseline("kind", "own", markdown, from_file=True), F.lit(""))).cast("bigint"), "out_tokens": T.approx_tokens(markdown).cast("bigint")})
+        done = report.output_names(done.drop("own"), "path", "path")
         return done, report.batch_tally(done)
 
     def capabilities(self) -> DataFrame:

@@ -13,7 +13,7 @@ from docloom.sources.html import markdown_table
 
 # Tolerances in points, or as a share of the font height.
 ROW_TOLERANCE, CELL_GAP, SPACE_SHARE, SPACE_LEAST = 0.6, 5.0, 0.2, 0.5
-TABLE_CELLS, TABLE_ROWS, INDENT, INDENT_SLACK = 3, 2, 4.0, 2.0
+TABLE_CELLS, TABLE_ROWS, INDENT_SLACK = 3, 2, 2.0
 EMPTY_CHARS, EMPTY_CHARS_PER_PAGE = 20, 10
 _NUMBERS = re.compile(r"(?:^|\s)\(?\d[\d,.]*\)?%?(?=\s|$)")
 
@@ -100,19 +100,19 @@ def fold_header(labels: list[dict], names: list[str], bounds: list[float]) -> li
     return out
 
 
-def qualify(rows: list[list[dict]], grid: list[list[str]]) -> None:
-    """First-column labels get the path of the labels they are indented under."""
-    stack: list[tuple[float, str]] = []
+def qualify(rows: list[list[dict]], grid: list[list[str]], bounds: list[float]) -> None:
+    """A row's first cell, in whatever column, gets the path of the labels further left above it."""
+    above: list[tuple[float, str]] = []
     for row, line in zip(rows, grid, strict=True):
-        if not line or not line[0]:
+        k = column_of(row[0], bounds) if row else 0
+        if not row or not line[k]:
             continue
         x = row[0]["x"]
-        while stack and stack[-1][0] >= x - INDENT_SLACK:
-            stack.pop()
-        label = line[0]
-        if stack and x - stack[-1][0] >= INDENT:
-            line[0] = " › ".join([s for _, s in stack] + [label])
-        stack.append((x, label))
+        while above and above[-1][0] >= x - INDENT_SLACK:
+            above.pop()
+        if above:
+            line[k] = f"{above[-1][1]} › {line[k]}"
+        above.append((x, line[k]))
 
 
 def render_table(rows: list[list[dict]], header: list[dict] | None = None) -> str | None:
@@ -126,7 +126,7 @@ def render_table(rows: list[list[dict]], header: list[dict] | None = None) -> st
             k = column_of(c, bounds)
             line[k] = f"{line[k]} {c['text']}".strip()
         grid.append(line)
-    qualify(rows[1:], grid[1:])
+    qualify(rows[1:], grid[1:], bounds)
     if header:
         grid[0] = fold_header(header, grid[0], bounds)
     used = [k for k in range(len(bounds) + 1) if any(line[k] for line in grid)]
