@@ -1,35 +1,5 @@
-"""Where intermediate tables go, so that a lost executor never costs more than one stage."""
+"""Where intermediate tables go: the engine's own helper, under the shared folder."""
 
-from __future__ import annotations
+from docloom.functions.scratch import Scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.gettempdir() + "/docloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
-
-
-class Scratch:
-    """Names tables under one shared folder; `cut` writes a frame there and reads it back."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_dir(spark)
-
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later frame reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]
