@@ -97,11 +97,12 @@ class Engine:
         texts = self.convert_texts(text.select("path", "text", "filename"), "path", "text", "filename", structure=False)
         texts = texts.select(F.col("doc_id").alias("path"), "kind", "engine", F.lit(True).alias("ok"), "markdown", F.lit(None).cast("string").alias("error"))
         native = x.filter("kind = 'pdf' and engine = 'native'")
-        pages = pdf_layout.layout(pdf.read_items(native).withColumnRenamed("path", "doc_id"))
-        flat = pdf_layout.join_pages(pages).withColumnRenamed("doc_id", "path")
-        pdfs = native.select("path", "kind", "engine", "content", "pdf", "decision").join(flat, "path", "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
+        runs = pdf.read_items(native).withColumnRenamed("path", "doc_id")
+        flat = pdf_layout.join_pages(pdf_layout.layout(runs.filter("page is not null").drop("error"))).withColumnRenamed("doc_id", "path")
+        broken = runs.filter("page is null").select(F.col("doc_id").alias("path"), F.col("error").alias("broken"))
+        pdfs = native.select("path", "kind", "engine", "content", "pdf", "decision").join(flat, "path", "left").join(broken, "path", "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
         pdfs = pdfs.withColumn("escalate", sniff.escalation(F.col("decision.post_checks"), "markdown", F.col("pdf.page_count"))["escalate"])
-        fast = pdfs.select("path", "kind", "engine", (F.col("markdown") != "").alias("ok"), "markdown", F.when(F.col("markdown") == "", "no text layer: OCR is needed").alias("error"))
+        fast = pdfs.select("path", "kind", "engine", (F.col("markdown") != "").alias("ok"), "markdown", F.when(F.col("markdown") == "", F.coalesce("broken", F.lit("no text layer: OCR is needed"))).alias("error"))
         if self.ocr is not None:  # the slow engine's output replaces the fast one's where it has any
             again = external.map_service(pdfs.filter("escalate").select("path", "content"), self.ocr, "better", "OCR").select("path", "better")
             fast = fast.join(again, "path", "left").withColumn("markdown", F.coalesce("better", "markdown")).withColumn("engine", F.when(F.col("better").isNotNull(), "docling").otherwise(F.col("engine"))).withColumn("ok", F.col("markdown") != "").withColumn("error", F.when(~F.col("ok"), F.col("error"))).select(*cols)

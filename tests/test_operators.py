@@ -322,3 +322,29 @@ def test_originals_stream_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT count(*) AS n FROM once").first().n == 2
+
+
+def test_filler_keeps_up_with_long_paragraphs():
+    import time
+
+    text = " ".join(f"Sentence number {i} says that {i * 7} is not {i * 3}." for i in range(8000))
+    begin = time.perf_counter()
+    assert prompts.clean_paragraph(text).count(".") == 8000
+    assert time.perf_counter() - begin < 5
+
+
+def test_callers_past_the_cap_share_an_entry(spark):
+    from docloom.operators import digest
+
+    rows = [("2024-01-01 00:00:%02d" % (i % 60), f"c{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "ts string, who string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.caller: (r.calls, r.over) for r in digest.rate_windows(df, "who", "ts", 2, max_callers=10).collect()}
+    assert got.pop("overflow") == (20, 18) and len(got) == 10 and set(got.values()) == {(1, 0)}
+
+
+def test_a_text_that_its_converter_fails_on_takes_the_text_path(spark, monkeypatch):
+    from docloom.plans import engine
+
+    assert engine._convert("html", None) == (None, None)
+    monkeypatch.setitem(engine._CONVERTERS, "json", lambda t: 1 / 0)
+    assert engine._convert("json", "{}")[1].startswith("ZeroDivisionError")

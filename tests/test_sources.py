@@ -177,3 +177,60 @@ def test_files_in_and_out(spark, tmp_path):
         files.from_files(spark, f"{tmp_path}/in", "*.nope")
     files.write_markdown(spark.createDataFrame([("a.md", "# A")], "out_name string, markdown string"), f"file://{tmp_path}/out")
     assert (tmp_path / "out/a.md").read_text() == "# A"
+
+
+def test_pdf_page_tree_object_streams_and_unicode_maps():
+    import zlib
+
+    cmap = b"1 beginbfchar <01> <0041> endbfchar 1 beginbfrange <02> <04> <00620063> endbfrange 1 beginbfrange <05> <06> [<00E9> <D83DDE00>] endbfrange"
+    inner = [(7, b"<< /Type /Page /Contents 21 0 R /Resources << /Font << /F1 30 0 R >> >> >>"), (8, b"<< /Type /Page /Contents 20 0 R >>")]
+    head = b" ".join(b"%d %d" % (n, sum(len(b) + 1 for _, b in inner[:i])) for i, (n, _) in enumerate(inner)) + b" "
+    packed = zlib.compress(head + b" ".join(b for _, b in inner))
+    obj = lambda n, body: b"%d 0 obj %s endobj\n" % (n, body)
+    stream = lambda body, more=b"": b"<< /Length %d %s>> stream\n%s\nendstream" % (len(body), more, body)
+    data = b"%PDF-1.5\n" + obj(1, b"<< /Type /Catalog /Pages 2 0 R >>") + obj(2, b"<< /Type /Pages /Kids [8 0 R 3 0 R] >>") + obj(3, b"<< /Type /Pages /Kids [7 0 R] >>")
+    data += obj(5, b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode >> stream\n%s\nendstream" % (len(head), packed)) + obj(20, stream(b"BT /F9 10 Tf 50 700 Td (first) Tj ET")) + obj(21, stream(b"BT /F1 10 Tf 50 700 Td <0102040506> Tj ET")) + obj(30, b"<< /Type /Font /ToUnicode 31 0 R >>") + obj(31, stream(zlib.compress(cmap), b"/Filter /FlateDecode "))
+    assert [(p, t) for p, _, t, *_ in pdf.items(data)] == [(1, "first"), (2, "Abcbeé😀")]
+
+
+def test_pdf_errors_are_values(spark):
+    broken = b"%PDF-1.4\n1 0 obj << /Type /Page /Contents 2 0 R >> endobj\n2 0 obj << /Filter /FlateDecode >> stream\nnot deflated\nendstream endobj\n"
+    with pytest.raises(pdf.PdfError):
+        list(pdf.items(broken))
+    files_ = spark.createDataFrame([("a.pdf", bytearray(broken)), ("b.pdf", bytearray(broken.replace(b"/Filter /FlateDecode", b"").replace(b"not deflated", b"BT (fine) Tj ET")))], "path string, content binary")
+    got = {r.path: (r.page, r.text, r.error is None) for r in pdf.read_items(files_).collect()}
+    assert got == {"a.pdf": (None, None, False), "b.pdf": (1, "fine", True)}
+
+
+WORKER = "import sys, json, time\nfor line in sys.stdin:\n    r = json.loads(line)\n    if r['text'] == 'die': sys.exit(1)\n    if r['text'] == 'slow': time.sleep(30)\n    print(json.dumps({'id': r['id'], 'ok': r['text'] != 'bad', 'markdown': r['text'].upper(), 'error': 'refused'}), flush=True)\n"
+
+
+def test_a_line_worker_starts_again(tmp_path):
+    import sys
+
+    (tmp_path / "worker.py").write_text(WORKER)
+    work = external.LineWorker([sys.executable, str(tmp_path / "worker.py")], timeout=2)
+    assert work({"text": "one"}) == "ONE"
+    for text, said in (("bad", "refused"), ("die", "ended"), ("slow", "ended")):
+        with pytest.raises(RuntimeError, match=said):
+            work({"text": text})
+    assert work({"text": "two", "content": b"\x00"}) == "TWO"
+    work.close()
+
+
+def test_model_requests_and_answers():
+    code = external.prompt_request("fix the bug in this function", "prompt", 100)
+    assert code["max_tokens"] == 120 and "software" in code["messages"][0]["content"] and code["temperature"] == 0
+    assert "thread" in external.prompt_request("x", "email")["messages"][0]["content"] and external.prompt_request("a poem", "prompt")["messages"][0]["content"] == external.RULES
+    assert external.prompt_request("x", "prompt", rules="own")["messages"][0]["content"] == "own" and external.summary_request("t", 10)["max_tokens"] == 64
+    ask = external.prompt_optimizer(lambda r: {"content": [{"text": " fine "}], "finish_reason": "stop"})
+    assert ask({"text": "x", "kind": None}) == "fine"
+    for bad in ({"content": " "}, {"content": "cut", "finish_reason": "length"}):
+        with pytest.raises(RuntimeError):
+            external.whole_answer(bad)
+
+
+def test_model_summaries_fail_as_rows(spark):
+    rows = spark.createDataFrame([(1, "text", 20), (2, "cut", 20)], "id int, markdown string, target int")
+    call = lambda r: {"content": "short", "finish_reason": "length" if r["messages"][1]["content"] == "cut" else "stop"}
+    assert [(r.id, r.summary, r.error is None) for r in external.model_summaries(rows, call).orderBy("id").collect()] == [(1, "short", True), (2, None, False)]
