@@ -7,11 +7,12 @@ import re
 from math import comb
 from pathlib import Path
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, html_text, licenses, quality, secrets, warc
+from docloom.llm import bpe, decontaminate, html_text, licenses, oracles, quality, secrets, warc
 from docloom.llm.queries import tokenizer_file, vocabulary_files
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -139,6 +140,41 @@ def test_cutoffs_hold_the_limit_on_other_documents(spark):
     assert {x.doc_id for x in quality.kept_documents(spark, df, labels).collect()} == kept
 
 
+def test_every_stratum_gets_cutoffs_and_sql_agrees(spark):
+    """Three strata with labels enough: the SQL's verdicts are the same, and fresh documents of each are seldom rejected wrongly."""
+    r = random.Random(21)
+    langs, rows, labels = ["en", "de", None], [], []
+    for i in range(3600):
+        bad, kind = i % 5 == 0, r.choice(["#", "rows", "caps"])
+        words = ["w%d" % r.randint(0, 99999) for _ in range(60)]
+        if bad or r.random() < 0.003:
+            words = [w + "##" for w in words] if kind == "#" else [w.upper() + "XYZXYZ" for w in words] if kind == "caps" else words[:20] * 2 + words[20:35]
+        rows.append((i, " ".join(words), langs[i % 3], "s", 1))
+        if i < 3000:
+            labels.append((i, int(not bad), 0))
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fitted = quality.fit(quality.features(df), lab).filter("cutoff is not null").collect()
+    assert {x.stratum for x in fitted} == {"en", "de", ""} and len(fitted) >= 6
+    got = sorted(tuple(x) for x in quality.verdicts(spark, df, lab).collect())
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    con.register("labels", lab.toArrow())
+    assert got == sorted(con.execute(oracles.QUALITY).fetchall())
+    kept = {x[0] for x in got if x[-1]}
+    for k in range(3):
+        fresh = [i for i in range(3000, 3600) if i % 3 == k and i % 5]
+        assert sum(i not in kept for i in fresh) <= 2 * quality.ALPHA * len(fresh)
+        assert sum(i in kept for i in range(3600) if i % 3 == k and i % 5 == 0) < 0.3 * 240
+
+
+def test_quality_with_clashing_columns_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "a b " * 40, "en", 7, 8), (2, None, None, 7, 8)], "doc_id long, text string, lang string, row int, stratum int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((x.doc_id, x.kept) for x in quality.verdicts(spark, df, labels).collect()) == [(1, False), (2, False)]
+    assert quality.kept_documents(spark, df, labels).columns == df.columns
+    assert quality.verdicts(spark, df.limit(0), labels).count() == 0 and quality.kept_documents(spark, df.limit(0), labels).count() == 0
+
+
 # --- 6 -------------------------------------------------------------------------------------------
 def test_published_licence_texts(spark):
     """Each file is a licence as published, and is named by its identifier; as a comment block and in capitals it is known too."""
