@@ -1,8 +1,9 @@
 """A corpus pipeline of five of the llm operators: each stage works on what the one before kept.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of documents, the last one
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents, whatever further ones docs has, the last one
 the documents' tokens.  Repeated rows of one doc_id are one document; a row without doc_id can't be told
-apart from others without, so line dedup and near-duplicate removal let it pass.
+apart from others without, so line dedup and near-duplicate removal let it pass.  Empty tables give empty
+results; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,32 +18,32 @@ _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the risk-controlled cutoffs reject go."""
+    """Documents that the base rules or the risk-controlled cutoffs reject go, null and empty texts among them; a value equal to a cutoff passes, repeated rows go or stay together."""
     return quality.kept_documents(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; so do documents of which no word is left."""
+    """Later repeated runs of lines go; so do documents of which no word is left.  Equal runs are ordered by doc_id and line; null texts pass."""
     out = line_dedup.remove_repeated_lines(spark, docs)
     out = out.filter((F.col("n_removed_lines") == 0) | F.col("text").rlike(_HAS_WORD))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (5-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays, once."""
+    """Of each group of linked documents (5-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays, once; rows without words or doc_id pass."""
     groups = jaccard_join.link_components(spark, docs, words=5, percent=80)
     stay = groups.filter((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null texts and items hold none."""
     hit = decontaminate.scan_documents(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hit.filter("hit.n_hit = 0").select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digest of what they decode to."""
+    """Token ids of each document, with the digest of what they decode to; a null text has none."""
     return bpe.token_digests(docs.select("doc_id", "lang", "source", "text"), tokenizer_file(), with_ids=True)
 
 
