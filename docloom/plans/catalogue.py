@@ -535,20 +535,35 @@ def facts(spark, d):
     return report.fact_rows(order_texts(spark, d))
 
 
-@query(f"""WITH {_ORDERED}, f AS (SELECT doc_id, text, unnest({_FACTS}) AS fact FROM ot), c AS (SELECT *, left(text, 24) AS md FROM f)
-SELECT CASE WHEN contains(md, fact) THEN 'present' WHEN doc_id % 2 = 0 AND contains(substring(text, 13, 38), fact) THEN 'recoverable' ELSE 'lost' END AS fate, count(*) AS n FROM c GROUP BY 1""")
+def order_letters(spark, d):
+    """A letter per fifty orders, five to a paragraph: enough to be compressed."""
+    x = order_texts(spark, d).groupBy(F.floor(F.col("doc_id") / 50).alias("k"), F.floor(F.col("doc_id") / 5).alias("p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda o: o["text"]), " ").alias("para"))
+    x = x.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "para"))), lambda o: o["para"]), "\n\n").alias("body"))
+    return x.select(F.col("k").alias("doc_id"), F.concat(F.lit("# Orders since ORD-"), (F.col("k") * 50 + 1000).cast("string"), F.lit("\n\n"), "body", F.lit("\n\nCopyright 2024 REF-"), (F.col("k") + 1000).cast("string")).alias("text"))
+
+
+def compressed_letters(spark, d):
+    docs = order_letters(spark, d)
+    return docs, blocks.render(compress.summarise(clean.kept(clean.strip(blocks.sections(docs))), BUDGET))
+
+
+_LETTERS = f"""{_ORDERED}, op AS (SELECT doc_id // 50 AS k, doc_id // 5 AS p, string_agg(text, ' ' ORDER BY doc_id) AS para FROM ot GROUP BY 1, 2),
+ol AS (SELECT k AS doc_id, '# Orders since ORD-' || (k * 50 + 1000) || chr(10) || chr(10) || string_agg(para, chr(10) || chr(10) ORDER BY p) || chr(10) || chr(10) || 'Copyright 2024 REF-' || (k + 1000) AS text FROM op GROUP BY k), {sections_sql('ol')}, {STRIP}, {MIDDLE},
+md AS (SELECT doc_id, string_agg(markdown, chr(10) || chr(10) ORDER BY idx) AS md FROM x GROUP BY 1)"""
+
+
+@query(f"""WITH {_LETTERS}, f AS (SELECT doc_id, unnest({_FACTS}) AS fact FROM ol), sp AS (SELECT x.doc_id, list(substring(ol.text, k.st + 1, k.en - k.st)) AS spans FROM x JOIN k USING (doc_id, idx) JOIN ol USING (doc_id) WHERE x.compressed GROUP BY 1)
+SELECT CASE WHEN contains(md, fact) THEN 'present' WHEN len(list_filter(coalesce(spans, []), lambda s: contains(s, fact))) > 0 THEN 'recoverable' ELSE 'lost' END AS fate, count(*) AS n FROM f JOIN md USING (doc_id) LEFT JOIN sp USING (doc_id) GROUP BY 1""")
 def fact_survival(spark, d):
-    docs = order_texts(spark, d)
-    anchor = blocks.format_anchor(F.lit("0" * 16), F.lit(12), F.lit(50))
-    md = docs.select("doc_id", F.concat(F.left("text", F.lit(24)), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n"), anchor)).otherwise(F.lit(""))).alias("markdown"))
-    return report.fact_survival(docs, md).groupBy("fate").agg(F.count("*").alias("n"))
+    """What becomes of the facts of letters that are compressed to a budget: what isn't in the text is behind its anchors."""
+    return report.fact_survival(*compressed_letters(spark, d)).groupBy("fate").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {_ORDERED}, e AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '# ' || left(text, 20) ELSE text END AS cleaned, {_FACTS} AS f FROM ot)
+@query(rf"""WITH {_LETTERS}, e AS (SELECT doc_id, text, md AS cleaned, {_FACTS} AS f FROM ol JOIN md USING (doc_id))
 SELECT doc_id, round(0.6 * (CASE WHEN len(f) > 0 THEN len(list_filter(f, lambda z: contains(cleaned, z)))::DOUBLE / len(f) ELSE 1 END) + 0.2 * greatest(0, least(1, 1 - length(cleaned)::DOUBLE / length(text))) + 0.2 * (CASE WHEN regexp_matches(cleaned, '(?m)^(#{{1,6}}\s|[-*+]\s|\|)') THEN 1 ELSE 0 END), 9)::DOUBLE AS score FROM e""")
 def eval_score(spark, d):
-    x = order_texts(spark, d).withColumn("cleaned", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), F.left("text", F.lit(20)))).otherwise(F.col("text")))
-    return report.eval_score(x).select("doc_id", F.round("score", 9).alias("score"))
+    docs, md = compressed_letters(spark, d)
+    return report.eval_score(docs.join(md, "doc_id"), "text", "markdown").select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query("SELECT day, CAST(rank_ AS INT) AS rank_, event_id, points FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, value AS points, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY value DESC, event_id) AS rank_ FROM events WHERE event_type IS NOT NULL AND event_type <> '') WHERE rank_ <= 10")
