@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions import constants as C, text as T
 from docloom.operators import blocks, clean
+from docloom.sources import external
 
 
 def extractive_summary(text: Column | str, target: Column | str, parity: bool = True) -> Column:
@@ -62,10 +63,18 @@ def middle(secs: DataFrame, budget: Column | int, head: Column | None = None, ta
     return x.withColumn("target", F.greatest(F.lit(C.MIN_TARGET), F.floor(F.col("tokens") * F.col("shrink")).cast("int") - F.coalesce(T.approx_tokens("anchor") + 1, F.lit(0))))
 
 
-def summarise(secs: DataFrame, budget: Column | int, summary: Callable[[Column, Column], Column] = extractive_summary, **options) -> DataFrame:
-    """secs with the largest middle sections summarised, one by one until the document fits its budget."""
+def summarise(secs: DataFrame, budget: Column | int, summary: Callable[[Column, Column], Column] = extractive_summary, model: Callable[[dict], dict] | None = None, **options) -> DataFrame:
+    """secs with the largest middle sections summarised, one by one until the document fits its budget.
+
+    A model, if given, is asked for the summaries of all candidates; where it fails `summary` stands in.
+    """
     x = middle(secs, budget, **options)
-    short = F.when(F.col("candidate") & (F.col("total") > F.col("budget")), F.concat_ws("\n", summary(F.col("markdown"), F.col("target")), F.col("anchor")))
+    needed, lead = F.col("candidate") & (F.col("total") > F.col("budget")), summary(F.col("markdown"), F.col("target"))
+    if model is not None:
+        asked = external.model_summaries(x.filter(needed).select("doc_id", "idx", "markdown", "target"), model)
+        x = x.join(asked.select("doc_id", "idx", "summary"), ["doc_id", "idx"], "left")
+        lead = F.coalesce("summary", lead)
+    short = F.when(needed, F.concat_ws("\n", lead, F.col("anchor")))
     x = x.withColumn("short", short).withColumn("short_tokens", T.approx_tokens("short"))
     x = x.withColumn("saving", F.when(F.col("candidate"), F.greatest(F.lit(0), F.col("tokens") - F.coalesce("short_tokens", "tokens"))).otherwise(0))
     order = Window.partitionBy("doc_id").orderBy(F.desc("candidate"), F.desc("tokens"), "idx").rowsBetween(Window.unboundedPreceding, -1)

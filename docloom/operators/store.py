@@ -23,16 +23,24 @@ def absent(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def put(spark: SparkSession, path: str, docs: DataFrame, text_col: str = "text", label: str | None = None, as_of: datetime | None = None) -> None:
-    """Appends to the table at path the originals that it has not."""
+    """Appends to the table at path the originals that it has not.
+
+    Writers that append at the same time may both add a text; the rows are the same but for their label, and `load` gives one.
+    """
     new = originals(docs, text_col, label, as_of)
     if _exists(spark, path):
         new = absent(new, spark.read.parquet(path))
     new.write.mode("append").parquet(path)
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The originals, each once, whoever has put them there."""
+    return spark.read.parquet(path).dropDuplicates(["source_id"])
+
+
 def get(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
     """The originals with these ids; what is no id finds nothing."""
-    return spark.read.parquet(path).filter(F.col("source_id").rlike(SOURCE_ID) & F.col("source_id").isin(ids))
+    return spark.read.parquet(path).filter(F.col("source_id").rlike(SOURCE_ID) & F.col("source_id").isin(ids)).dropDuplicates(["source_id"])
 
 
 def spans(anchors: DataFrame, stored: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ class Engine:
     originals: str | None = None
     ocr: Callable[[dict], str] | None = None
     language_model: Callable[[dict], str] | None = None
+    summaries: Callable[[dict], dict] | None = None
     extended: Callable[[dict], str] | None = None
     as_of: datetime | None = None
     services: dict = field(default_factory=dict)
@@ -114,6 +115,8 @@ class Engine:
     def compress(self, docs: DataFrame, budget: int, provider: str = "anthropic", **options) -> dict[str, DataFrame]:
         if self.originals:  # nothing is touched before the original is stored
             store.put(self.spark, self.originals, docs, "text", "compress", self.as_of)
+        if self.summaries is not None:
+            options.setdefault("model", self.summaries)
         return squeeze.compress(self.spark, docs, budget, provider, self.as_of, **options)
 
     def outline(self, docs: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ class Engine:
     def retrieve(self, anchors: DataFrame, text_col: str = "text") -> DataFrame:
         """Each anchor in the texts, with the verbatim span of the stored original."""
         found = anchors.select(F.explode(blocks.parse_anchors(text_col)).alias("a")).select("a.*").distinct()
-        return store.spans(found, self.spark.read.parquet(self.originals))
+        return store.spans(found, store.load(self.spark, self.originals))
 
     def optimise(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         x = prompts.strip_filler(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))

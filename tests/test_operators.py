@@ -348,3 +348,12 @@ def test_a_text_that_its_converter_fails_on_takes_the_text_path(spark, monkeypat
     assert engine._convert("html", None) == (None, None)
     monkeypatch.setitem(engine._CONVERTERS, "json", lambda t: 1 / 0)
     assert engine._convert("json", "{}")[1].startswith("ZeroDivisionError")
+
+
+def test_model_summaries_in_compression(spark):
+    """The model's summary is taken where it answers, the extractive one where it fails."""
+    long = lambda w: " ".join(f"{w} sentence {i} goes on for a while." for i in range(30))
+    docs = spark.createDataFrame([(1, f"# T\n\nstart\n\n{long('one')}\n\n{long('two')}\n\nend")], "doc_id long, text string")
+    call = lambda r: {"content": "MODEL" if r["messages"][1]["content"].startswith("one") else "", "finish_reason": "stop"}
+    md = Engine(spark, summaries=call).compress(docs, 60)["markdown"].first().markdown
+    assert "MODEL\n<!--" in md and "two sentence 0 goes on for a while. […]\n<!--" in md and "one sentence" not in md
