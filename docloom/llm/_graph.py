@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ._scratch import Scratch
 
@@ -31,21 +31,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str, max_rounds: int =
             out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    def cut(e: DataFrame, i: int) -> tuple[DataFrame, dict]:
-        """The edges, written, and a digest of them, counted as they are."""
-        seen = Observation()
-        e = e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-        return scratch.cut(e, f"{name}-{i}"), seen.get
+    def cut(e: DataFrame, i: int) -> tuple[DataFrame, tuple]:
+        """The edges, written, and a digest of them."""
+        e = scratch.cut(e, f"{name}-{i}")
+        return e, tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     e, before = cut(edges.select("a", "b").filter("a <> b").distinct(), 0)
-    for i in range(1, max_rounds + 1 if before["n"] else 0):
+    for i in range(1, max_rounds + 1 if before[0] else 0):
         e, now = cut(star(star(e, True), False), i)
         scratch.drop(f"{name}-{i - 1}")
         if now == before:
             break
         before = now
     else:
-        if before["n"]:
+        if before[0]:
             raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

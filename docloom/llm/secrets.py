@@ -280,7 +280,10 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]], v
     words = words_of(vocabularies)
     rows = [(*features(v, b, a, p, words), float(label)) for v, b, a, p, label in findings]
     data = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in FEATURES) + ", label double").coalesce(1)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="__x"), RandomForestClassifier(featuresCol="__x", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False)]).fit(data)
+    model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="__x"), RandomForestClassifier(featuresCol="__x", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False)]).fit(data)
+    # the summary of the training holds the session, which can't be sent to executors once it has observed a query
+    model.stages[-1]._java_obj.setSummary(spark._jvm.scala.Option.apply(None))
+    return model
 
 
 def scan(spark: SparkSession, docs: DataFrame, vocabularies: tuple[str, ...], findings=None, text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ from pathlib import Path
 import duckdb
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from docloom.llm import bpe, decontaminate, html_text, licenses, oracles, quality, secrets, warc
 from docloom.llm.queries import tokenizer_file, vocabulary_files
@@ -379,6 +379,15 @@ def test_forest_removes_false_positives(spark):
     assert right >= 0.95 * len(held)
 
 
+def test_scan_after_an_observed_query(spark):
+    """A session that has observed a query can't be serialised; the forest must not carry it along."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    df = spark.createDataFrame([(1, "token = '9d4e1e23bd5b727046a9e3b4b7db57bd8d6ee684'", "src")], "doc_id long, text string, source string")
+    assert secrets.scan(spark, df, vocabulary_files()).filter("is_secret").count() == 1
+
+
 def test_secrets_of_unseen_shapes(spark):
     """Precision and recall on real-looking findings that no generated one looks like."""
     rows = [(i, t.format(v), "src/app") for i, (t, v) in enumerate(UNSEEN)] + [(1000 + i, t, "src/app") for i, t in enumerate(HARMLESS)]
