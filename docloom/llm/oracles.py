@@ -21,6 +21,39 @@ pos AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(ra
 its AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item)), ',')) AS sha FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
+COPIES = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY s) AS group_size, row_number() OVER w = 1 AS kept, sha256(s) AS text_sha256 FROM d WINDOW w AS (PARTITION BY s ORDER BY length(t) DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+def _merkle(levels: int = 8, group_levels: int = 3) -> str:
+    """Trees of up to 8^levels documents in up to 8^group_levels groups; unrolled, as each level reads the one below."""
+    counted = lambda x: f"coalesce(CAST(strlen({x}) AS VARCHAR) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(counted(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    # crc32 (reflected, polynomial 0xEDB88320) of the decimal id, bit by bit
+    step = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))"
+    crc = f"xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS UBIGINT)), lambda c, b: {step}), 4294967295::UBIGINT)"
+    sql = f"""WITH r AS (SELECT row_number() OVER () AS no, * FROM documents), d AS (SELECT no, doc_id, coalesce('+' || lang, '') AS g, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(_LOWER.format("text"))} ELSE {leaf("text")} END AS changed FROM r),
+a0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, no) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, leaf AS h, no FROM d)"""
+
+    def climb(t: str, levels: int) -> str:
+        out = ""
+        for k in range(levels):
+            out += f""",
+{t}r{k} AS (SELECT g, i // 8 AS i, n, list(h ORDER BY i) AS hs FROM {t}{k} GROUP BY g, i // 8, n), {t}{k + 1} AS (SELECT g, i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {t}r{k})"""
+        return out
+
+    sql += climb("a", levels) + f",\ns AS (SELECT g, h FROM a{levels}), b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h, g AS lang FROM s)" + climb("b", group_levels)
+    steps = [("a", k, "x.g = {t}.g", "x.i") for k in range(levels)] + [("b", k, "true", "z.i") for k in range(group_levels)]
+    sql += f",\np0 AS (SELECT d.doc_id, d.leaf, s.h AS subroot, (SELECT h FROM b{group_levels}) AS root, x.g, x.i AS i, z.i AS j, '' AS sib, d.changed AS f FROM d JOIN a0 x ON x.no = d.no JOIN s ON s.g = d.g JOIN b0 z ON z.lang = d.g)"
+    for m, (t, k, on, _) in enumerate(steps):
+        at = f"(x.{'i' if t == 'a' else 'j'} // {8**k})"
+        left, right = f"array_to_string(list_slice(t.hs, 1, {at} % 8), '')", f"array_to_string(list_slice(t.hs, {at} % 8 + 2, 8), '')"
+        sql += f",\np{m + 1} AS (SELECT doc_id, leaf, subroot, root, x.g, x.i, x.j, CASE WHEN t.n > 1 THEN sib || {left} || {right} ELSE sib END AS sib, CASE WHEN t.n > 1 THEN sha256({left} || f || {right}) ELSE f END AS f FROM p{m} x JOIN {t}r{k} t ON {on.format(t='t')} AND t.i = {at} // 8)"
+    return sql + f"\nSELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, f AS folded_root, f = root AS verified FROM p{len(steps)}"
+
+
+MERKLE = _merkle()
+
 JACCARD = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, a, a + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS a FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
