@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, quality
+from . import licenses, line_dedup, phrases, quality
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = r"[\x20\x09-\x0D]"
@@ -21,6 +21,18 @@ pos AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(ra
 its AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item)), ',')) AS sha FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
+PHRASES = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+c AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+x AS (SELECT lang, k, p, f, unnest(range(1, k)) AS j FROM c WHERE k > 1),
+y AS (SELECT x.lang, x.k, x.p, x.f AS a, j, l.f AS l, r.f AS r, n.n, CAST((1000::HUGEINT * x.f * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM x JOIN n USING (lang)
+  JOIN c l ON l.lang = x.lang AND l.p = list_slice(x.p, 1, j) JOIN c r ON r.lang = x.lang AND r.p = list_slice(x.p, j + 1, x.k)),
+b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+q AS (SELECT lang, list_slice(p, i, i + m - 1) AS p, max(f) AS f FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY 1, 2),
+z AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM b LEFT JOIN q USING (lang, p) WHERE q.f IS NULL OR 100 * q.f < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z QUALIFY rank <= {phrases.TOP}"""
+
 COPIES = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY s) AS group_size, row_number() OVER w = 1 AS kept, sha256(s) AS text_sha256 FROM d WINDOW w AS (PARTITION BY s ORDER BY length(t) DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 

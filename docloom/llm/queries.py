@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, licenses, line_dedup, merkle, oracles, quality, secrets, substring_dedup, warc
+from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, licenses, line_dedup, merkle, oracles, phrases, quality, secrets, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(spark, _table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op5_line_dedup": op5_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op11_phrases": op11_phrases,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -102,6 +107,7 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": oracles.JACCARD,
     "op9_quality": oracles.QUALITY,
     "op10_warc": oracles.WARC,
+    "op11_phrases": oracles.PHRASES,
     "op12_merkle_manifest": oracles.MERKLE,
     "op13_exact_dedup": oracles.COPIES,
 }
