@@ -1,16 +1,18 @@
 r"""Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element (br counts as white space).  Each line has a weight: its
-text length, that of links left out; nothing, where its element is never article text by its nature (menus,
-headers, footers, sidebars, forms) or by a class, id or role that says so (adverts, notices, comments and the like).
-Weights are summed over sliding windows of WINDOW lines: where the sum rises to the threshold is a
-surge point, where it falls below a dive point.
-
-A first search finds the body of the page, the element whose own lines weigh most in the
-heaviest stretch between a surge and a dive.  A line of the body then weighs THRESHOLD more; so does one of an article or main
-element, or one that class, id or role call the content, where those hold half of the weight at least, and other
-lines then weigh nothing.  The second search keeps the lines with a weight between its surge and dive points, but for those of stretches
-that are a small fraction of the heaviest and hold no line of the body.
+Markup is stripped to lines, one per block element (br counts as white space).  Each line has a weight, its text
+length without that of links.  A line of an article weighs half as much again; on a page whose articles hold half of the weight or more, other
+lines weigh a quarter.  Between the lines stand blank rows, two for each container (div, section and the like) that begins or ends there.
+Weights are summed over sliding windows of WINDOW rows.  Text begins at a surge point, where the sum reaches the threshold, and
+reaches, both ways, to where the sum dives to nothing.  What lies between two such points and has no surge goes, whatever it is called.
+
+A first search finds the body: the article lines, or else the container whose own lines weigh most in the heaviest stretch.  Containers
+within the body leave no blank rows, so that the body is searched as one run, and a heading is joined to what follows it.  Lists of links in a
+run (WINDOW lines or more) weigh nothing and are taken out.
+
+What a class or id seems to call an advert, notice, comment or the like is searched by itself, at a tenth of its weight: the name
+only makes the search stricter, a long text stays.  Elements that are never article text by their nature (menus, headers, footers, sidebars, forms, hidden
+ones, and ARIA roles of these) are left out before the search.  Where a page has nothing else, names are passed over.
 
 Null, empty and markup-only pages give an empty text; very long pages are read whole; repeated rows give repeated rows, an empty table none.  Character references are decoded as HTML5
 does; white space within a block becomes one space, blocks are joined by \n.  Broken markup never raises, and an unclosed element never ends the
@@ -29,17 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
-#: characters that WINDOW lines must hold
-THRESHOLD = 60
-#: of the longest stretch between surge and dive that another one must reach
-SHARE = 0.2
+#: weight that WINDOW rows must hold; less on a page whose heaviest window holds less than twice that
+THRESHOLD = 100
+#: blank rows where a container begins or ends
+BLANKS = 2
+#: what a character counts: in an article, beside one, in what is called an advert or the like
+MARKED, BESIDE, NAMED = 1.5, 0.25, 0.1
 
 # Element names and words of class, id or role attributes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video".split())
 _TO_THE_END = frozenset("script style textarea title".split())
 _HOLDS = frozenset("html body div section article main td th nav header footer aside form fieldset dialog menu".split())
-_CHROME = frozenset("nav header footer aside form menu dialog button head fieldset".split())
+_CHROME = frozenset("nav header footer aside form menu dialog button head".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -51,89 +55,114 @@ _WORDS = frozenset(
     search searchbox share sharing social socials related recommended recommendations trending popular widget widgets comment comments
     commentlist discussion disqus replies respond skip tags tagcloud hidden""".split()
 )
+#: words that say nothing about what an element holds; a name with any other word besides (legal-analysis) is not taken for chrome
+_PLAIN = frozenset("a b box list block container wrapper wrap inner outer item items section area slot unit bar top bottom left right page site post article content main global sticky form link links text title thread reader user js x m s l".split())
+#: words that may well name a part of an article
+_MILD = frozenset("legal related notice notices search tags foot header alert comment skip discussion popular".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SAFE = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
-_CONTENT = frozenset("article content main story entry post".split())
+_CONTENT = frozenset("article content story entry post".split())
 _STATES = frozenset("has with no without is show hide hides".split())
-_MARKS = frozenset("article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
+
+
+def _is_chrome(name: str, got: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is never article text, by its nature or because it is hidden."""
     if name in _CHROME:
         return not (name == "header" and in_article)
-    if not attrs or name in _SAFE:
+    if name in _SAFE or not got:
         return False
-    got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I):
         return True
-    if got.get("role", "").lower() in _ROLES:
-        return True
-    said = set()
+    return got.get("role", "").lower() in _ROLES
+
+
+def _names(got: dict[str, str]):
+    """The words of each class and of the id."""
     for key in ("class", "id"):
-        for name_ in unescape(got.get(key, "")).split():
-            parts = _SPLIT.split(_CAMEL.sub("-", name_).lower())
-            if parts[0] not in _STATES:  # has-sidebar says it of something within
-                said.update(parts)
-    if not said & _WORDS:
+        for name in unescape(got.get(key, "")).split():
+            yield [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+
+
+def _is_named(name: str, got: dict[str, str], in_article: bool) -> bool:
+    """Whether class or id seem to call an element an advert, notice, comment or the like."""
+    if name in _SAFE or name not in _BLOCK:
         return False
-    if name in ("a", "span", "b", "i", "em", "strong", "p") and not said & _WORDS - {"header", "alert", "notice", "legal", "foot", "comment", "comments", "related", "tags", "search", "skip"}:
-        return name == "p" and bool(said & {"notice", "alert", "comment", "comments", "legal"})
-    return not said & _CONTENT or bool(said & {"ad", "ads", "advert", "comment", "comments", "sidebar", "nav", "menu", "footer"})
+    for words in _names(got):
+        if words and words[0] not in _STATES and not _WORDS.isdisjoint(words) and _WORDS | _PLAIN >= set(words):
+            if not (in_article and _MILD.issuperset(_WORDS.intersection(words))):
+                return True
+    return False
 
 
-def _is_content(attrs: str) -> bool:
+def _is_content(got: dict[str, str]) -> bool:
     """Whether class or id call the element the content; itemprop and the like are left out."""
-    got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
-    if got.get("role", "").lower() == "main":
-        return True
-    return any(not _CONTENT.isdisjoint(_SPLIT.split(_CAMEL.sub("-", got[k]).lower())) for k in ("class", "id") if got.get(k))
+    return any(not _CONTENT.isdisjoint(words) for words in _names(got))
 
 
 class Line(NamedTuple):
     text: str
     linked: int  # characters in links
-    marked: bool  # within an article, main or content element
+    level: int  # 2 within an article or an element called so, 1 within main, else 0
     chrome: bool  # within an element that is never article text
-    holder: int  # the number of the element that holds it, headings count with what follows
+    named: int  # the number of the outermost element that is called an advert or the like; 0 for none
+    holder: int  # the number of the container that holds it
+    edges: int  # containers that begin or end between the line before and this one
+    heading: bool
 
+    @property
+    def weight(self) -> int:
+        return 0 if self.chrome else len(self.text) - self.linked
 
-def lines_of(html: str, by_class: bool = True) -> list[Line]:
-    """Each block with text, in page order."""
+
+def lines_of(html: str, by_name: bool = True) -> tuple[list[Line], list[int]]:
+    """Each block with text, in page order, and the container around each container."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, chrome, of a line's part only, mark, number
+    stack: list[tuple[str, bool, int, int, int]] = []  # name, chrome, mark, named, number
     text: list[str] = []
-    linked = links = chrome = inline = articles = 0
+    linked = links = chrome = articles = mains = edges = elements = 0
+    named: list[int] = []
     holders, parents = [0], [0]
     unclosed: set[str] = set()
 
     def end_line():
-        nonlocal text, linked
+        nonlocal text, linked, edges
         line = " ".join(unescape("".join(text)).split()) if text else ""
         if line:
-            out.append(Line(line, min(linked, len(line)), articles > 0, chrome > 0, holders[-1]))
+            level = 2 if articles else 1 if mains else 0
+            out.append(Line(line, min(linked, len(line)), level, chrome > 0, named[0] if named else 0, holders[-1], edges, any(x[0] in _HEADINGS for x in stack)))
+            edges = 0
         text, linked = [], 0
 
     def pop_to(depth: int):
-        nonlocal chrome, inline, links, articles
+        nonlocal chrome, links, articles, mains, edges
         while len(stack) > depth:
-            name, was, part, mark, number = stack.pop()
+            name, was, mark, call, number = stack[-1]
             if name in _BLOCK:
                 end_line()
+            stack.pop()
             chrome -= was
-            inline -= part
             links -= name == "a"
-            articles -= name in _MARKS or mark
+            articles -= mark == 2
+            mains -= mark == 1
+            if call:
+                named.pop()
             if number:
                 holders.pop()
+                edges += 1
 
     def add(s: str):
         nonlocal linked
-        if s and not inline:
+        if s:
             text.append(s)
             if links:
                 linked += len(s)
@@ -200,26 +229,40 @@ def lines_of(html: str, by_class: bool = True) -> list[Line]:
             end_line()
         if name in _VOID:
             continue
-        was = _is_chrome(name, attrs if by_class else "", articles > 0)
-        mark = not was and name in ("div", "section", "td") and _is_content(attrs)
+        got = _attributes(attrs)
+        was = _is_chrome(name, got, articles > 0)
+        call = bool(by_name and not was and got and _is_named(name, got, articles > 0))
+        mark = 0
+        if not was and not call:
+            mark = 2 if name == "article" or name in ("div", "section", "td") and got and _is_content(got) else 1 if name == "main" or got.get("role", "").lower() == "main" else 0
         number = 0
         if name in _HOLDS:
             number = len(parents)
             parents.append(holders[-1])
             holders.append(number)
-        part = was and name not in _BLOCK
-        stack.append((name, was, part, mark, number))
+            edges += 1
+        if was and name not in _BLOCK:  # a hidden span or the like goes by itself
+            skip = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            if skip and name not in unclosed:
+                at = skip.end()
+                continue
+            unclosed.add(name)
+            was = False
+        elements += 1
+        if call:
+            named.append(elements)
+        stack.append((name, was, mark, call, number))
         chrome += was
-        inline += part
         links += name == "a"
-        articles += name in _MARKS or mark
+        articles += mark == 2
+        mains += mark == 1
     pop_to(0)
     end_line()
     alone = Counter(x.holder for x in out)
-    return [x._replace(holder=parents[x.holder]) if alone[x.holder] == 1 else x for x in out]  # a div around one line is a line
+    return [x._replace(holder=parents[x.holder]) if alone[x.holder] == 1 else x for x in out], parents  # a div around one line is a line
 
 
-def surges(weights: list[int], threshold: int) -> list[tuple[int, int]]:
+def surges(weights: list[float], threshold: float) -> list[tuple[int, int]]:
     """[surge, dive) of each stretch of rows that lie in a window of WINDOW rows whose sum reaches the threshold."""
     total = [0, *accumulate(weights)]
     n, out, begin, end = len(weights), [], None, 0
@@ -235,57 +278,104 @@ def surges(weights: list[int], threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def _stretches(weights: list[int], zones: list, threshold: int) -> list[list[int]]:
-    """The lines with a weight of each stretch; no window reaches over zones or lines without a weight."""
-    rows, where = [], []
-    for i, w in enumerate(weights):
-        if i and (zones[i] != zones[i - 1] or not w):
-            rows += [0] * (WINDOW - 1)
-            where += [-1] * (WINDOW - 1)
-        rows.append(w)
-        where.append(i)
-    out = []
-    for a, b in surges(rows, threshold):
-        part: list[int] = []
-        for k in range(a, b):
-            if rows[k] > 0:
-                part.append(where[k])
-            elif part and where[k] >= 0:
-                out.append(part)
-                part = []
-        if part:
-            out.append(part)
+def _text_runs(rows: list[tuple[int, float]], threshold: float) -> list[list[int]]:
+    """The lines of each run of rows (line or -1, weight) from one dive to nothing to the next, if a surge lies in it."""
+    weights = [w for _, w in rows]
+    up, out, part, k = surges(weights, threshold), [], [], 0
+    blank = surged = 0
+    for i, (line, w) in enumerate([*rows, *[(-1, 0.0)] * WINDOW]):
+        blank = 0 if w > 0 else blank + 1
+        while k < len(up) and up[k][1] <= i:
+            k += 1
+        surged = surged or (k < len(up) and up[k][0] <= i and w > 0)
+        if line >= 0:
+            part.append((line, w))
+        if blank >= WINDOW:
+            if surged:
+                # rows without weight at either end are past the dive
+                while part and part[0][1] <= 0:
+                    part.pop(0)
+                while part and part[-1][1] <= 0:
+                    part.pop()
+                out.append([x for x, _ in part])
+            part, surged = [], False
     return out
 
 
-def kept_lines(lines: list[Line]) -> list[int]:
+def _heaviest(rows: list[tuple[int, float]]) -> float:
+    total = [0, *accumulate(w for _, w in rows)]
+    return max((total[min(i + WINDOW, len(rows))] - total[i] for i in range(len(rows))), default=0)
+
+
+def _within(holder: int, root: int, parents: list[int]) -> bool:
+    while holder > root:  # containers are numbered as they begin
+        holder = parents[holder]
+    return holder == root
+
+
+def _rows(main: list[int], lines: list[Line], weights: list[float], body: list[bool]) -> list[tuple[int, float]]:
+    """The lines with blank rows where containers begin or end outside the body."""
+    rows: list[tuple[int, float]] = []
+    edges, at, before = 0, 0, None
+    for i in main:
+        while at <= i:  # edges of lines that were left out count as well
+            edges += lines[at].edges
+            at += 1
+        if before is not None and not lines[before].heading and not (body[before] and body[i]):
+            rows += [(-1, 0.0)] * min(BLANKS * edges, 2 * WINDOW)
+        rows.append((i, weights[i]))
+        edges, before = 0, i
+    return rows
+
+
+def kept_lines(lines: list[Line], parents: list[int]) -> list[int]:
     """The numbers of the lines that are main text."""
-    base = [0 if x.chrome else len(x.text) - x.linked for x in lines]
-    weigh = lambda part: sum(base[i] for i in part)
-    marks = [x.marked and not x.chrome for x in lines]
-    if any(marks) and 2 * weigh(i for i, m in enumerate(marks) if m) >= sum(base):
-        body = marks
-        weights = [w + THRESHOLD if m else 0 for w, m in zip(base, marks)]
+    main, links = [], []
+    for i, x in enumerate(lines):
+        if x.chrome or x.named:
+            continue
+        links = [*links, i] if x.weight <= 0 else []
+        main.append(i)
+        if len(links) == WINDOW:
+            main = main[:-WINDOW]
+        elif len(links) > WINDOW:
+            main.pop()
+    whole = sum(lines[i].weight for i in main)
+    level = next((v for v in (2, 1) if 2 * sum(lines[i].weight for i in main if lines[i].level >= v) >= max(1, whole)), 0)
+    share = lambda x: MARKED if level and x.level >= level else BESIDE if level else 1
+    weights = [x.weight * share(x) for x in lines]
+
+    nowhere = [False] * len(lines)
+    rows = _rows(main, lines, weights, nowhere)
+    least = min(THRESHOLD, _heaviest(rows) / 2)
+    if level == 2:
+        body = [x.level == 2 for x in lines]
     else:
-        found = _stretches(base, [x.chrome for x in lines], THRESHOLD) or _stretches(base, [x.chrome for x in lines], 1)
-        if not found:
-            return []
+        found = _text_runs(rows, least) if least > 0 else []
         held: Counter = Counter()
-        for i in max(found, key=weigh):
-            held[lines[i].holder] += base[i]
-        holder = max(held, key=lambda h: (held[h], -h))
-        body = [x.holder == holder and w > 0 for x, w in zip(lines, base)]
-        weights = [w + THRESHOLD if m else w for w, m in zip(base, body)]
-    parts = _stretches(weights, body, THRESHOLD)
-    least = SHARE * max((weigh(p) for p in parts), default=0)
-    return [i for p in parts if body[p[0]] or weigh(p) >= least for i in p]
+        best = max(found, key=lambda part: sum(weights[i] for i in part), default=[])
+        for i in best if len(best) > 1 else []:  # a line alone says nothing of what is around it
+            held[lines[i].holder] += weights[i]
+        root = max(held, key=lambda h: (held[h], -h), default=0)
+        body = [_within(x.holder, root, parents) for x in lines] if held else nowhere
+    rows = _rows(main, lines, weights, body)
+    least = min(THRESHOLD, _heaviest(rows) / 2)
+    kept = [i for part in (_text_runs(rows, least) if least > 0 else []) for i in part]
+
+    called: dict[int, list[tuple[int, float]]] = {}
+    for i, x in enumerate(lines):
+        if x.named and not x.chrome:
+            called.setdefault(x.named, []).append((i, NAMED * x.weight))
+    return sorted([*kept, *(i for own in called.values() for part in _text_runs(own, THRESHOLD) for i in part)])
 
 
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    if all(x.chrome for x in lines):
-        lines = lines_of(html or "", by_class=False)
-    return "\n".join(lines[i].text for i in kept_lines(lines))
+    lines, parents = lines_of(html or "")
+    kept = kept_lines(lines, parents)
+    if not kept and any(x.named for x in lines):
+        lines, parents = lines_of(html or "", by_name=False)
+        kept = kept_lines(lines, parents)
+    return "\n".join(lines[i].text for i in kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
