@@ -304,9 +304,37 @@ def filler_scrub(spark, d):
     return x.select("doc_id", prompts.scrub("text").alias("cleaned"))
 
 
-@query()
+TOKENS = "CAST(ceil((length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}}]'))) / 4.0) AS INT)"
+_FILLER = {
+    r"(?i)\bdid i (mention|say)\b[^.?!]*[?]\s*(yeah|yes|yep)?[,.]?\s*": "''",
+    r"(?i)\b(like i said|as i said|one more thing[:,]?|just to (be clear|clarify)[:,]?|to be honest|honestly|basically|oh and|you know|i mean|kind of|sort of)[,]?\s*": "''",
+    "!!+": "'!'",
+    r"\?\?+": "'?'",
+}
+_SCRUBBED = "r"
+for _pattern, _by in _FILLER.items():
+    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_pattern}', {_by}, 'g')"
+def _js_trim(sql: str) -> str:
+    return rf"regexp_replace({sql}, '^{T.WS}+|{T.WS}+$', '', 'g')"
+
+
+_TIDY = _js_trim(r"regexp_replace(regexp_replace(array_to_string(kept, ' '), '(?i)^\s*((ok(ay)?|so|well|um+|uh+|alright)[,.]?\s+)+', ''), '(?i)\b(thanks|thank you|cheers|regards)[!.]*\s*$', '')")
+_TIDY = _js_trim(rf"regexp_replace({_TIDY}, '[ \t]{{2,}}', ' ', 'g')")
+_KEY, _KEPT_KEY = "split_part(x[1], chr(1), 1)", "split_part(z, chr(1), 1)"
+
+
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(text, '\n{{2,}}'), 1) AS i FROM d),
+s AS (SELECT doc_id, i, list_filter(list_transform(string_split(regexp_replace(p, '([.!?]){T.WS}+', '\1' || chr(1), 'g'), chr(1)), lambda r: {_js_trim(_SCRUBBED)}), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(thanks|thank you|cheers|regards|pls|please)[!.]*$')) AS s FROM p),
+e AS (SELECT doc_id, i, list_filter(list_transform(s, lambda x: [trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) || chr(1) || x]), lambda x: x[1][1] <> chr(1)) AS e FROM s),
+k AS (SELECT doc_id, i, CASE WHEN len(e) > 0 THEN list_transform(list_reduce(list_concat([CAST([] AS VARCHAR[])], e), lambda a, x: CASE WHEN len(list_filter(a, lambda z: {_KEPT_KEY} = {_KEY})) > 0
+  OR len(list_filter(a[-200:], lambda z: contains({_KEPT_KEY}, {_KEY}) OR contains({_KEY}, {_KEPT_KEY}))) > 0 THEN a ELSE list_concat(a, x) END), lambda z: split_part(z, chr(1), 2)) ELSE [] END AS kept FROM e),
+c AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (WHERE t <> '') AS t FROM (SELECT doc_id, i, {_TIDY} AS t FROM k) GROUP BY 1)
+SELECT doc_id, sha256(CASE WHEN {TOKENS.format("coalesce(t, '')")} < {TOKENS.format("text")} THEN coalesce(t, '') ELSE text END) AS cleaned_sha256, {TOKENS.format("text")} AS before, least({TOKENS.format("text")}, {TOKENS.format("coalesce(t, '')")}) AS after, CAST({TOKENS.format("text")} - least({TOKENS.format("text")}, {TOKENS.format("coalesce(t, '')")}) AS BIGINT) AS removed_tokens FROM d LEFT JOIN c USING (doc_id)""")
 def filler_dedupe(spark, d):
-    return prompts.strip_filler(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", T.approx_tokens("text").alias("before"), T.approx_tokens("cleaned").alias("after"), "removed_tokens")
+    x = prompts.strip_filler(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return x.select("doc_id", F.sha2("cleaned", 256).alias("cleaned_sha256"), T.approx_tokens("text").alias("before"), T.approx_tokens("cleaned").alias("after"), "removed_tokens")
 
 
 _PROMPT = "pr AS (SELECT p_partkey AS doc_id, 'i need a report for ' || p_name || '. it must include ' || p_brand || '. also make sure size ' || p_size || ' is handled. and python 3.11 please. yeah, ' || p_type || ' matters most to the team in the north, whose numbers came late in every month of that year and who were told twice about the layout of the old sheet.' AS text FROM part)"

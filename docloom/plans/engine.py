@@ -15,7 +15,7 @@ from docloom.operators import blocks, clean, compress as squeeze, outline as ind
 from docloom.sources import delimited, external, html, ooxml, pdf, pdf_layout
 
 
-_CONVERTERS = {"html": html.to_markdown, "csv": delimited.csv_to_markdown, "json": delimited.json_to_markdown, "prompt": prompts.clean_prompt}
+_CONVERTERS = {"html": html.to_markdown, "csv": delimited.csv_to_markdown, "json": delimited.json_to_markdown}
 
 
 def _convert(job: str | None, text: str | None) -> tuple[str | None, str | None]:
@@ -54,7 +54,7 @@ class Engine:
     def convert_texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filename_col: str | None = None, budget: int | None = None, structure: bool = True) -> DataFrame:
         """doc_id, kind, engine, markdown, input_tokens, output_tokens, warnings for texts of any kind.
 
-        The input is read once: sniffed, converted in one Python pass that goes by the kind (other kinds' texts don't reach
+        The input is read once: sniffed, converted (HTML, CSV and JSON in one Python pass by kind, other kinds' texts don't reach
         it), and written; sections and the result are made from what was written.  A text that its converter
         fails on takes the text path, with a warning.
         """
@@ -62,11 +62,11 @@ class Engine:
         x = sniff.sniff(x, "text", filename_col and "filename").withColumn("engine", sniff.route("kind")["engine"])
         # headings and fences mark Markdown, which is not taken for a request
         request = (F.col("kind") == "prompt") & ~F.col("text").rlike(r"(?m)^(?:#{1,6}\s|```)")
-        job = F.when(F.col("kind").isin("html", "csv", "json"), F.col("kind")).when(request, "prompt")
-        x = x.withColumn("made", _converted(job, F.when(job.isNotNull(), F.col("text"))))
+        job = F.when(F.col("kind").isin("html", "csv", "json"), F.col("kind"))
+        x = x.withColumns({"made": _converted(job, F.when(job.isNotNull(), F.col("text"))), "cleaned": F.when(request, prompts.cleaned_prompt("text"))})
         failed = F.col("made.error").isNotNull()
-        shorter = F.col("made.markdown").isNotNull() & ((F.col("kind") != "prompt") | (T.approx_tokens("made.markdown") < T.approx_tokens("text")))
-        x = x.withColumns({"engine": F.when(failed, "prompt-optimizer").otherwise(F.col("engine")), "converted": F.when(shorter, F.col("made.markdown")).otherwise(F.col("text")), "failed": failed})
+        shorter = F.when(T.approx_tokens("cleaned") < T.approx_tokens("text"), F.col("cleaned"))
+        x = x.withColumns({"engine": F.when(failed, "prompt-optimizer").otherwise(F.col("engine")), "converted": F.coalesce("made.markdown", shorter, "text"), "failed": failed})
         if structure:
             laid = prompts.structure(x.withColumn("request", request), "converted", "laid").drop("structured")
             x = laid.withColumn("converted", F.when(F.col("request"), F.col("laid")).otherwise(F.col("converted"))).drop("laid", "request")

@@ -143,12 +143,61 @@ def test_strip_is_idempotent(spark):
 
 
 # --- prompts ---------------------------------------------------------------------------------------------
-def test_filler():
-    assert prompts.clean_paragraph("ok so, basically I need a script!!! It reads files. did i mention it reads files? yeah. It reads files. thanks!") == "I need a script! It reads files. yeah."
-    assert prompts.clean_paragraph("これは文です。 もう一つ。", parity=True) == "" and prompts.clean_paragraph("これは文です。", parity=False) != ""
-    begin = time.time()
-    text = " ".join(f"Sentence number {i} says {i * 7919}." for i in range(8000))
-    assert prompts.clean_paragraph(text + " Sentence number 5 says 39595.").count("number 5 says") == 1 and time.time() - begin < 5
+def plain_filler(text, parity=True, window=200):
+    """What the filler pass leaves, by looking at all that was kept before."""
+    rx = lambda p: re.compile(p.replace(r"\z", r"\Z"), re.A)
+    done = []
+    for paragraph in re.split(r"\n{2,}", text):
+        kept = []
+        for s in re.split(r"(?<=[.!?])\s+", paragraph):
+            s = re.sub(r"([!?])\1+", r"\1", rx(prompts.HEDGES).sub("", rx(prompts.META_QUESTION).sub("", s))).strip()
+            key = " ".join(re.findall("[a-z0-9]+", s.lower())) or (not parity and object())
+            if s and key and not rx(prompts.PLEASANTRY).match(s):
+                near = lambda k: isinstance(k, str) and isinstance(key, str) and (key in k or (parity and k in key))
+                if key not in [k for k, _ in kept] and not any(near(k) for k, _ in kept[-window:]):
+                    kept.append((key, s))
+        out = rx(prompts.TRAILING_PLEASANTRY).sub("", rx(prompts.LEADING_FILLER).sub("", " ".join(s for _, s in kept))).strip()
+        done.append(re.sub(r"[ \t]{2,}", " ", out).strip())
+    return "\n\n".join(x for x in done if x)
+
+
+def cleaned(spark, texts, parity=True):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.c for r in df.select("i", prompts.cleaned_prompt("t", parity).alias("c")).orderBy("i").collect()]
+
+
+def test_filler(spark):
+    assert cleaned(spark, ["ok so, basically I need a script!!! It reads files. did i mention it reads files? yeah. It reads files. thanks!", None, ""]) == ["I need a script! It reads files. yeah.", None, ""]
+    assert cleaned(spark, ["これは文です。 もう一つ。"]) == [""] and cleaned(spark, ["これは文です。"], parity=False) == ["これは文です。"]
+
+
+@pytest.mark.parametrize("parity", [True, False])
+def test_filler_equals_plain_scanning(spark, parity):
+    r = random.Random(7)
+    word = lambda: r.choice(["a", "ab", "b c", "use it", "x", "to be honest", "ok so", "did i say b? yes", "é", "Thanks", "7", "!!", "log", "logging"])
+    end = lambda: r.choice([". ", "! ", "?? ", ".\n", "\n\n\n", " "])
+    texts = ["".join(" ".join(word() for _ in range(r.randint(1, 4))) + end() for _ in range(r.randint(1, 60))) for _ in range(150)]
+    assert cleaned(spark, texts, parity) == [plain_filler(t, parity) for t in texts]
+
+
+def test_the_window_of_the_filler_pass_counts_kept_sentences(spark):
+    """Repeats are found at any distance, sentences within others among the last 200 kept ones, however many went between."""
+    fill = lambda n, at=0: [f"Line {i}q of w{i}w." for i in range(at, at + n)]
+    texts = [
+        " ".join(["Read the key from the file.", *fill(400), "Read the key from the file."]),
+        " ".join(["Read the key from the file.", *fill(199), "Read the key."]),
+        " ".join(["Read the key from the file.", *fill(200), "Read the key."]),
+        " ".join(["Read the key from the file.", *fill(150), *fill(150), *fill(49, 500), "Read the key."]),
+        " ".join(["Read the key from the file.", *fill(150), *fill(150), *fill(50, 500), "Read the key."]),
+        " ".join(["Read the key from the file now.", "Read the key.", *fill(210), "Read the key.", "The key.", "Read the key."]),
+    ]
+    want = [plain_filler(t) for t in texts]
+    assert cleaned(spark, texts) == want and [t.count("Read the key.") for t in want] == [0, 0, 1, 0, 1, 1]
+
+
+def test_filler_runs_no_python(spark):
+    plan = prompts.strip_filler(docs(spark, "One. One."))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_structure(spark):
@@ -324,13 +373,12 @@ def test_originals_stream_once(spark, tmp_path):
     assert spark.sql("SELECT count(*) AS n FROM once").first().n == 2
 
 
-def test_filler_keeps_up_with_long_paragraphs():
-    import time
-
-    text = " ".join(f"Sentence number {i} says that {i * 7} is not {i * 3}." for i in range(8000))
-    begin = time.perf_counter()
-    assert prompts.clean_paragraph(text).count(".") == 8000
-    assert time.perf_counter() - begin < 5
+def test_filler_keeps_up_with_long_paragraphs(spark):
+    cleaned(spark, ["One. Two."])  # compiled
+    for text, n in ((" ".join(f"Sentence number {i} says that {i * 7} is not {i * 3}." for i in range(8000)), 8000), ("ok. " * 8000, 1)):
+        begin = time.perf_counter()
+        assert cleaned(spark, [text])[0].count(".") == n
+        assert time.perf_counter() - begin < 5
 
 
 def test_callers_past_the_cap_share_an_entry(spark):
