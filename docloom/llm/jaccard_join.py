@@ -212,6 +212,14 @@ def _signature_rows(batches, words, percent, common):
     B.release()
 
 
+def _keyed_texts(batches, words):
+    """Each text with its class key."""
+    for batch in batches:
+        for i, j, buf, off in B.text_slices(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(class_keys(*shingle_sets(buf, off, words))), batch.column(0).slice(i, j - i)], ["key", "text"])
+    B.release()
+
+
 def parity_sketch(s: np.ndarray) -> np.ndarray:
     odd = np.bincount((s >> U(64 - 10)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -275,9 +283,12 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shared = shared.filter("lead is not null or low <> high").select(F.coalesce("own", "bucket").alias("sig"), "key", F.when(follows, F.col("lead")).otherwise(F.col("low")).alias("low"))
     shared = scratch.cut(shared, "shared")
 
-    none = F.lit(-(1 << 63))
-    wanted = sizes.join(shared.select("key").distinct(), "key", "left_semi").groupBy(F.coalesce("doc_id", none).alias("wanted")).agg(F.collect_list("key").alias("keys"))
-    texts = base.withColumn("wanted", F.coalesce("doc_id", none)).join(wanted, "wanted").select("text", "keys")
+    wanted = sizes.join(shared.select("key").distinct(), "key", "left_semi").select("key", F.col("doc_id").alias("first"))
+    lists = wanted.filter("first is not null").groupBy("first").agg(F.collect_list("key").alias("keys"))  # the texts of one doc_id
+    texts = base.join(lists, F.col("doc_id") == F.col("first")).select("text", "keys")
+    # classes of rows without doc_id alone go by their key: a text of each, found within the tasks first
+    nameless = base.filter("doc_id is null").select("text").mapInArrow(partial(_keyed_texts, words=words), "key long, text string").dropDuplicates(["key"])
+    texts = texts.unionByName(nameless.join(wanted.filter("first is null"), "key").select("text", F.array("key").alias("keys")))
     segments = scratch.cut(texts.mapInArrow(partial(_segment_rows, words=words), "key long, frag int, seg array<long>, sketch array<long>"), "segments")
     sketches = scratch.cut(segments.filter("frag = 0").select("key", "sketch").dropDuplicates(["key"]).join(sizes.select("key", "n"), "key"), "sketches")
     differing = "+".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))

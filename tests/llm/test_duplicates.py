@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import jaccard_join, line_dedup, substring_dedup
 from docloom.llm._graph import components
@@ -378,3 +379,35 @@ def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
             docs = spark.read.parquet(str(top / f"stage{k}"))
         assert sorted((x.doc_id or 0 for x in docs.collect())) == ([0, 3, 4, 5] if part else [])
         assert corpus_pipeline.run(spark, str(top)).count() == docs.count()
+
+
+def test_pipeline_keeps_columns_that_clash(spark, tmp_path):
+    """Columns named like those of the operators come back as they went in, and texts under one doc_id both stay."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    texts = ["\n".join(" ".join(words(r, 20)) for _ in range(5)) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts[:3])] + [(1, texts[3], "en", "s", 9), (1, texts[1], "de", "s", 9), (None, texts[3] + " more", "en", "s", 1)], DOCS)
+    names = ("hit", "n_removed_lines", "row", "other_columns", "kept", "digest", "key", "n", "copy", "stratum", "n_words", "map")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("n_chars")) if c != "map" else F.create_map(F.lit("a"), F.lit(1)) for c in names})
+    spark.createDataFrame([(1, "no such words at all in any of these texts here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        rows = out.collect()
+        assert all(x[c] == f"{c}{x.n_chars}" or name == "line_dedup" and x[c].startswith(c) for x in rows for c in names if c != "map"), name
+        if name != "line_dedup":  # the copy under doc_id 1 is a repeated row; which of its two languages stays is fixed
+            assert sorted((-1 if x.doc_id is None else x.doc_id, texts.index(x.text) if x.text in texts else 9) for x in rows) == ([(-1, 9), (0, 0), (1, 1), (1, 3), (2, 2)] if name == "near_duplicates" else sorted((-1 if x.doc_id is None else x.doc_id, texts.index(x.text) if x.text in texts else 9) for x in docs.collect())), name
+
+
+def test_classes_of_rows_without_doc_id_are_linked(spark):
+    r = random.Random(33)
+    base = [words(r, 120) for _ in range(6)]
+    near = [[*w[:60], "zz", *w[61:]] for w in base]
+    rows = [(None, " ".join(w)) for w in base for _ in range(5)] + [(None, " ".join(w)) for w in near[:3]] + [(10 + i, " ".join(w)) for i, w in enumerate(near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.link_components(spark, docs).collect()
+    assert sorted((x.doc_id or 0, x.component_id) for x in got) == sorted([(0, 10 + i) for i in range(6) for _ in range(5)] + [(0, 10 + i) for i in range(3)] + [(10 + i, 10 + i) for i in range(6)])
