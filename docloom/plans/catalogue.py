@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions import constants as C, text as T
+from docloom.functions.scratch import shared_dir
 from docloom.operators import blocks, clean, compress, digest, outline, prompts, report, sniff, store, tables
 from docloom.sources import delimited, html, pdf_layout
 
@@ -270,9 +271,21 @@ def anchors_parse(spark, d):
 
 @query(f"{T_SECTIONS} SELECT DISTINCT sid AS source_id, st AS start, en AS end, markdown AS span FROM s")
 def retrieve_span(spark, d):
-    docs = threads(spark, d)
+    """Out of a store that has been written to twice; the second time it has all of them."""
+    docs, path = threads(spark, d), shared_dir(spark)
+    store.put(spark, path, docs.filter("doc_id % 2 = 0"))
+    store.put(spark, path, docs)
     anchors = blocks.sections(docs).select("src.source_id", "src.start", "src.end").distinct()
-    return store.spans(anchors, store.originals(docs))
+    return store.spans(anchors, store.load(spark, path))
+
+
+@query("""SELECT substring(source_id, 1, 2) AS prefix, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS INT) AS writer, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT substring(sha256(text), 1, 16) AS source_id, text, min(doc_id % 3) * 1 AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2""")
+def originals_store(spark, d):
+    """Per prefix of the ids, what each of two writers has put into one store: every text once."""
+    docs, path = table(spark, d, "documents"), shared_dir(spark)
+    store.put(spark, path, docs.filter("doc_id % 3 = 0"), label="0")
+    store.put(spark, path, docs, label="1")
+    return store.load(spark, path).groupBy("prefix", F.col("label").cast("int").alias("writer")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 # --- cleaning -----------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Sniffing, sections, cleaning, compression, outlines, stores, reports and streams."""
 
+import hashlib
 import random
 import re
 import time
@@ -301,9 +302,51 @@ def test_store_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "store")
     for _ in range(2):
         store.put(spark, path, docs(spark, "a", "b", "a"))
-    assert spark.read.parquet(path).count() == 2
-    sid = spark.read.parquet(path).first().source_id
-    assert store.get(spark, path, [sid, "../etc"]).count() == 1
+    assert store.load(spark, path).count() == 2
+    sid = store.load(spark, path).first().source_id
+    assert store.get(spark, path, [sid, "../etc"]).count() == 1 and store.get(spark, path, ["../etc"]).count() == 0
+    assert not [x for x in (tmp_path / "store" / "_pending").iterdir()]
+    store.put(spark, str(tmp_path / "none"), docs(spark, "a").limit(0))
+    assert store.load(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_writers_at_once_leave_each_original_once(spark, tmp_path, monkeypatch):
+    """All compare before any has moved, so that all but one fail on the prefixes that they share, and try again."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    path, meet, fails = str(tmp_path / "store"), Barrier(3), []
+    publish, first = store._publish, set()
+
+    def slow(spark, made, place):
+        writer = made.split("/prefix=")[0]
+        if writer.endswith("/0") and writer not in first:
+            first.add(writer)
+            meet.wait(60)
+        ok = publish(spark, made, place)
+        fails.append(not ok)
+        return ok
+
+    monkeypatch.setattr(store, "_publish", slow)
+    texts = [f"text {i}" for i in range(60)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda part: store.put(spark, path, docs(spark, *part)), (texts[:40], texts[10:50], texts[20:])))
+    stored = store.load(spark, path)
+    assert any(fails) and stored.count() == 60 and stored.select("source_id").distinct().count() == 60
+    assert stored.agg(F.max("epoch")).first()[0] >= 1
+
+
+def test_reading_by_anchors_prunes_prefixes(spark, tmp_path):
+    path, texts = str(tmp_path / "store"), [f"text number {i} 😀 of many" for i in range(80)]
+    store.put(spark, path, docs(spark, *texts))
+    sid = lambda t: hashlib.sha256(t.encode()).hexdigest()[:16]
+    anchors = spark.createDataFrame([(sid(texts[3]), 0, 4), (sid(texts[3]), 5, 2), (sid(texts[5]), 14, 16), ("../etc", 0, 1), ("0" * 16, 0, 1), (None, 0, 1)], "source_id string, start int, end int")
+    got = store.spans(anchors, store.load(spark, path))
+    assert sorted((str(r.source_id), r.start, r.span) for r in got.collect()) == sorted([(sid(texts[3]), 0, "text"), (sid(texts[3]), 5, None), (sid(texts[5]), 14, "😀"), ("../etc", 0, None), ("0" * 16, 0, None), ("None", 0, None)])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "dropDuplicates" not in plan
+    one = store.get(spark, path, [sid(texts[3])])
+    assert len(one.inputFiles()) > 50 and f"prefix#" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
 
 
 def test_output_names_pass_over_taken_numbers(spark):
