@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions import constants as C, text as T
 
@@ -27,8 +29,9 @@ def strip_html(c: Column | str) -> Column:
 
 
 def clip(c: Column | str, limit: int) -> Column:
-    c = T.col(c)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.regexp_replace(F.left(c, F.lit(limit)), rf"{T.WS}+\z", ""), F.lit("…")))
+    """The text, cut to `limit` UTF-16 units and an ellipsis where it is longer; half a character is left out."""
+    cut = lambda x: F.concat(F.regexp_replace(F.regexp_replace(T.utf16_span(x, F.lit(0), F.lit(limit)), "\\x{FFFD}\\z", ""), rf"{T.WS}+\z", ""), F.lit("…"))
+    return T.let(T.col(c), lambda x: F.when(T.utf16_length(x) <= limit, x).otherwise(cut(x)))
 
 
 def articles(items: DataFrame, n: int = 5, summary_chars: int = 180) -> DataFrame:
@@ -67,6 +70,76 @@ def archive_index(digests: DataFrame, today: str) -> DataFrame:
     return ok.drop("d").orderBy(F.desc("day"))
 
 
+# --- the archive: a partition per UTC day ---------------------------------------------------------
+_PAGE = "markdown string, n_items long, tokens long, backfilled boolean, day string"
+_NOTE = "\n\n> Backfilled after the fact: the items timestamped inside that UTC day, not the page as it appeared."
+
+
+def archive(spark: SparkSession, path: str) -> DataFrame:
+    """The archived pages, one per day; none where nothing is archived yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], _PAGE)
+    return spark.read.schema(_PAGE).parquet(path)
+
+
+def pages(items: DataFrame, backfilled: bool, n: int = 10, ts: str = "ts", points: str = "points", title: str = "title", key: str = "id") -> DataFrame:
+    """A page for each UTC day that items fall into: its best stories, and whether it was made after the fact."""
+    best = top_stories(items.filter(F.col(ts).isNotNull()), n, ts, points, title, key)
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col(title), F.lit(" ("), F.col(key).cast("string"), F.lit(")"))
+    g = best.groupBy("day").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    heading = "Top stories of the day" if backfilled else "Front page"
+    md = F.concat(F.lit("# Digest "), "day", F.lit(f"\n\n## {heading}\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(_NOTE if backfilled else ""))
+    g = g.withColumn("markdown", md)
+    return g.select("markdown", "n_items", T.approx_tokens("markdown").cast("bigint").alias("tokens"), F.lit(backfilled).alias("backfilled"), "day")
+
+
+def publish(made: DataFrame, path: str) -> None:
+    """Puts pages into the archive; a day that is there already is replaced, other days aren't touched."""
+    made.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def calendar(spark: SparkSession, first: str, last: str, today: str) -> DataFrame:
+    """The days from first to last; a day that isn't one, or lies ahead of today, is an error."""
+    a, b, now = (date.fromisoformat(x) for x in (first, last, today))
+    if a > b or b > now:
+        raise ValueError(f"{first} to {last} is no range of days up to {today}")
+    return spark.sql(f"SELECT date_format(d, 'yyyy-MM-dd') AS day FROM (SELECT explode(sequence(DATE'{a}', DATE'{b}')) AS d)")
+
+
+def _on(items: DataFrame, days: DataFrame, how: str, ts: str) -> DataFrame:
+    """The items that fall on those days, or on none of them."""
+    return items.withColumn("__day", F.date_format(ts, "yyyy-MM-dd")).join(days.select(F.col("day").alias("__day")), "__day", how).drop("__day")
+
+
+def take(spark: SparkSession, items: DataFrame, path: str, late_path: str, **columns) -> None:
+    """A day's run: items of days without a page make one; those of archived days are late and go to a table beside."""
+    known = archive(spark, path).select("day")
+    late = _on(items, known, "left_semi", columns.get("ts", "ts"))
+    fresh = pages(_on(items, known, "left_anti", columns.get("ts", "ts")), False, **columns)
+    late.write.mode("append").parquet(late_path)
+    publish(fresh, path)
+
+
+def backfill(spark: SparkSession, items: DataFrame, path: str, first: str, last: str, today: str, late: DataFrame | None = None, **columns) -> DataFrame:
+    """Makes the pages of the days from first to last that have none, and those again that late items fall on, marked as backfilled.
+
+    Gives the days.  Only their partitions are written; a second run finds none without a page, and makes the same pages of
+    the days with late items.  A day without items stays without a page.
+    """
+    ts, spine = columns.get("ts", "ts"), calendar(spark, first, last, today)
+    days = spine.join(archive(spark, path).select("day"), "day", "left_anti")
+    if late is not None:
+        on = late.select(F.date_format(ts, "yyyy-MM-dd").alias("day")).distinct().join(spine, "day", "left_semi")
+        days = days.unionByName(on).distinct()
+        items = items.unionByName(late.select(*items.columns)).dropDuplicates()
+    # a few days are a small side; items of other days are passed over in the scan where it is partitioned by day
+    days = spark.createDataFrame(days.collect(), "day string")  # one row per day of the range
+    made = pages(_on(items, days, "left_semi", ts), True, **columns)
+    publish(made, path)
+    return days
+
+
 def sanitise(c: Column | str) -> Column:
     """Messages without paths and addresses, 400 characters at most."""
     x = F.regexp_replace(T.col(c), r"[A-Za-z]:\\[^\s'\"]+", "[path]")
@@ -78,13 +151,18 @@ def sanitise(c: Column | str) -> Column:
 def rejects(inputs: DataFrame, text_col: str = "text") -> DataFrame:
     """inputs with reject: `empty`, `too-many-chars`, `too-many-bytes` or null."""
     t = F.col(text_col)
-    return inputs.withColumn("reject", F.when(t.isNull() | (T.js_trim(t) == ""), "empty").when(F.length(t) > C.MAX_CHARS, "too-many-chars").when(F.octet_length(t) > C.MAX_BYTES, "too-many-bytes"))
+    return inputs.withColumn("reject", F.when(t.isNull() | (T.js_trim(t) == ""), "empty").when(T.utf16_length(t) > C.MAX_CHARS, "too-many-chars").when(F.octet_length(t) > C.MAX_BYTES, "too-many-bytes"))
 
 
 def rate_windows(calls: DataFrame, caller: str, ts: str = "ts", limit: int = 10, window: str = C.RATE_WINDOW, max_callers: int = C.RATE_CALLERS) -> DataFrame:
     """Calls per caller and fixed window, and how many went over the limit; unknown callers share one entry,
     and so do, as `overflow`, those that come first after max_callers others in the window."""
     x = calls.groupBy(F.coalesce(F.col(caller).cast("string"), F.lit("unknown")).alias("caller"), F.window(ts, window).alias("w")).agg(F.count("*").alias("calls"), F.min(ts).alias("begun"))
-    late = F.row_number().over(Window.partitionBy("w").orderBy("begun", "caller")) > max_callers
+    # a window may hold any number of callers: the first of each part, then the last of the first of all
+    part = x.withColumn("part", F.pmod(F.xxhash64("caller"), F.lit(64)))
+    first = part.withColumn("n", F.row_number().over(Window.partitionBy("w", "part").orderBy("begun", "caller"))).filter(F.col("n") <= max_callers)
+    last = first.withColumn("n", F.row_number().over(Window.partitionBy("w").orderBy("begun", "caller"))).filter(F.col("n") == max_callers)
+    x = x.join(last.select("w", F.struct("begun", "caller").alias("last")), "w", "left")
+    late = F.coalesce(F.struct("begun", "caller") > F.col("last"), F.lit(False))
     x = x.withColumn("caller", F.when(late, "overflow").otherwise(F.col("caller"))).groupBy("caller", "w").agg(F.sum("calls").cast("bigint").alias("calls"))
     return x.select("caller", F.col("w.start").alias("window_start"), "calls", F.greatest(F.lit(0), F.col("calls") - limit).cast("bigint").alias("over"))
