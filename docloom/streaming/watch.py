@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.functions import text as T
 
@@ -23,6 +25,59 @@ def latest(batch: DataFrame) -> DataFrame:
     return batch.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Debounce(StatefulProcessor):
+    """Passes a path on when nothing was heard of it for a while, with its latest state.
+
+    Each event moves the path's timer; what is kept of it is its latest time and length.  A path that is passed on is
+    forgotten, and so is one whose timer was lost, `ttl_ms` after its last event.
+    """
+
+    def __init__(self, quiet_ms: int, ttl_ms: int):
+        self.quiet_ms, self.ttl_ms = quiet_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "modificationTime timestamp, length long, events long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = self.last.get() if self.last.exists() else None
+        count = best[2] if best else 0
+        for part in rows:
+            count += len(part)
+            x = part.sort_values(["modificationTime", "length"]).iloc[-1]
+            if best is None or (x["modificationTime"], x["length"]) >= (pd.Timestamp(best[0]), best[1]):
+                best = (x["modificationTime"].to_pydatetime(), int(x["length"]), count)
+        self.last.update((best[0], best[1], count))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists():
+            at, length, count = self.last.get()
+            self.last.clear()
+            yield pd.DataFrame({"path": [key[0]], "modificationTime": [pd.Timestamp(at)], "length": [length], "events": [count]})
+        else:
+            yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(events: DataFrame, quiet_ms: int = 200, ttl_ms: int = 3_600_000) -> DataFrame:
+    """From a stream of (path, modificationTime, length) those paths that were quiet for quiet_ms, across micro-batches: path, modificationTime, length, events.
+
+    Events without path or time are left out.  The state needs RocksDB: set spark.sql.streaming.stateStore.providerClass to ROCKSDB; the
+    query needs a trigger that goes on (processingTime), since a path is passed on in a later batch than its last event.
+    """
+    x = events.filter("path is not null and modificationTime is not null").select("path", "modificationTime", F.coalesce(F.col("length").cast("long"), F.lit(0).cast("long")).alias("length"))
+    return x.groupBy("path").transformWithStateInPandas(Debounce(quiet_ms, ttl_ms), "path string, modificationTime timestamp, length long, events long", "Append", "ProcessingTime")
+
+
 def convert_stream(files: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, interval: str | None = None):
     """Runs convert on each micro-batch's latest files and appends to out; a repeated batch overwrites its own part."""
 

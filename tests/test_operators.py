@@ -424,6 +424,60 @@ def test_filler_keeps_up_with_long_paragraphs(spark):
         assert time.perf_counter() - begin < 5
 
 
+def test_a_path_is_passed_on_once_when_it_is_quiet(spark, tmp_path):
+    """Events of one path in three micro-batches give one row, its latest; another path goes its own way; a later event counts anew."""
+    schema, src = "path string, modificationTime timestamp, length long", tmp_path / "events"
+    put = lambda n, *rows: spark.createDataFrame([(p, datetime(2024, 1, 1, 0, 0, s), k) for p, s, k in rows], schema).coalesce(1).write.parquet(str(src / f"e{n}"))
+    put(0, ("a", 1, 5), ("b", 1, 1), (None, 1, 1))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", watch.ROCKSDB)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = watch.debounced(stream, quiet_ms=8000).writeStream.format("memory").queryName("quiet").outputMode("append").trigger(processingTime="200 milliseconds").start()
+    try:
+        seen = lambda: sorted((r.path, r.length, r.events) for r in spark.sql("SELECT * FROM quiet").collect())
+
+        def taken():
+            return sum(p["numInputRows"] for p in q.recentProgress)
+
+        def wait(what, seconds=90):
+            end = time.time() + seconds
+            while not what() and time.time() < end and q.isActive:
+                time.sleep(0.2)
+            assert what(), (seen(), q.exception())
+
+        wait(lambda: taken() >= 3)
+        put(1, ("a", 3, 7))
+        wait(lambda: taken() >= 4)
+        put(2, ("a", 2, 6))
+        wait(lambda: taken() >= 5)
+        wait(lambda: seen() == [("a", 7, 3), ("b", 1, 1)])
+        put(3, ("b", 9, 2))
+        wait(lambda: seen() == [("a", 7, 3), ("b", 1, 1), ("b", 2, 1)])
+        assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) >= 4
+        wait(lambda: q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0)
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_late_items_and_missing_days_are_backfilled(spark, tmp_path):
+    path, late = str(tmp_path / "archive"), str(tmp_path / "late")
+    item = lambda i, d, p=1: (i, datetime(2024, 2, d, 23, 59, 59), f"t{i}", p)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, ts timestamp, title string, points long")
+    digest.take(spark, frame([item(1, 27), item(2, 29)]), path, late)
+    digest.take(spark, frame([item(3, 27, 9), (9, None, "x", 1)]), path, late)
+    read = lambda: {r.day: (r.backfilled, r.n_items) for r in digest.archive(spark, path).collect()}
+    assert read() == {"2024-02-27": (False, 1), "2024-02-29": (False, 1)} and spark.read.parquet(late).count() == 1
+    every = frame([item(1, 27), item(2, 29), item(4, 28), item(5, 25)])
+    for _ in range(2):
+        digest.backfill(spark, every, path, "2024-02-26", "2024-02-29", "2024-03-01", spark.read.parquet(late))
+        assert read() == {"2024-02-27": (True, 2), "2024-02-28": (True, 1), "2024-02-29": (False, 1)}  # the 26th has no items, the 25th is out of range
+    assert "1. t3 (3)\n2. t1 (1)" in digest.archive(spark, path).filter("day = '2024-02-27'").first().markdown
+    for first, last in (("2024-02-30", "2024-02-30"), ("2024-02-02", "2024-02-01"), ("2024-03-01", "2024-03-02"), ("x", "2024-02-01")):
+        with pytest.raises(ValueError):
+            digest.backfill(spark, every, path, first, last, "2024-03-01")
+    assert digest.archive(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_callers_past_the_cap_share_an_entry(spark):
     from docloom.operators import digest
 
