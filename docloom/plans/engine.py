@@ -37,6 +37,32 @@ def _converted(job: Column, text: Column) -> Column:
     return run(job, text)
 
 
+_ITEMS = "page int, item_no int, text string, x double, y double, width double, height double"
+
+
+def _open(job: str | None, content: bytes | None) -> tuple[str | None, str | None, list[dict] | None]:
+    """(markdown, error, items) of an office file or a PDF; what can't be opened is an error, not a failed job."""
+    if job is None or content is None:
+        return None, None, None
+    try:
+        if job == "pdf":
+            names = [c.split()[0] for c in _ITEMS.split(", ")]
+            return None, None, [dict(zip(names, r)) for r in pdf.items(bytes(content))]
+        return ooxml.to_markdown(bytes(content)), None, None
+    except (*ooxml.ERRORS, pdf.PdfError, ValueError, IndexError) as e:
+        return None, str(e), None
+
+
+def _opened(job: Column, content: Column) -> Column:
+    """struct(markdown, error, items) of each file, by its kind."""
+
+    @F.pandas_udf(f"markdown string, error string, items array<struct<{_ITEMS.replace(' ', ':').replace(',:', ',')}>>")
+    def run(jobs: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_open(j, c) for j, c in zip(jobs, contents)], columns=["markdown", "error", "items"])
+
+    return run(job, content)
+
+
 @dataclass
 class Engine:
     """Services are optional callables; `originals` is the path of the store of original texts."""
@@ -89,27 +115,53 @@ class Engine:
         return out.withColumns({"markdown": F.when(less, F.col("short")).otherwise(F.col("markdown")), "output_tokens": F.when(less, T.approx_tokens("short").cast("bigint")).otherwise(F.col("output_tokens"))}).drop("short")
 
     def convert_files(self, files: DataFrame, fidelity: str = "auto", ocr: bool = False) -> DataFrame:
-        """path, kind, engine, ok, markdown, error of binary files; errors are values."""
-        x = sniff.sniff_bytes(files).withColumn("decision", sniff.route("kind", fidelity, F.lit(ocr), F.col("pdf.looks_scanned")))
-        x = x.withColumn("engine", F.col("decision.engine"))
-        cols = ["path", "kind", "engine", "ok", "markdown", "error"]
-        office = ooxml.convert(x.filter("kind = 'office' and engine = 'native'")).select("path", "kind", "engine", "result.*").select(*cols)
-        text = x.filter("text is not null and kind in ('prompt', 'email', 'html', 'csv', 'json')")
-        texts = self.convert_texts(text.select("path", "text", "filename"), "path", "text", "filename", structure=False)
-        texts = texts.select(F.col("doc_id").alias("path"), "kind", "engine", F.lit(True).alias("ok"), "markdown", F.lit(None).cast("string").alias("error"))
-        native = x.filter("kind = 'pdf' and engine = 'native'")
-        runs = pdf.read_items(native).withColumnRenamed("path", "doc_id")
-        flat = pdf_layout.join_pages(pdf_layout.layout(runs.filter("page is not null").drop("error"))).withColumnRenamed("doc_id", "path")
-        broken = runs.filter("page is null").select(F.col("doc_id").alias("path"), F.col("error").alias("broken"))
-        pdfs = native.select("path", "kind", "engine", "content", "pdf", "decision").join(flat, "path", "left").join(broken, "path", "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
-        pdfs = pdfs.withColumn("escalate", sniff.escalation(F.col("decision.post_checks"), "markdown", F.col("pdf.page_count"))["escalate"])
-        fast = pdfs.select("path", "kind", "engine", (F.col("markdown") != "").alias("ok"), "markdown", F.when(F.col("markdown") == "", F.coalesce("broken", F.lit("no text layer: OCR is needed"))).alias("error"))
-        if self.ocr is not None:  # the slow engine's output replaces the fast one's where it has any
-            again = external.map_service(pdfs.filter("escalate").select("path", "content"), self.ocr, "better", "OCR").select("path", "better")
-            fast = fast.join(again, "path", "left").withColumn("markdown", F.coalesce("better", "markdown")).withColumn("engine", F.when(F.col("better").isNotNull(), "docling").otherwise(F.col("engine"))).withColumn("ok", F.col("markdown") != "").withColumn("error", F.when(~F.col("ok"), F.col("error"))).select(*cols)
-        rest = external.map_service(x.filter("engine = 'docling'").select("path", "kind", "engine", "content"), self.ocr, "markdown", "the layout engine")
-        rest = rest.select("path", "kind", "engine", F.col("error").isNull().alias("ok"), "markdown", "error")
-        return office.unionByName(texts).unionByName(fast).unionByName(rest)
+        """path, kind, engine, ok, markdown, error of binary files; errors are values.
+
+        The input is read once: sniffed, its containers opened in one Python pass by kind, and written, without the bytes unless an
+        OCR engine will want them.  Pages, texts and results are made from what was written.
+        """
+        return self._converted_files(files, fidelity, ocr).drop("own")
+
+    def _converted_files(self, files: DataFrame, fidelity: str = "auto", ocr: bool = False) -> DataFrame:
+        """The files converted, with their own text where they are text."""
+        x = sniff.sniff_bytes(files).withColumn("decision", sniff.route("kind", fidelity, F.lit(ocr), F.col("pdf.looks_scanned"))).withColumn("engine", F.col("decision.engine"))
+        native = F.col("engine") == "native"
+        job = F.when(F.col("kind").isin("office", "pdf") & native, F.col("kind"))
+        wanted = (F.col("engine") == "docling") | (F.col("kind") == "pdf")
+        x = x.withColumns({"file": F.monotonically_increasing_id(), "opened": _opened(job, F.when(job.isNotNull(), F.col("content")))})
+        x = x.select(
+            "file", "path", "kind", "engine", "filename", "text", F.col("opened.markdown").alias("office"), F.col("opened.error").alias("broken"), F.col("opened.items").alias("items"),
+            F.col("pdf.page_count").alias("page_count"), F.col("decision.post_checks").alias("post_checks"), *([F.when(wanted, F.col("content")).alias("content")] if self.ocr is not None else []),
+        )
+        x = Scratch(self.spark).cut(x, "opened")
+
+        textual = F.col("text").isNotNull() & F.col("kind").isin("prompt", "email", "html", "csv", "json")
+        texts = self.convert_texts(x.filter(textual).select("file", "text", "filename"), "file", "text", "filename", structure=False)
+        texts = texts.select(F.col("doc_id").alias("file"), F.col("kind").alias("text_kind"), F.col("engine").alias("text_engine"), F.col("markdown").alias("text_markdown"))
+        runs = x.filter("items is not null").select("file", F.inline("items"))
+        pages = pdf_layout.join_pages(pdf_layout.layout(runs, "file"), "file").select("file", F.col("markdown").alias("pages"))
+
+        is_text, is_pdf = F.col("text_kind").isNotNull(), (F.col("kind") == "pdf") & native
+        x = x.drop("items").withColumnRenamed("text", "own").join(texts, "file", "left").join(pages, "file", "left")
+        x = x.withColumn("markdown", F.when(is_text, F.col("text_markdown")).when(is_pdf, F.coalesce("pages", F.lit(""))).otherwise(F.col("office")))
+        x = x.withColumns({
+            "ok": F.when(is_pdf, F.col("markdown") != "").otherwise(F.col("markdown").isNotNull()),
+            "error": F.when(is_pdf & (F.col("markdown") == ""), F.coalesce("broken", F.lit("no text layer: OCR is needed"))).when(~is_pdf & native & ~is_text, F.col("broken")),
+            "slow": (F.col("engine") == "docling") | (is_pdf & F.coalesce(sniff.escalation(F.col("post_checks"), "markdown", F.col("page_count"))["escalate"], F.lit(False))),
+            "kind": F.coalesce("text_kind", "kind"), "engine": F.coalesce("text_engine", "engine"),
+        })
+        # the slow engine's output replaces the fast one's where it has any
+        if self.ocr is None:
+            x = x.withColumns({"better": F.lit(None).cast("string"), "refused": F.when(F.col("engine") == "docling", "the layout engine is not configured")})
+        else:
+            ask = external.map_service(x.filter("slow").select("file", "path", "kind", "engine", "content"), self.ocr, "better", "OCR")
+            x = x.join(ask.select("file", "better", F.col("error").alias("refused")), "file", "left")
+        asked = F.col("engine") == "docling"
+        return x.select(
+            "path", "kind", F.when(F.col("better").isNotNull(), "docling").otherwise(F.col("engine")).alias("engine"),
+            F.when(asked, F.col("refused").isNull()).when(F.col("better").isNotNull(), F.col("better") != "").otherwise(F.col("ok")).alias("ok"),
+            F.coalesce("better", "markdown").alias("markdown"), F.when(asked, F.col("refused")).when(F.coalesce(F.col("better") != "", F.lit(False)), F.lit(None)).otherwise(F.col("error")).alias("error"), "own",
+        )
 
     # --- compress, outline, retrieve -----------------------------------------------------------
     def compress(self, docs: DataFrame, budget: int, provider: str = "anthropic", **options) -> dict[str, DataFrame]:
@@ -136,10 +188,9 @@ class Engine:
 
     def batch(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(results with out_name, the tally)."""
-        done = self.convert_files(files)
-        own = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("own"))
+        done = self._converted_files(files)
         markdown = F.coalesce("markdown", F.lit(""))
-        done = done.join(own, "path").withColumns({"in_tokens": T.approx_tokens(F.coalesce(report.baseline("kind", "own", markdown, from_file=True), F.lit(""))).cast("bigint"), "out_tokens": T.approx_tokens(markdown).cast("bigint")})
+        done = done.withColumns({"in_tokens": T.approx_tokens(F.coalesce(report.baseline("kind", "own", markdown, from_file=True), F.lit(""))).cast("bigint"), "out_tokens": T.approx_tokens(markdown).cast("bigint")})
         done = report.output_names(done.drop("own"), "path", "path")
         return done, report.batch_tally(done)
 

@@ -236,6 +236,9 @@ def to_markdown(data: bytes) -> str:
     return {"docx": docx_to_markdown, "xlsx": xlsx_to_markdown, "pptx": pptx_to_markdown}[kind](m)
 
 
+ERRORS = (OfficeError, ElementTree.ParseError, KeyError, RuntimeError, zipfile.BadZipFile)
+
+
 def convert(files: DataFrame, content_col: str = "content") -> DataFrame:
     """files with result: struct(ok, markdown, error); a bad file is a row with its error, not a failed job."""
 
@@ -246,7 +249,7 @@ def convert(files: DataFrame, content_col: str = "content") -> DataFrame:
         def one(b):
             try:
                 return True, to_markdown(bytes(b)), None
-            except (OfficeError, ElementTree.ParseError, KeyError, RuntimeError, zipfile.BadZipFile) as e:
+            except ERRORS as e:
                 return False, None, str(e)
 
         return pd.DataFrame([one(b) for b in col], columns=["ok", "markdown", "error"])
