@@ -674,4 +674,4 @@ def guard_rejects(spark, d):
     return digest.rejects(table(spark, d, "documents").withColumn("text", t)).select("doc_id", "reject")
 
 
-from docloom.plans import conversions  # noqa: E402, F401  its queries are registered here
+from docloom.plans import conversions, surfaces  # noqa: E402, F401  its queries are registered here

@@ -41,7 +41,10 @@ class _Reader(DataSourceReader):
                 with urllib.request.urlopen(url, timeout=self.timeout) as r:
                     data = json.load(r)
             else:
-                with open(url.removeprefix("file://"), encoding="utf-8") as f:
+                from pyarrow.fs import FileSystem
+
+                fs, path = FileSystem.from_uri("file://" + url.removeprefix("file:").removeprefix("//"))
+                with fs.open_input_stream(path) as f:
                     data = json.load(f)
             for key in self.field.split(".") if self.field else []:
                 data = data[key]

@@ -234,3 +234,46 @@ def test_model_summaries_fail_as_rows(spark):
     rows = spark.createDataFrame([(1, "text", 20), (2, "cut", 20)], "id int, markdown string, target int")
     call = lambda r: {"content": "short", "finish_reason": "length" if r["messages"][1]["content"] == "cut" else "stop"}
     assert [(r.id, r.summary, r.error is None) for r in external.model_summaries(rows, call).orderBy("id").collect()] == [(1, "short", True), (2, None, False)]
+
+
+# --- the file sink -----------------------------------------------------------------------------------------------------
+def tree(path):
+    return {str(p.relative_to(path)): p.read_text() for p in sorted(path.rglob("*")) if p.is_file()} if path.exists() else None
+
+
+def sunk(spark, rows, path, mode="append", suffixes="markdown=.md,report=.report.json"):
+    from docloom.sources import sink
+
+    sink.register(spark)
+    df = spark.createDataFrame(rows, "out_name string, markdown string, report string").repartition(3)
+    df.write.format("file_per_row").option("suffixes", suffixes).mode(mode).save(str(path))
+
+
+def test_files_are_there_all_at_once(spark, tmp_path):
+    import json
+
+    out = tmp_path / "out"
+    sunk(spark, [("a", "A é", "{}"), ("b/c", "B", None), ("d", None, "{}")], out)
+    got = tree(out)
+    assert json.loads(got.pop("_manifest.json")) == {"files": 4, "bytes": 9, "tasks": 3}
+    assert got == {"a.md": "A é", "a.report.json": "{}", "b/c.md": "B", "d.report.json": "{}"}
+    with pytest.raises(Exception, match="FileExistsError"):
+        sunk(spark, [("x", "X", None)], out)
+    sunk(spark, [("x", "X", None)], out, "overwrite")
+    assert sorted(tree(out)) == ["_manifest.json", "x.md"]
+    sunk(spark, [], tmp_path / "none")
+    assert json.loads((tmp_path / "none/_manifest.json").read_text())["files"] == 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none", "out"]
+
+
+@pytest.mark.parametrize("bad", ["../up", "/top", "a//b", None, "_manifest", "a"])
+def test_a_failed_task_leaves_no_file(spark, tmp_path, bad):
+    """Names that lead elsewhere, and one name twice in a task, fail the job; nothing of the other rows is left, nor is what stood there changed."""
+    sunk(spark, [("old", "O", None)], tmp_path / "out")
+    from docloom.sources import sink
+
+    sink.register(spark)
+    df = spark.createDataFrame([("a", "A"), (bad, "B")], "out_name string, markdown string").coalesce(1)
+    with pytest.raises(Exception, match="ValueError"):
+        df.write.format("file_per_row").mode("overwrite").save(str(tmp_path / "out"))
+    assert sorted(tree(tmp_path / "out")) == ["_manifest.json", "old.md"] and [p.name for p in tmp_path.iterdir()] == ["out"]
