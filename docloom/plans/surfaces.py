@@ -44,22 +44,38 @@ def fixture_tree(spark, d):
 
 
 # --- feeds --------------------------------------------------------------------------------------------
+def feed_files(spark, d, root: str) -> None:
+    """A file of each day's events at root."""
+    sink.register(spark)
+    e = table(spark, d, "events").filter("ts is not null").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.struct("event_id", "event_type").alias("e"))
+    e = e.groupBy("day").agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list("e")).alias("hits")).alias("data"))).alias("json"))
+    e.write.format("file_per_row").option("name", "day").option("suffixes", "json=.json").mode("append").save(root)
+
+
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1 AS seq, event_id, event_type, false AS failed FROM events WHERE ts IS NOT NULL
 UNION ALL SELECT 'none', -1, -1, '', true""")
 def feed_items(spark, d):
     """A feed file per day, read by the data source beside one that isn't there: its error is a row."""
     root = shared_dir(spark)
-    sink.register(spark)
+    feed_files(spark, d, root)
     feeds.register(spark)
-    e = table(spark, d, "events").filter("ts is not null").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.struct("event_id", "event_type").alias("e"))
-    e = e.groupBy("day").agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list("e")).alias("hits")).alias("data"))).alias("json"))
-    e.write.format("file_per_row").option("name", "day").option("suffixes", "json=.json").mode("append").save(root)
     urls = [r.path for r in files.from_files(spark, root, "*.json").filter("path not like '%/_manifest.json'").select("path").collect()]  # a URL per day
     got = spark.read.format("json_feed").option("urls", ",".join([*urls, f"{root}/none.json"])).option("list", "data.hits").load()
     item = F.from_json("item", "event_id bigint, event_type string")
     return got.select(F.regexp_extract("url", r"([^/]+)\.json\z", 1).alias("day"), F.coalesce(F.col("seq").cast("bigint"), F.lit(-1)).alias("seq"), F.coalesce(item["event_id"], F.lit(-1)).alias("event_id"), F.coalesce(item["event_type"], F.lit("")).alias("event_type"), F.col("error").isNotNull().alias("failed"))
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-03' AND '2024-01-12' GROUP BY 1")
+def feed_days(spark, d):
+    """A feed addressed by day: of a month of days those are asked for that the query's bounds leave."""
+    root = shared_dir(spark)
+    feed_files(spark, d, root)
+    feeds.register(spark)
+    got = spark.read.format("json_feed").option("urls", f"{root}/{{day}}.json").option("list", "data.hits").option("first", "2024-01-01").option("last", "2024-01-31").load()
+    got = got.filter("day between '2024-01-03' and '2024-01-12'").withColumn("event", F.from_json("item", "event_id bigint"))
+    return got.groupBy("day").agg(F.count("*").alias("n"), F.sum("event.event_id").alias("total"))
+
+
 # --- streams ------------------------------------------------------------------------------------------
 def _streamed(spark, d, name: str, parts: int):
     """A table as a stream: written in parts, a part per micro-batch."""

@@ -168,6 +168,41 @@ def test_feed_source_isolates_failures(spark, tmp_path):
     assert sorted(json.loads(r.item)["title"] for r in rows if r.item) == ["x", "y"] and sum(r.error is not None for r in rows) == 1
 
 
+def test_a_feed_is_asked_for_the_pushed_days_alone(spark, tmp_path):
+    for day in range(1, 6):
+        (tmp_path / f"2024-01-0{day}.json").write_text(json.dumps({"hits": [{"d": day}] * day}))
+    feeds.register(spark)
+    feed = spark.read.format("json_feed").option("urls", f"file://{tmp_path}/{{day}}.json,file://{tmp_path}/whole.json").option("list", "hits").option("first", "2024-01-01").option("last", "2024-01-09").load()
+    asked = lambda df: sorted({(r.url or "").rpartition("/")[2] for r in df.collect()})
+    assert asked(feed) == sorted([f"2024-01-0{d}.json" for d in range(1, 10)] + ["whole.json"])
+    some = feed.filter("day >= '2024-01-02' and day < '2024-01-04'")
+    assert asked(some) == ["2024-01-02.json", "2024-01-03.json"] and some.count() == 5
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan json_feed" in plan and "2024-01-02" not in plan  # the source has taken the bounds: none is left to filter by
+    assert some.rdd.getNumPartitions() == 2
+    assert asked(feed.filter("day in ('2024-01-05', '2024-02-01')")) == ["2024-01-05.json"] and feed.filter("day = '2025-01-01'").count() == 0
+    assert feeds._address("x?from={start}&to={end}", "2024-01-02") == "x?from=1704153600&to=1704240000"
+
+
+def test_a_stream_of_feeds_goes_on_from_its_offset(spark, tmp_path):
+    for day in range(1, 8):
+        (tmp_path / f"2024-01-0{day}.json").write_text(json.dumps([{"d": day}]))
+    feeds.register(spark)
+
+    def run(until):
+        x = spark.readStream.format("json_feed").option("urls", f"file://{tmp_path}/{{day}}.json").option("first", "2024-01-01").option("until", until).load()
+        q = x.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return sorted(r.day for r in spark.read.schema("url string, seq int, item string, error string, day string").parquet(str(tmp_path / "out")).collect()), q.lastProgress
+
+    assert run("2024-01-03")[0] == ["2024-01-01", "2024-01-02"]
+    (tmp_path / "2024-01-01.json").unlink()  # a day that is done is not asked for again
+    days, progress = run("2024-01-06")
+    assert days == [f"2024-01-0{d}" for d in range(1, 6)] and '2024-01-06' in str(progress["sources"][0]["endOffset"])
+    assert run("2024-01-06")[0] == days
+
+
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("hello\nthere")
