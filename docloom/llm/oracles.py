@@ -93,23 +93,35 @@ LEFT JOIN (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS t FROM l A
 def _licenses() -> str:
     patterns = licenses.known()
     quoted = lambda s: s.replace("'", "''").replace("\n", "' || chr(10) || '")
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     text = "chr(10) || lower(t)"
     for pattern, by in licenses.STEPS:
         text = f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(by)}', 'g')"
+    canon = "regexp_replace(x, '\\|', ' ', 'g') || ' '"
+    for pattern, by in licenses.CANONICAL:
+        canon = f"regexp_replace({canon}, '{quoted(pattern)}', '{quoted(by)}', 'g')"
     every = quoted("|".join(patterns.values()))
     case = " ".join(f"WHEN regexp_matches(x, '^(?:{quoted(p)})$') THEN '{k}'" for k, p in patterns.items())
-    seen, sql = set(), rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-n AS (SELECT doc_id, t, '|' || regexp_replace({text}, '^[ |~]*|[ |~]*$', ' ', 'g') || '|' AS s, regexp_matches(t, '{quoted(licenses.HINT)}') AS hinted FROM t),
-q AS (SELECT doc_id, CASE WHEN hinted THEN list_transform(regexp_extract_all(s, '{every}', 0), lambda x: CASE {case} END) ELSE [] END AS ids, CASE WHEN hinted THEN regexp_extract_all(lower(t), '{quoted(licenses.EXPRESSION)}', 1) ELSE [] END AS named FROM n),
-r0 AS (SELECT doc_id, ids, named, ' ' || array_to_string(ids, ' ') || ' ' AS seq, CAST([] AS VARCHAR[]) AS got FROM q)"""
+    bare = f"regexp_replace(regexp_replace(' ' || trim(p) || ' ', '{licenses.LEAD}', ' '), ' lic ', ' ', 'g')"
+    longest = "coalesce(" + ", ".join(f"CASE WHEN len(w) >= {n} THEN m[array_to_string(w[1:{n}], ' ')] END" for n in range(licenses.LONGEST, 0, -1)) + ")"
+    sql = rf"""WITH names AS (SELECT MAP({listed(licenses.NAMES)}, {listed(licenses.NAMES.values())}) AS m), t AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT no, doc_id, t, '|' || regexp_replace({text}, '^[ |~]*|[ |~]*$', ' ', 'g') || '|' AS s, regexp_matches(t, '{quoted(licenses.HINT)}') AS hinted FROM t),
+se AS (SELECT no, i, x FROM (SELECT no, unnest(string_split(s, '||')) AS x, generate_subscripts(string_split(s, '||'), 1) AS i FROM n WHERE hinted) WHERE regexp_matches(x, '{licenses.SAYS}')),
+pa AS (SELECT no, i, string_split({canon}, '@') AS parts FROM se),
+cl AS (SELECT no, i, j, parts[j + 1] AS c FROM (SELECT *, unnest(range(1, len(parts))) AS j FROM pa) WHERE NOT regexp_matches(' ' || parts[j], '{licenses.NEGATION}')),
+it AS (SELECT no, i, j, unnest(regexp_split_to_array(c, '{licenses.CUT}')) AS p, generate_subscripts(regexp_split_to_array(c, '{licenses.CUT}'), 1) AS k FROM cl),
+lo AS (SELECT no, i, j, k, p, {longest} AS f FROM (SELECT *, string_split(trim(regexp_replace({bare}, ' +', ' ', 'g')), ' ') AS w FROM it), names),
+rf AS (SELECT no, i, min(j * 1000 + k) AS ord, name FROM (SELECT *, CASE WHEN f[1] = '*' THEN f[2:] || CASE WHEN contains(p, 'orlater') THEN '-or-later' ELSE '-only' END WHEN f[1] <> '?' THEN f WHEN contains(p || ' ', 'lic ') THEN f[2:] END AS name FROM lo WHERE f IS NOT NULL) WHERE name IS NOT NULL GROUP BY no, i, name),
+refs AS (SELECT no, list('ref:' || name ORDER BY i, ord) AS r FROM rf GROUP BY no),
+q AS (SELECT doc_id, list_concat(CASE WHEN hinted THEN list_transform(regexp_extract_all(s, '{every}', 0), lambda x: CASE {case} END) ELSE [] END, coalesce(r, [])) AS ids, CASE WHEN hinted THEN regexp_extract_all(lower(t), '{quoted(licenses.EXPRESSION)}', 1) ELSE [] END AS named FROM n LEFT JOIN refs USING (no)),
+own AS (SELECT doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' AS seq, list_distinct(list_concat(list_transform(list_filter(ids, lambda x: starts_with(x, 'ref:')), lambda x: x[5:]), CASE WHEN len(ids) > 0 THEN list_filter([{", ".join(f"CASE WHEN regexp_matches(array_to_string(named, ' '), '{licenses.expression_name(x)}') THEN '{x}' END" for x in licenses.ORDER)}], lambda x: x IS NOT NULL) ELSE [] END)) AS own FROM q),
+r0 AS (SELECT doc_id, ids, seq, own, own AS got FROM own)"""
     for i, (name, parts, shut) in enumerate(licenses.RULES):
         hit = f"regexp_matches(seq, '{licenses.sequence(parts)}')"
-        if name not in seen:
-            hit = f"({hit} OR regexp_matches(array_to_string(named, ' '), '{licenses.expression_name(name)}'))"
-        seen.add(name)
-        barred = " AND len(got) = 0" if "*" in shut else "".join(f" AND NOT list_contains(got, '{s}')" for s in shut)
-        sql += f",\nr{i + 1} AS (SELECT doc_id, ids, named, seq, CASE WHEN len(ids) > 0 AND {hit} AND NOT list_contains(got, '{name}'){barred} THEN list_append(got, '{name}') ELSE got END AS got FROM r{i})"
-    return sql + f"\nSELECT doc_id, CAST(len(ids) AS BIGINT) AS n_license_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string(got, ',') AS licenses FROM r{len(licenses.RULES)}"
+        barred = " AND len(list_distinct(ids)) <= 1" if "*" in shut else "".join(f" AND NOT list_contains(got, '{s}')" for s in shut)
+        sql += f",\nr{i + 1} AS (SELECT doc_id, ids, seq, own, CASE WHEN {hit} AND NOT list_contains(got, '{name}'){barred} THEN list_append(got, '{name}') ELSE got END AS got FROM r{i})"
+    kept = f"list_filter({listed(licenses.ORDER)}, lambda n: list_contains(got, n) AND NOT (suffix(n, '-only') AND list_contains(own, regexp_replace(n, '-only$', '-or-later')) AND NOT list_contains(own, n)))"
+    return sql + f"\nSELECT doc_id, CAST(len(ids) AS BIGINT) AS n_license_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string({kept}, ',') AS licenses FROM r{len(licenses.RULES)}"
 
 
 LICENSES = _licenses()

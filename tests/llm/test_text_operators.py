@@ -267,6 +267,49 @@ def test_licences_by_sentence_sequences(spark):
     assert licenses.recognise(df.limit(0)).count() == 0
 
 
+NAMED = [
+    ("This program is distributed under the GNU GPL v3.", "GPL-3.0-only"), ("Released under the GNU GPL version 2 or later.", "GPL-2.0-or-later"), ("It is licensed under either of Apache License, Version 2.0 or MIT license at your option.", "MIT,Apache-2.0"),
+    ("It is available under the MIT license or the Apache License 2.0.", "MIT,Apache-2.0"), ("This is not licensed under the MIT License.", ""), ("licensed under the GPLv3", "GPL-3.0-only"), ("Released under GPL-2.0", "GPL-2.0-only"), ("The code is MIT licensed", "MIT"),
+    ("under a Creative Commons Attribution 4.0 International License", "CC-BY-4.0"), ("Released under the Artistic License 2.0", "Artistic-2.0"), ("published by Intel", ""), ("available under python", ""), ("All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted", ""),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0BSD"), ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("licensed under the MIT License. " * 3, "MIT"), (None, ""), ("", ""),
+]
+#: written once, after the tables; nothing was changed for them
+HEADERS = [
+    ("Copyright 2021 J. Doe. Use of this source code is governed by the ISC license.", "ISC"), ("The documentation is licensed under CC-BY-SA 3.0.", "CC-BY-SA-3.0"), ("# This module may be redistributed under the terms of the GNU Lesser General Public License v2.1.", "LGPL-2.1-only"),
+    ("// Distributed under the 2-clause BSD license", "BSD-2-Clause"), ("All fonts here are licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"), ("You may use it under the terms of either the MIT License or the GPL, version 2.", "MIT,GPL-2.0-only"), ("This file is subject to the terms of the Eclipse Public License 2.0.", "EPL-2.0"),
+    ("released under the unlicense", "Unlicense"), ("The library is Apache-2.0 licensed.", "Apache-2.0"), ("Our data is published under the Open Database License (ODbL) 1.0.", "ODbL-1.0"), ("is made available under CC0 1.0 Universal", "CC0-1.0"), ("Licensed under the EUPL, Version 1.2", "EUPL-1.2"), ("licensed under the zlib license", "Zlib"),
+    ("This software is licensed under the PostgreSQL License, similar to MIT.", "PostgreSQL"), ("is distributed under the GNU Affero General Public License, version 3", "AGPL-3.0-only"), ("Photos are licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+    ("it is triple licensed under the MPL 1.1, the GPL 2.0 and the LGPL 2.1", "LGPL-2.1-only,GPL-2.0-only,MPL-1.1"), ("offered under the Microsoft Public License (MS-PL)", "MS-PL"), ("provided under the Business Source License 1.1", "BUSL-1.1"), ("licensed under the WTFPL", "WTFPL"), ("licensed under the LaTeX Project Public License 1.3c", "LPPL-1.3c"),
+    ("covered by the Artistic License 1.0", "Artistic-1.0"), ("licensed under the Academic Free License version 3.0", "AFL-3.0"), ("This project is dual-licensed under MIT and Apache 2.0", "MIT,Apache-2.0"), ("code was released under the Mulan PSL v2", "MulanPSL-2.0"), ("distributed under the Boost Software License 1.0", "BSL-1.0"),
+    ("licensed under the Server Side Public License, v 1", "SSPL-1.0"), ("licensed under the CeCILL-B license", "CECILL-B"), ("It is released under the three clause BSD license.", "BSD-3-Clause"), ("licensed under the Universal Permissive License v 1.0", "UPL-1.0"),
+    ("We do not think that the MIT License is hard to read.", ""), ("A driver's license is issued under state law.", ""), ("This text isn't released under the GPL version 3.", ""), ("The fair was held under the old bridge.", ""), ("He was never licensed under the Apache License, he said.", ""), ("Python is available under many names.", ""),
+    ("The museum is covered by the city.", ""), ("Maps provided under contract.", ""), ("Rights were reserved.", ""), ("apache 2 0 and mit are names", ""),
+]
+
+
+def test_licences_that_sentences_name(spark):
+    got = licenses.recognise(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NAMED)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: x for i, (_, x) in enumerate(NAMED)}
+    assert len(licenses.ORDER) >= 100
+
+
+def test_licences_of_unseen_headers(spark):
+    got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in licenses.recognise(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HEADERS)], "doc_id long, text string")).collect()}
+    want = {i: set(filter(None, x.split(","))) for i, (_, x) in enumerate(HEADERS)}
+    right, given, due = sum(len(got[i] & want[i]) for i in want), sum(map(len, got.values())), sum(map(len, want.values()))
+    print(f"precision {right}/{given}, recall {right}/{due}", [(HEADERS[i][0], got[i]) for i in want if got[i] != want[i]])
+    assert right >= 0.9 * given and right >= 0.85 * due
+
+
+def test_every_known_sentence_has_a_hint():
+    """A text is passed over only if none of its sentences can be known: wherever a pattern matches, so does the hint."""
+    for k, p in licenses.SENTENCES.items():
+        plain = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", re.sub(r"\(\?: [^()]*\)(?:\?|\{[^}]*\}\??)", " x", p)).replace("[cs]", "s").replace("\\|", "|").replace("?", "")
+        assert re.search(licenses.HINT, plain), (k, plain)
+        assert re.search(licenses.HINT, " ".join(plain.upper().split()[:-1]) + " license") is not None
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 def brute_hits(text, items):
     find = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (s or "").translate(LOW))
