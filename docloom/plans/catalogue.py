@@ -523,20 +523,21 @@ def column_index(spark, d):
 
 
 def page_items(spark, d):
-    """nation laid out as a table: one page per region, key, name and a right-aligned number."""
-    n = table(spark, d, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    """part laid out as tables: twenty to a page, key, name and a right-aligned number."""
+    n = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("doc_id"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    n = n.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")))
     y = (F.lit(700) - 14 * F.col("row")).cast("double")
-    num = (F.col("n_nationkey") * 137 + 5).cast("string")
+    num = (F.col("key") * 137 + 5).cast("string")
     cells = F.array(
-        F.struct(F.col("n_nationkey").cast("string").alias("text"), F.lit(50.0).alias("x"), F.lit(12.0).alias("width")),
-        F.struct(F.col("n_name").alias("text"), F.lit(100.0).alias("x"), (F.length("n_name") * 5.0).cast("double").alias("width")),
+        F.struct(F.col("key").cast("string").alias("text"), F.lit(50.0).alias("x"), F.lit(12.0).alias("width")),
+        F.struct(F.col("name").alias("text"), F.lit(100.0).alias("x"), (F.length("name") * 5.0).cast("double").alias("width")),
         F.struct(num.alias("text"), (F.lit(400) - F.length(num) * 5.0).cast("double").alias("x"), (F.length(num) * 5.0).cast("double").alias("width")),
     )
-    x = n.select(F.col("n_regionkey").alias("doc_id"), F.lit(1).alias("page"), F.col("row"), y.alias("y"), F.posexplode(cells).alias("k", "c"))
+    x = n.select("doc_id", F.lit(1).alias("page"), F.col("row"), y.alias("y"), F.posexplode(cells).alias("k", "c"))
     return x.select("doc_id", "page", (F.col("row") * 10 + F.col("k")).cast("int").alias("item_no"), "c.text", "c.x", "y", "c.width", F.lit(10.0).alias("height"))
 
 
-_ITEMS = """it AS (SELECT n_regionkey AS doc_id, 50.0::DOUBLE AS x, 62.0::DOUBLE AS e FROM nation UNION ALL SELECT n_regionkey, 100.0, 100.0 + 5.0 * length(n_name) FROM nation UNION ALL SELECT n_regionkey, 400.0 - 5.0 * length(CAST(n_nationkey * 137 + 5 AS VARCHAR)), 400.0 FROM nation),
+_ITEMS = """pg AS (SELECT p_partkey // 20 AS doc_id, p_partkey AS key, p_name AS name FROM part), it AS (SELECT doc_id, 50.0::DOUBLE AS x, 62.0::DOUBLE AS e FROM pg UNION ALL SELECT doc_id, 100.0, 100.0 + 5.0 * length(name) FROM pg UNION ALL SELECT doc_id, 400.0 - 5.0 * length(CAST(key * 137 + 5 AS VARCHAR)), 400.0 FROM pg),
 co AS (SELECT doc_id, (x + r) / 2 AS boundary FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY x, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM it) WHERE x - r >= 5)"""
 
 
@@ -553,7 +554,7 @@ def pdf_columns(spark, d):
     return x.groupBy("doc_id", pdf_layout.column_number((F.col("x") + F.col("end")) / 2, F.col("b")).alias("col")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_regionkey AS doc_id, CAST(1 AS INT) AS page, string_agg(CASE WHEN rn = 2 THEN '| --- | --- | --- |' || chr(10) ELSE '' END || '| ' || n_nationkey || ' | ' || n_name || ' | ' || (n_nationkey * 137 + 5) || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) GROUP BY 1")
+@query(f"WITH {_ITEMS} SELECT doc_id, CAST(1 AS INT) AS page, string_agg(CASE WHEN rn = 2 THEN '| --- | --- | --- |' || chr(10) ELSE '' END || '| ' || key || ' | ' || name || ' | ' || (key * 137 + 5) || ' |', chr(10) ORDER BY key) AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY key) AS rn FROM pg) GROUP BY 1")
 def layout_markdown(spark, d):
     return pdf_layout.layout(page_items(spark, d))
 
@@ -645,6 +646,14 @@ def rate_window(spark, d):
     return digest.rate_windows(table(spark, d, "events"), "user_id", "ts", 1)
 
 
+@query("""WITH c AS (SELECT coalesce(CAST(user_id AS VARCHAR), 'unknown') AS caller, time_bucket(INTERVAL '1 hour', ts) AS w, count(*) AS calls, min(ts) AS begun FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT CASE WHEN row_number() OVER (PARTITION BY w ORDER BY begun, caller) > 10 THEN 'overflow' ELSE caller END AS caller, w, calls FROM c)
+SELECT caller, w AS window_start, CAST(sum(calls) AS BIGINT) AS calls, CAST(greatest(0, sum(calls) - 2) AS BIGINT) AS over FROM k GROUP BY 1, 2""")
+def rate_overflow(spark, d):
+    """Of each hour's callers the first ten have an entry, all others share one; callers without a name are one."""
+    return digest.rate_windows(table(spark, d, "events").filter("ts is not null"), "user_id", "ts", 2, "1 hour", 10)
+
+
 @query("SELECT count(*) AS n_files, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_ok, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_failed, CAST(sum(CASE WHEN ok THEN i END) AS BIGINT) AS in_tokens, CAST(sum(CASE WHEN ok THEN o END) AS BIGINT) AS out_tokens, CAST(floor(sum(CASE WHEN ok THEN o END) / sum(CASE WHEN ok THEN i END) * 100 + 0.5) AS BIGINT) AS pct FROM (SELECT length(text) > 100 AS ok, ceil(length(text) / 4.0) AS i, ceil(length(text) / 8.0) AS o FROM documents)")
 def batch_tally(spark, d):
     x = table(spark, d, "documents").select((F.length("text") > 100).alias("ok"), T.approx_tokens("text").alias("in_tokens"), F.ceil(F.length("text") / 8).alias("out_tokens"))
