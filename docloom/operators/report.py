@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import text as T
@@ -64,9 +65,36 @@ def fact_survival(originals: DataFrame, outputs: DataFrame) -> DataFrame:
     """
     x = originals.join(outputs, "doc_id")
     spans = F.transform(blocks.parse_anchors("markdown"), lambda a: T.utf16_span("text", a["start"], a["end"]))
-    x = x.select("doc_id", "markdown", spans.alias("spans"), F.explode(facts("text")).alias("fact"))
-    fate = F.when(F.contains("markdown", "fact"), "present").when(F.exists("spans", lambda s: F.contains(s, F.col("fact"))), "recoverable").otherwise("lost")
-    return x.select("doc_id", "fact", fate.alias("fate"))
+    x = x.select("doc_id", facts("text").alias("facts"), "markdown", spans.alias("spans"))
+    x = x.select("doc_id", F.explode(F.arrays_zip("facts", _fates(F.col("facts"), F.col("markdown"), F.col("spans")).alias("fates"))).alias("x"))
+    return x.select("doc_id", F.col("x.facts").alias("fact"), F.col("x.fates").alias("fate"))
+
+
+def _fates(own: Column, markdown: Column, spans: Column) -> Column:
+    """The fate of each of a document's facts: its output is read once for all of them, its spans once for those it lacks."""
+
+    def held(wanted: set[str], texts: list[str]) -> set[str]:
+        import ahocorasick
+
+        if not wanted:
+            return set()
+        automaton = ahocorasick.Automaton()
+        for fact in wanted:
+            automaton.add_word(fact, fact)
+        automaton.make_automaton()
+        return {fact for text in texts for _, fact in automaton.iter(text)}
+
+    @F.pandas_udf("array<string>")
+    def run(many: pd.Series, outputs: pd.Series, cuts: pd.Series) -> pd.Series:
+        out = []
+        for own_, text, parts in zip(many, outputs, cuts):
+            wanted = set(own_)
+            there = held(wanted, [text or ""])
+            behind = held(wanted - there, [p for p in (parts if parts is not None else []) if p])
+            out.append(["present" if f in there else "recoverable" if f in behind else "lost" for f in own_])
+        return pd.Series(out)
+
+    return run(own, markdown, spans)
 
 
 def eval_score(pairs: DataFrame, original: str = "text", output: str = "cleaned") -> DataFrame:
