@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import text as T
+from docloom.functions import tables, text as T
 from docloom.functions.scratch import shared_dir
 from docloom.operators import sniff
 from docloom.plans.catalogue import _PROMPT, ORACLES, part_prompts, query, table
@@ -43,6 +43,19 @@ def fixture_tree(spark, d):
     return files.corpus(spark, root).select(F.col("case").alias("case_"), sniff.basename("path").alias("input"), "meta", F.col("content").cast("string").alias("text"))
 
 
+# --- table functions -----------------------------------------------------------------------------------
+@query(f"""WITH {_G}, c AS (SELECT k, key, row_number() OVER (PARTITION BY k ORDER BY key) AS i, name, size FROM g)
+SELECT k, CAST(i AS INT) AS row_, x.col, x.name, x.value FROM c, LATERAL (SELECT 0 AS col, 'key' AS name, CAST(key AS VARCHAR) AS value UNION ALL SELECT 1, 'the name', name || ';"x"' UNION ALL SELECT 2, 'size', CAST(size AS VARCHAR)) x""")
+def cells_by_table_function(spark, d):
+    """Cells of quoted CSV by a polymorphic table function, partitioned by document; a lateral join gives the same."""
+    quoted = F.concat(F.lit("key;the name;size\n"), F.array_join(F.transform("r", lambda r: F.concat(_s(r["key"]), F.lit(';"'), r["name"], F.lit(';""x""";'), _s(r["size"]))), "\n"))
+    tables.register(spark)
+    groups(spark, d).select("k", quoted.alias("text")).createOrReplaceTempView("csv_documents")
+    whole = spark.sql("SELECT k, row, col, name, value FROM csv_table(TABLE(csv_documents) PARTITION BY k) WHERE row > 0")
+    lateral = spark.sql("SELECT k, c.row, c.col, c.name, c.value FROM csv_documents, LATERAL csv_cells(text) c WHERE c.row > 0")
+    return whole.intersectAll(lateral).withColumnRenamed("row", "row_")
+
+
 # --- feeds --------------------------------------------------------------------------------------------
 def feed_files(spark, d, root: str) -> None:
     """A file of each day's events at root."""

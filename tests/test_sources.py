@@ -271,6 +271,27 @@ def test_model_summaries_fail_as_rows(spark):
     assert [(r.id, r.summary, r.error is None) for r in external.model_summaries(rows, call).orderBy("id").collect()] == [(1, "short", True), (2, None, False)]
 
 
+# --- table functions ------------------------------------------------------------------------------------------------
+def test_table_functions_from_sql(spark):
+    from docloom.functions import tables
+
+    tables.register(spark)
+    spark.createDataFrame([(1, "a,b\n1,2\n3\n", "x"), (2, None, "y"), (3, "", "z")], "id int, text string, tag string").createOrReplaceTempView("csvs")
+    rows = spark.sql("SELECT * FROM csv_table(TABLE(csvs) PARTITION BY id)")
+    assert rows.columns == ["id", "tag", "row", "col", "name", "value"]
+    cells = [(0, 0, "a", "a"), (0, 1, "b", "b"), (1, 0, "a", "1"), (1, 1, "b", "2"), (2, 0, "a", "3")]
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "x", *c) for c in cells]
+    assert sorted(tuple(r) for r in spark.sql("SELECT c.* FROM csvs, LATERAL csv_cells(text) c").collect()) == cells
+    with pytest.raises(Exception, match="would stand twice"):
+        spark.sql("SELECT * FROM csv_table(TABLE(SELECT id AS row, text FROM csvs))").collect()
+    with pytest.raises(Exception, match="a column text"):
+        spark.sql("SELECT * FROM csv_table(TABLE(SELECT id FROM csvs))").collect()
+    data = pdf_bytes(b"BT /F1 10 Tf 1 0 0 1 50 700 Tm (Hello) Tj ET")
+    spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"%PDF-1.4 broken")), ("c", None)], "path string, content binary").createOrReplaceTempView("pdfs")
+    got = spark.sql("SELECT path, r.page, r.text, r.error IS NULL AS ok FROM pdfs, LATERAL pdf_runs(content) r").collect()
+    assert ("a", 1, "Hello", True) in [tuple(r) for r in got] and all(r.path != "c" for r in got)
+
+
 # --- the file sink -----------------------------------------------------------------------------------------------------
 def tree(path):
     return {str(p.relative_to(path)): p.read_text() for p in sorted(path.rglob("*")) if p.is_file()} if path.exists() else None
