@@ -32,8 +32,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 EXAMPLES = 6000
 RUN_MIN, VALUE_MIN = 16, 6
 AROUND = 48
-#: of the text of a candidate that is looked at for words; its digest is that of all of it
-LOOK_AT = 400
 WORD_MIN = 4
 
 # Words in names of secrets, words next to what only looks like one, and what stands for a value.
@@ -91,7 +89,7 @@ class Words:
         best = [0] * (len(letters) + 1)
         for i in range(1, len(letters) + 1):
             best[i] = best[i - 1]
-            for n in range(WORD_MIN, min(i, self.longest, 20) + 1):
+            for n in range(WORD_MIN, min(i, self.longest) + 1):
                 if best[i - n] + n > best[i] and letters[i - n : i] in self.words:
                     best[i] = best[i - n] + n
         return best[-1]
@@ -105,7 +103,7 @@ def words_of(paths: tuple[str, ...]) -> Words:
 
 def features(value: str, before: str, after: str, path: str, words: Words) -> list[float]:
     size = len(value)
-    body = value.rstrip("=")[:LOOK_AT]
+    body = value.rstrip("=")
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in body]
     n = len(body) or 1
     runs = [r.lower() for r in re.findall(r"[^\W\d_]+", re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", body))]
