@@ -9,8 +9,8 @@ blocks; the popcount of what is left is how often the longer phrase occurs.  As
 
 Rounds: words are counted first.  Then each shard extends its frequent words by one, and counts of pairs are summed over shards.  With the
 verdicts on pairs each shard searches depth-first, a batch of first words at a time down to LONGEST words, extending a phrase only by words that
-make a frequent pair with its last one; these counts are summed as well.  Verdicts travel to the shards that hold the word or pair, by joins: nothing that
-grows with the corpus is broadcast or gathered.  Words have dense numbers, so that keys are exact; within one shard a word is known
+make a frequent pair with its last one; these counts are summed as well.  Counts of phrases travel packed, a row per shard and bucket of phrases, and are summed
+bucket by bucket; each shard gets back which of its own words and pairs are frequent.  Nothing that grows with the corpus is broadcast or gathered.  Words have dense numbers, so that keys are exact; within one shard a word is known
 by a 64-bit hash.
 
 Counts, sums and the score's products are exact (integers, decimals of 38 digits).  A very long text is read whole, as one or more whole
@@ -32,7 +32,11 @@ from ._scratch import Scratch
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: positions of a shard, and bytes of bitmaps that are extended at a time
-SHARD, BATCH = 1 << 22, 1 << 18
+SHARD, BATCH = 1 << 22, 1 << 17
+#: words of the corpus for each bucket in which counts of phrases are summed
+BUCKET = 1 << 21
+#: bytes of text that are cut into words at a time
+SLICE = 1 << 20
 #: parts a language's rows are dealt to before their best are merged
 SALTS = 32
 _PIECE = frozenset(b".,;:!?\n\x0b\x0c\r")
@@ -66,31 +70,50 @@ class _Shard:
         new[1:] = piece[1:] != piece[:-1]
         new[np.cumsum(counts)[:-1][np.cumsum(counts)[:-1] < len(starts)]] = True  # a text begins
         u, first, no = np.unique(h, return_index=True, return_inverse=True)
-        self.parts.append((u, _spelled(buf, starts[first], ends[first]), no, np.arange(len(starts)) + np.cumsum(new)))
-        self.size += int(self.parts[-1][3][-1]) + 1
+        self.parts.append((u, _spelled(buf, starts[first], ends[first]), no.astype(np.int32), new))
+        self.size += len(new) + int(new.sum())
 
     def pack(self, shard: int, lang: str) -> Iterator[pa.RecordBatch]:
         """A row per word, then one of the sequence: 0 where a piece ends, else a word's number + 1."""
         u, first, again = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
         spelled = pa.concat_arrays([p[1] for p in self.parts]).take(pa.array(first)).cast(pa.string())
         seq, at, base = np.zeros(self.size + 1, np.int32), 0, 0
-        for own, _, no, pos in self.parts:
+        while self.parts:
+            own, _, no, new = self.parts.pop(0)
+            pos = np.cumsum(new, dtype=np.int32) + np.arange(len(new), dtype=np.int32)
             seq[at + pos] = again[base : base + len(own)][no] + 1
             at, base = at + int(pos[-1]) + 1, base + len(own)
+        # frequent words get small numbers, which compress
         n = np.bincount(seq, minlength=len(u) + 1)[1:]
+        order = np.argsort(-n, kind="stable")
+        number = np.zeros(len(u) + 1, np.int32)
+        number[order + 1] = np.arange(1, len(u) + 1)
+        np.take(number, seq, out=seq)
+        n, spelled = n[order], spelled.take(pa.array(order))
         for i in range(0, len(u), 1 << 16):
             part = slice(i, i + (1 << 16))
             m = len(n[part])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard)), pa.array([lang] * m, pa.string()), pa.array(np.arange(i, i + m), pa.int32()), spelled[part], pa.array(n[part]), pa.nulls(m, pa.binary())], schema=_INDEX_ARROW)
-        planes = pa.compress(seq.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
-        packed = len(seq).to_bytes(8, "little") + planes
+        packed = len(seq).to_bytes(8, "little") + _planes(seq)
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([lang]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([len(seq)]), pa.array([packed], pa.binary())], schema=_INDEX_ARROW)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     size = int.from_bytes(packed[:8], "little")
-    planes = pa.decompress(packed[8:], 4 * size, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, size).T).view(np.int32).ravel()
+    return _planes_back(packed[8:], size, np.int32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: first bytes, second bytes and so on, compressed."""
+    return pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def _planes_back(packed: bytes, size: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    if not size:
+        return np.zeros(0, kind)
+    planes = pa.decompress(packed, width * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(kind).ravel()
 
 
 def _sharded(size: int):
@@ -98,18 +121,19 @@ def _sharded(size: int):
         from pyspark import TaskContext
 
         base, made, open_ = TaskContext.get().partitionId() << 24, 0, {}
-        for batch in batches:
-            for lang in pc.unique(batch.column(0)).to_pylist():
-                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
-                for _, _, buf, off in _bytes.text_slices(texts):
-                    shard = open_.setdefault(lang, _Shard())
-                    shard.add(buf, off)
-                    if shard.size >= size:
-                        yield from shard.pack(base + made, lang)
-                        made += 1
-                        del open_[lang]
-        for lang, shard in open_.items():
-            if shard.size:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                for lang in pc.unique(batch.column(0)).to_pylist():
+                    texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                    for _, _, buf, off in _bytes.text_slices(texts, SLICE):
+                        shard = open_.setdefault(lang, _Shard())
+                        shard.add(buf, off)
+                        if shard.size >= size:
+                            yield from open_.pop(lang).pack(base + made, lang)
+                            made += 1
+        for lang in list(open_):
+            if (shard := open_.pop(lang)).size:
                 yield from shard.pack(base + made, lang)
                 made += 1
         _bytes.release()
@@ -181,17 +205,17 @@ def _grouped(key: np.ndarray, bits: np.ndarray):
 
 
 def count_pairs(maps: Bitmaps) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pair, n): the numbers of two words in 64 bits."""
+    """(words, n), a row of two word numbers per pair."""
     for word, block, bits in maps.roots():
         node, child, _, both = maps.step(word, block, bits)
         _, key, n, _ = _grouped(node.astype(np.int64) * maps.n + child, both)
         if len(key):
-            yield maps.ids[key // maps.n] << 32 | maps.ids[key % maps.n], n
+            yield maps.ids[np.column_stack((key // maps.n, key % maps.n))].astype(np.int32), n
 
 
 def count_longer(maps: Bitmaps, pairs: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words, n), a row of word numbers per phrase of three words or more all of whose pairs are in pairs; depth-first by batches of first words."""
-    known = np.sort(np.searchsorted(maps.ids, pairs >> 32) * maps.n + np.searchsorted(maps.ids, pairs & 0xFFFFFFFF))
+    known = np.sort(np.searchsorted(maps.ids, pairs[:, 0]) * maps.n + np.searchsorted(maps.ids, pairs[:, 1]))
 
     def allowed(last: np.ndarray, child: np.ndarray) -> np.ndarray:
         key = last.astype(np.int64) * maps.n + child
@@ -210,50 +234,124 @@ def count_longer(maps: Bitmaps, pairs: np.ndarray, longest: int) -> Iterator[tup
             phrases = np.column_stack((phrases[key // maps.n], key % maps.n))
             node, block, bits = group, block[order], bits[order]
             if depth > 2:
-                yield maps.ids[phrases], n
+                yield maps.ids[phrases].astype(np.int32), n
 
 
-def _maps(seqs: pa.Table, told: pa.Table) -> tuple[Bitmaps | None, pa.Table]:
-    words = told.filter(pc.greater_equal(told["no"], 0))
+def _maps(seqs: pa.Table, told: pa.Table) -> Bitmaps | None:
+    words = told.filter(pc.is_valid(told["no"]))
     if not seqs.num_rows or not words.num_rows:
-        return None, words
-    return Bitmaps(_unpack(seqs["seq"][0].as_py()), words["no"].to_numpy(), words["value"].to_numpy()), words
+        return None
+    return Bitmaps(_unpack(seqs["seq"][0].as_py()), words["no"].to_numpy(), words["value"].to_numpy())
+
+
+# Counts travel packed: a row for each shard, number of words and bucket, with the phrases in order.  Their columns are the words' numbers.
+_COUNTS = "shard long, bucket int, width int, size long, words binary, ns binary"
+
+
+def _bucketed(shard: int, words: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of _COUNTS of phrases of one width."""
+    h = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        h = _bytes.mix(h * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
+    bucket = (h % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((*words.T[::-1], bucket))
+    words, n, bucket = words[order], n[order], bucket[order]
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(n)] if len(n) else []
+    return [(shard, int(bucket[i]), words.shape[1], j - i, _planes(np.ascontiguousarray(words[i:j].T.ravel(), np.int32)), _planes(n[i:j].astype(np.uint32))) for i, j in zip(cuts, cuts[1:])]
 
 
-def _pairs_of(seqs: pa.Table, told: pa.Table) -> pa.Table:
-    maps, _ = _maps(seqs, told)
-    got = list(count_pairs(maps)) if maps else []
-    pair = np.concatenate([np.zeros(0, np.int64), *[p for p, _ in got]])
-    out = pa.table({"shard": pa.array(np.full(len(pair), seqs["shard"][0].as_py() if seqs.num_rows else 0, np.int64)), "pair": pair, "n": np.concatenate([np.zeros(0, np.int64), *[n for _, n in got]])})
-    _bytes.release()
-    return out
+def _counts_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["shard", "bucket", "width", "size", "words", "ns"])
 
 
-def _longer_of(longest: int):
+def _words_of(packed: bytes, width: int, size: int) -> np.ndarray:
+    return _planes_back(packed, width * size, np.int32).reshape(width, size).T
+
+
+def _pairs_of(buckets: int):
     def run(seqs: pa.Table, told: pa.Table) -> pa.Table:
-        maps, _ = _maps(seqs, told)
-        pairs = told.filter(pc.less(told["no"], 0))["value"].to_numpy()
-        keys, ns = [pa.array([], pa.binary())], [np.zeros(0, np.int64)]
-        for words, n in count_longer(maps, pairs, longest) if maps else ():
-            width = 4 * words.shape[1]
-            off = np.arange(0, width * (len(n) + 1), width, dtype=np.int32)
-            keys.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(words.astype(">i4").tobytes())]))
-            ns.append(n)
-        out = pa.table({"phrase": pa.chunked_array(keys).combine_chunks(), "n": np.concatenate(ns)})
+        maps, rows = _maps(seqs, told), []
+        got = list(count_pairs(maps)) if maps else []
+        if got:
+            words = np.concatenate([w for w, _ in got])
+            rows = _bucketed(seqs["shard"][0].as_py(), words, np.concatenate([n for _, n in got]), buckets)
+        out = _counts_table(rows)
         _bytes.release()
         return out
 
     return run
 
 
-def _numbered(frequent: DataFrame, scratch: Scratch) -> DataFrame:
-    """frequent with id: dense numbers, by counting rows per part."""
-    d = scratch.cut(frequent.withColumn("at", F.monotonically_increasing_id()), "words").withColumn("part", F.shiftright("at", 33))
-    parts = d.groupBy("part").agg(F.count(F.lit(1)).alias("c"))  # a row per task that wrote
-    parts = parts.withColumn("start", F.sum("c").over(Window.orderBy("part")) - F.col("c"))
-    if (parts.agg(F.max(F.col("start") + F.col("c"))).first()[0] or 0) >= 1 << 31:
-        raise ValueError("more than 2^31 frequent words: raise the least count")
-    return d.join(parts.drop("c"), "part").withColumn("id", F.col("start") + F.expr("at & 8589934591L")).drop("part", "at", "start")
+def _longer_of(longest: int, buckets: int):
+    def run(seqs: pa.Table, told: pa.Table) -> pa.Table:
+        maps, rows = _maps(seqs, told), []
+        known = [_words_of(w, 2, size) for w, size in zip(told["words"].to_pylist(), told["size"].to_pylist()) if w is not None]
+        by_width: dict[int, list] = {}
+        for words, n in count_longer(maps, np.concatenate(known), longest) if maps and known else ():
+            by_width.setdefault(words.shape[1], []).append((words, n))
+        while by_width:
+            _, parts = by_width.popitem()
+            rows += _bucketed(seqs["shard"][0].as_py(), np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts]), buckets)
+        out = _counts_table(rows)
+        _bytes.release()
+        return out
+
+    return run
+
+
+def _summed(min_count: int, back: bool):
+    """Sums a bucket's counts over the shards.  The frequent phrases with their sums, as of shard -1; with back also each shard's own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        width = table["width"][0].as_py()
+        sizes, shards = table["size"].to_numpy(), table["shard"].to_numpy()
+        words = np.concatenate([_words_of(w, width, s) for w, s in zip(table["words"].to_pylist(), sizes.tolist())])
+        n = np.concatenate([_planes_back(x, s, np.uint32) for x, s in zip(table["ns"].to_pylist(), sizes.tolist())])
+        order = np.lexsort(words.T[::-1])
+        words = words[order]
+        head = np.ones(len(words), bool)
+        head[1:] = (words[1:] != words[:-1]).any(axis=1)
+        at = np.flatnonzero(head)
+        total = np.add.reduceat(n[order].astype(np.int64), at)
+        good = total >= min_count
+        rows = [(-1, int(table["bucket"][0].as_py()), width, int(good.sum()), _planes(np.ascontiguousarray(words[at[good]].T.ravel())), _planes(total[good]))]
+        if back:
+            of = np.repeat(np.arange(len(shards)), sizes)[order]
+            keep = good[np.cumsum(head) - 1]
+            of, words = of[keep], words[keep]
+            by = np.argsort(of, kind="stable")
+            of, words = of[by], words[by]
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+            rows += [(int(shards[of[i]]), 0, width, j - i, _planes(np.ascontiguousarray(words[i:j].T.ravel())), None) for i, j in zip(cuts, cuts[1:])]
+        out = _counts_table(rows)
+        _bytes.release()
+        return out
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(phrase, f) rows of packed sums: a phrase is its words' numbers, 4 bytes each."""
+    for batch in batches:
+        for width, size, words, ns in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if size:
+                off = np.arange(0, 4 * width * (size + 1), 4 * width, dtype=np.int32)
+                keys = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(_words_of(words, width, size)).astype(">i4").tobytes())])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(_planes_back(ns, size, np.int64))], ["phrase", "f"])
+
+
+def _known(spelled: DataFrame, min_count: int, scratch: Scratch) -> DataFrame:
+    """shard, no, lang, word, f and id of the shards' frequent words; id is dense: a word's rank in its part, the parts interleaved."""
+    d = spelled.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "word"))).filter(F.col("f") >= min_count)
+    d = scratch.cut(d.select("shard", "no", "lang", "word", "f", F.spark_partition_id().alias("part")), "frequent")
+    parts, = d.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()
+    d = d.withColumn("id", (F.dense_rank().over(Window.partitionBy("part").orderBy("lang", "word")) - 1).cast("long") * parts + F.col("part"))
+    d = scratch.cut(d.drop("part"), "known")
+    if (d.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("too many frequent words: raise the least count")
+    scratch.drop("frequent")
+    return d
 
 
 def phrase_counts(spark: SparkSession, docs: DataFrame, scratch: Scratch, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -262,20 +360,23 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, scratch: Scratch, lang_c
     index = scratch.cut(read.mapInArrow(_sharded(shard), _INDEX), "shards")
     spelled, seqs = index.filter("word is not null"), index.filter("word is null").select("shard", "seq")
     totals = spelled.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = _numbered(spelled.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), scratch)
-    words = scratch.cut(words.join(totals, "lang"), "numbered")
-
-    told = scratch.cut(spelled.select("shard", "lang", "word", "no").join(words.select("lang", "word", F.col("id").alias("value")), ["lang", "word"]).select("shard", "no", "value"), "known")
-    pairs = seqs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_pairs_of, "shard long, pair long, n long")
-    pairs = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("pair"))).filter(F.col("f") >= min_count)
-    pairs = scratch.cut(pairs.select("shard", "pair", "f"), "pairs")
-
-    both = told.unionByName(pairs.select("shard", F.lit(-1).alias("no"), F.col("pair").alias("value")))
-    longer = seqs.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(_longer_of(longest), "phrase binary, n long")
-    longer = longer.groupBy("phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    known = _known(spelled, min_count, scratch)
+    words = scratch.cut(known.select("id", "lang", "word", "f").distinct().join(totals, "lang"), "words")
+    told = known.select("shard", "no", F.col("id").alias("value"))
+
+    # as many buckets as leave each some millions of counts at most
+    buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET
+    pairs = seqs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_pairs_of(buckets), _COUNTS)
+    pairs = scratch.cut(pairs.groupBy("bucket").applyInArrow(_summed(min_count, True), _COUNTS), "pairs")
+
+    nothing = F.lit(None)
+    both = told.withColumns({"size": nothing.cast("long"), "words": nothing.cast("binary")})
+    both = both.unionByName(pairs.filter("shard >= 0").select("shard", nothing.cast("int").alias("no"), nothing.cast("long").alias("value"), "size", "words"))
+    longer = seqs.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(_longer_of(longest, buckets), _COUNTS)
+    longer = longer.groupBy("width", "bucket").applyInArrow(_summed(min_count, False), _COUNTS)
+    several = pairs.filter("shard < 0").unionByName(longer).select("width", "size", "words", "ns").mapInArrow(_spread, "phrase binary, f long")
     one = words.select(F.expr("unhex(lpad(hex(id), 8, '0'))").alias("phrase"), "f")
-    two = pairs.select(F.expr("unhex(lpad(hex(pair), 16, '0'))").alias("phrase"), "f").distinct()
-    return words, scratch.cut(one.unionByName(two).unionByName(longer), "phrases")
+    return words, scratch.cut(one.unionByName(several), "phrases")
 
 
 def _best(rows: DataFrame, order: list, top: int) -> DataFrame:

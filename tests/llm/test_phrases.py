@@ -80,14 +80,18 @@ def test_scores_are_exact_where_products_pass_64_bits(spark):
 def test_a_shift_carries_over_blocks_and_not_over_pieces():
     seq = np.array([0] + [1, 2] * 9 + [0, 2, 1, 0], np.int32)
     maps = phrases.Bitmaps(seq, np.array([0, 1]), np.array([10, 20]))
-    assert {(int(p) >> 32, int(p) & 0xFFFFFFFF): int(n) for ps, ns in phrases.count_pairs(maps) for p, n in zip(ps, ns)} == {(10, 20): 9, (20, 10): 9}
-    assert np.array_equal(phrases._unpack(next(b for b in _packed(seq))), seq[: len(seq)])
-
-
-def _packed(seq):
-    import pyarrow as pa
-
-    yield len(seq).to_bytes(8, "little") + pa.compress(seq.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+    assert {tuple(w): n for words, ns in phrases.count_pairs(maps) for w, n in zip(words.tolist(), ns.tolist())} == {(10, 20): 9, (20, 10): 9}
+
+
+def test_packing_gives_back_what_it_took():
+    r = np.random.default_rng(1)
+    for size in (0, 1, 1000):
+        seq = r.integers(0, 1 << 20, size).astype(np.int32)
+        assert np.array_equal(phrases._unpack(size.to_bytes(8, "little") + phrases._planes(seq)), seq)
+        words, n = r.integers(0, 50, (size, 3)).astype(np.int32), r.integers(1, 9, size)
+        rows = phrases._bucketed(7, words, n, 5)
+        back = [(*w, int(x)) for s, _, width, size_, ws, ns in rows for w, x in zip(phrases._words_of(ws, width, size_).tolist(), phrases._planes_back(ns, size_, np.uint32))]
+        assert sorted(back) == sorted((*w, int(x)) for w, x in zip(words.tolist(), n)) and len({b for _, b, *_ in rows}) == len(rows)
 
 
 def test_phrases_of_nothing_and_of_clashing_columns(spark):
