@@ -355,3 +355,6 @@ def baseline_tokens(spark, d):
     return x.select("k", T.approx_tokens(report.baseline(F.lit("office"), "text", "markdown")).alias("from_output"))
 
 
+
+
+from docloom.plans import surfaces  # noqa: E402, F401  whichever of the three is imported first, as in a worker

@@ -26,3 +26,13 @@ def test_the_rest_works_without_the_llm_part(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries() if n[2:3].isdigit()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert out.stdout.strip().endswith("False"), out.stderr[-500:]
+
+
+def test_each_module_of_queries_can_be_imported_first():
+    """Workers import whichever module a function comes from."""
+    import subprocess
+    import sys
+
+    for name in ("catalogue", "conversions", "surfaces", "engine"):
+        code = f"import docloom.plans.{name}; from docloom.plans import catalogue; assert {{'files_written', 'office_files', 'facts'}} <= set(catalogue.QUERIES)"
+        assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0, name
