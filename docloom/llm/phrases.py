@@ -32,7 +32,7 @@ from ._scratch import Scratch
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: positions of a shard, and bytes of bitmaps that are extended at a time
-SHARD, BATCH = 1 << 22, 1 << 17
+SHARD, BATCH = 1 << 21, 1 << 17
 #: words of the corpus for each bucket in which counts of phrases are summed
 BUCKET = 1 << 21
 #: bytes of text that are cut into words at a time
