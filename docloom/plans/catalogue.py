@@ -28,6 +28,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys over all cores.  A compact file of many short rows is a split or two, too few tasks for work that is done row by row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # --- inputs ------------------------------------------------------------------------------------
 def threads(spark: SparkSession, d: str) -> DataFrame:
     """A Markdown thread per conversation; every fourth turn of every third one has chrome or nothing in it."""
@@ -354,7 +359,7 @@ _PROMPT = "pr AS (SELECT p_partkey AS doc_id, 'i need a report for ' || p_name |
 
 
 def part_prompts(spark, d):
-    return table(spark, d, "part").select(
+    return dealt(table(spark, d, "part"), "p_partkey").select(
         F.col("p_partkey").alias("doc_id"),
         F.concat(F.lit("i need a report for "), "p_name", F.lit(". it must include "), "p_brand", F.lit(". also make sure size "), F.col("p_size").cast("string"), F.lit(" is handled. and python 3.11 please. yeah, "), "p_type", F.lit(" matters most to the team in the north, whose numbers came late in every month of that year and who were told twice about the layout of the old sheet.")).alias("text"),
     )
