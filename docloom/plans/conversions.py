@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import constants as C, text as T
+from docloom.functions.rows import SLICE
 from docloom.operators import blocks, digest, prompts, report, store, tables
-from docloom.plans.catalogue import query, table
+from docloom.plans.catalogue import dealt, query, table
 from docloom.plans.engine import Engine
 from docloom.sources import delimited, html, pdf, pdf_layout
 
@@ -26,7 +27,7 @@ _G = f"g AS (SELECT p_partkey // {GROUP} AS k, p_partkey AS key, p_name AS name,
 def groups(spark: SparkSession, d: str) -> DataFrame:
     """k, n and r: the parts of each group, in order."""
     p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / GROUP).alias("k"), F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size")).alias("r"))
-    return p.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("r")).withColumn("n", F.size("r"))
+    return dealt(p, "k").groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("r")).withColumn("n", F.size("r"))
 
 
 def each(f) -> Column:
@@ -172,7 +173,7 @@ def made_files(spark, d, forms: list[str]) -> DataFrame:
     """path and content: the form of a group's file goes by its number."""
 
     def make(frames):
-        for f in frames:
+        for f in (g.iloc[i : i + SLICE] for g in frames for i in range(0, len(g), SLICE)):
             names = [f"in/{forms[k % len(forms)]}/g{k}.{forms[k % len(forms)]}" for k in f["k"]]
             yield pd.DataFrame({"path": names, "content": [_MAKE[forms[k % len(forms)]](int(k), [dict(key=x["key"], name=x["name"], size=x["size"]) for x in r]) for k, r in zip(f["k"], f["r"])]})
 

@@ -1,7 +1,12 @@
 """What a query does once per row, per task or per file, as its tables grow."""
 
+import pandas as pd
+import pyarrow as pa
+
+from docloom.functions import rows
 from docloom.operators import prompts
-from docloom.plans import catalogue
+from docloom.plans import catalogue, conversions
+from docloom.sources import html, pdf
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +24,33 @@ def test_a_prompt_is_laid_out_once(spark):
 
 def test_prompts_are_dealt_over_all_tasks(spark):
     assert catalogue.part_prompts(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_groups_are_dealt_over_all_tasks(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert conversions.groups(spark, SF).rdd.getNumPartitions() == n
+
+
+def test_results_of_a_batch_are_made_in_slices():
+    batch = pa.array(range(1000))
+    parts = list(rows._sliced(iter([batch, (batch, batch)]), lambda *x: sum(x), pa.int64()))
+    assert max(map(len, parts)) == rows.SLICE and [v for p in parts for v in p.to_pylist()] == [*range(1000), *range(0, 2000, 2)]
+
+
+def test_texts_are_converted_in_slices(spark):
+    pages = spark.createDataFrame([(i, None if i == 7 else f"<p>{i}</p>") for i in range(300)], "k long, html string").coalesce(1)
+    x = html.convert(pages)
+    assert "ArrowEvalPython" in plan(x) and "pandas" not in plan(x).lower()
+    assert [r.markdown for r in x.orderBy("k").collect()] == [None if i == 7 else str(i) for i in range(300)]
+
+
+def test_items_of_a_batch_of_files_come_in_parts(spark):
+    class Files:
+        schema = spark.range(0).selectExpr("cast(id as string) as path").schema
+        select = lambda self, *_: self
+        mapInPandas = lambda self, run, _: run  # noqa: E731, N815
+
+    file = conversions.pdf_file(1, [dict(key=i, name="a", size=i) for i in range(10)])
+    n = len(list(pdf.items(file)))
+    parts = list(pdf.read_items(Files())(iter([pd.DataFrame({"path": [str(i) for i in range(500)], "content": [file] * 500})])))
+    assert sum(map(len, parts)) == 500 * n and max(map(len, parts)) < 4096 + n
