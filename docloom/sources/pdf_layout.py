@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from statistics import median
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import constants as C
+from docloom.functions.rows import per_row
 from docloom.sources.html import markdown_table
 
 # Tolerances in points, or as a share of the font height.
@@ -169,13 +169,11 @@ def page_markdown(runs: list[dict]) -> str:
 
 
 def layout(page_items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc, page, markdown: one page per group, which is what bounds a group."""
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        md = page_markdown(f.sort_values("item_no")[["text", "x", "y", "width", "height"]].to_dict("records"))
-        return pd.DataFrame({id_col: [f[id_col].iloc[0]], "page": [f["page"].iloc[0]], "markdown": [md]})
-
-    return page_items.groupBy(id_col, "page").applyInPandas(one, f"{id_col} {page_items.schema[id_col].dataType.simpleString()}, page int, markdown string")
+    """doc, page, markdown: one page per group, which is what bounds a group.  A page is a row of runs, so that Python sees batches of pages."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    run = F.struct(F.col("item_no").isNull().alias("last"), "item_no", "text", *map(number, ("x", "y", "width", "height")))
+    pages = page_items.groupBy(id_col, F.col("page").cast("int").alias("page")).agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    return pages.select(id_col, "page", per_row(page_markdown, "string", F.col("runs")).alias("markdown"))
 
 
 def join_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:

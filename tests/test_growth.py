@@ -6,7 +6,7 @@ import pyarrow as pa
 from docloom.functions import rows
 from docloom.operators import prompts
 from docloom.plans import catalogue, conversions
-from docloom.sources import html, pdf
+from docloom.sources import html, pdf, pdf_layout
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,8 +26,9 @@ def test_prompts_are_dealt_over_all_tasks(spark):
     assert catalogue.part_prompts(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def test_groups_are_dealt_over_all_tasks(spark):
+def test_filler_and_groups_are_dealt_over_all_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert conversions.filler_paragraphs(spark, SF).rdd.getNumPartitions() == n
     assert conversions.groups(spark, SF).rdd.getNumPartitions() == n
 
 
@@ -54,3 +55,10 @@ def test_items_of_a_batch_of_files_come_in_parts(spark):
     n = len(list(pdf.items(file)))
     parts = list(pdf.read_items(Files())(iter([pd.DataFrame({"path": [str(i) for i in range(500)], "content": [file] * 500})])))
     assert sum(map(len, parts)) == 500 * n and max(map(len, parts)) < 4096 + n
+
+
+def test_pages_reach_python_as_rows_not_as_groups(spark):
+    items = spark.createDataFrame([("a", 1, 1, "two", 60.0, 700.0, 20.0, 10.0), ("a", 1, 0, "one", 10.0, 700.0, 20.0, 10.0), ("b", 2, 0, "x", 1.0, 1.0, 1.0, None)], "doc_id string, page int, item_no int, text string, x double, y double, width double, height double")
+    x = pdf_layout.layout(items)
+    assert "FlatMapGroups" not in plan(x)
+    assert [tuple(r) for r in x.orderBy("doc_id").collect()] == [("a", 1, "one two"), ("b", 2, "x")]
