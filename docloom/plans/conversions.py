@@ -248,7 +248,7 @@ def layout_hierarchy(spark, d):
 def filler_paragraphs(spark, d):
     """Greetings, hedges, repeats in other words' case, sentences within others, and thanks; all of it goes."""
     t = joined(["ok so, We need ", F.col("p_name"), " for the shop. honestly, we need ", F.upper("p_name"), " for the shop! It has size ", _s("p_size"), " and more. size ", _s("p_size"), ". did i mention it? Send it by noon. thanks!!\n\n\nThe brand is ", F.col("p_brand"), ". You know, the brand is ", F.col("p_brand"), ". Thanks"])
-    return prompts.strip_filler(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), t.alias("text"))).select("doc_id", "cleaned")
+    return prompts.strip_filler(dealt(table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), t.alias("text"))).select("doc_id", "cleaned")
 
 
 # --- the engine ----------------------------------------------------------------------------------------------
