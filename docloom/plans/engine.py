@@ -6,10 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import constants as C, text as T
+from docloom.functions.rows import per_row
 from docloom.functions.scratch import Scratch
 from docloom.operators import blocks, clean, compress as squeeze, outline as index, prompts, report, sniff, store
 from docloom.sources import delimited, external, html, ooxml, pdf, pdf_layout
@@ -30,11 +30,7 @@ def _convert(job: str | None, text: str | None) -> tuple[str | None, str | None]
 def _converted(job: Column, text: Column) -> Column:
     """struct(markdown, error) of each text, by its kind."""
 
-    @F.pandas_udf("markdown string, error string")
-    def run(jobs: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_convert(j, t) for j, t in zip(jobs, texts)], columns=["markdown", "error"])
-
-    return run(job, text)
+    return per_row(lambda j, t: dict(zip(("markdown", "error"), _convert(j, t))), "struct<markdown:string,error:string>", job, text)
 
 
 _ITEMS = "page int, item_no int, text string, x double, y double, width double, height double"
@@ -56,11 +52,8 @@ def _open(job: str | None, content: bytes | None) -> tuple[str | None, str | Non
 def _opened(job: Column, content: Column) -> Column:
     """struct(markdown, error, items) of each file, by its kind."""
 
-    @F.pandas_udf(f"markdown string, error string, items array<struct<{_ITEMS.replace(' ', ':').replace(',:', ',')}>>")
-    def run(jobs: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_open(j, c) for j, c in zip(jobs, contents)], columns=["markdown", "error", "items"])
-
-    return run(job, content)
+    made = f"struct<markdown:string,error:string,items:array<struct<{_ITEMS.replace(' ', ':').replace(',:', ',')}>>>"
+    return per_row(lambda j, c: dict(zip(("markdown", "error", "items"), _open(j, c))), made, job, content)
 
 
 @dataclass

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docloom.functions.rows import SLICE
+
 
 class Retryable(Exception):
     """A failure worth another attempt: 429, 5xx, network."""
@@ -139,7 +141,7 @@ def map_service(rows: DataFrame, call: Callable[[dict], str] | None, out_col: st
         from concurrent.futures import ThreadPoolExecutor
 
         with ThreadPoolExecutor(at_once) as pool:
-            for f in frames:
+            for f in (g.iloc[i : i + SLICE].copy() for g in frames for i in range(0, len(g), SLICE)):
                 out = list(pool.map(one, f.to_dict("records")))
                 f[out_col], f["error"] = [o[0] for o in out], [o[1] for o in out]
                 yield f[[*cols, out_col, "error"]]
