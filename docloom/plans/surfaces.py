@@ -91,11 +91,12 @@ def feed_days(spark, d):
 
 # --- streams ------------------------------------------------------------------------------------------
 def _streamed(spark, d, name: str, parts: int):
-    """A table as a stream: written in parts, a part per micro-batch."""
+    """A table as a stream: written in parts, a part per micro-batch.  A part is as many files as there are tasks for it."""
     path = shared_dir(spark)
     whole = table(spark, d, name)
-    whole.repartition(parts).write.parquet(path)
-    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
+    whole.repartition(parts * files).write.parquet(path)
+    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1")

@@ -4,8 +4,9 @@ import pandas as pd
 import pyarrow as pa
 
 from docloom.functions import rows
+from docloom.functions.scratch import shared_dir
 from docloom.operators import prompts
-from docloom.plans import catalogue, conversions
+from docloom.plans import catalogue, conversions, surfaces
 from docloom.sources import html, pdf, pdf_layout
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +63,10 @@ def test_pages_reach_python_as_rows_not_as_groups(spark):
     x = pdf_layout.layout(items)
     assert "FlatMapGroups" not in plan(x)
     assert [tuple(r) for r in x.orderBy("doc_id").collect()] == [("a", 1, "one two"), ("b", 2, "x")]
+
+
+def test_a_streamed_table_is_written_by_all_tasks(spark, monkeypatch):
+    path = []
+    monkeypatch.setattr(surfaces, "shared_dir", lambda s: path.append(shared_dir(s)) or path[0])
+    surfaces._streamed(spark, SF, "documents", 3)
+    assert len(spark.read.parquet(path[0]).inputFiles()) > 3
