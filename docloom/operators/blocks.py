@@ -23,11 +23,11 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     by = Window.partitionBy("doc_id").orderBy("line_no")
     so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
     x = lines(docs, id_col, text_col)
-    x = x.withColumn("start", F.coalesce(F.sum(T.utf16_length("line") + 1).over(before), F.lit(0)))
-    x = x.withColumn("fenced", F.sum(F.col("line").rlike(rf"\A{T.WS}*```").cast("int")).over(so_far) % 2 == 1)
+    fence = F.col("line").rlike(rf"\A{T.WS}*```").cast("int")
+    x = x.withColumns({"start": F.coalesce(F.sum(T.utf16_length("line") + 1).over(before), F.lit(0)), "fenced": F.sum(fence).over(so_far) % 2 == 1})
     x = x.withColumn("blank", ~F.col("fenced") & (T.js_trim("line") == "")).withColumn("head", ~F.col("fenced") & F.col("line").rlike(rf"\A{T.WS}*#{{1,6}}{T.WS}"))
-    x = x.withColumn("cut", (F.col("blank") | F.col("head") | F.coalesce(F.lag("head").over(by), F.lit(False))).cast("int"))
-    x = x.withColumn("block", F.sum("cut").over(so_far)).filter(~F.col("blank"))
+    # a block is known by the cuts up to it: blank lines, headings and the lines behind these
+    x = x.withColumn("block", F.sum((F.col("blank") | F.col("head")).cast("int")).over(so_far) + F.coalesce(F.sum(F.col("head").cast("int")).over(before), F.lit(0))).filter(~F.col("blank"))
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     b = x.groupBy("doc_id", "block").agg(F.first("source_id").alias("source_id"), F.min("start").alias("at"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("raw"))
     b = b.withColumn("markdown", T.js_trim("raw")).filter("markdown <> ''").withColumn("at", F.col("at") + F.length("raw") - F.length(T.js_trim_start("raw")))

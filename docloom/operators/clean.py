@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import constants as C, text as T
@@ -21,11 +24,12 @@ def is_link_list(md: Column | str) -> Column:
     return (F.size(items) >= 2) & F.forall(items, lambda x: x.rlike(BARE_LINK))
 
 
-def boilerplate_rule(kind: Column | str = "kind", md: Column | str = "markdown") -> Column:
-    """The name of the rule that a section falls under, or null."""
+def boilerplate_rule(kind: Column | str = "kind", md: Column | str = "markdown", low: Column | str | None = None) -> Column:
+    """The name of the rule that a section falls under, or null.  low: md in lower case, where it is at hand; patterns are then tried only where their words are."""
     kind, md = T.col(kind), T.col(md)
+    says = lambda *words: F.lit(True) if low is None else _has(T.col(low), *words)
     return (
-        F.when(kind.isin(*C.VERBATIM), F.lit(None)).when(md.rlike(SIGN_OFF), "sign-off").when(md.rlike(LEGAL), "legal-footer")
+        F.when(kind.isin(*C.VERBATIM), F.lit(None)).when(says("sent from my") & md.rlike(SIGN_OFF), "sign-off").when(says("confidential", "intended solely for the", "in error") & md.rlike(LEGAL), "legal-footer")
         .when((kind == "paragraph") & (F.length(md) < C.CHROME_CHARS) & md.rlike(NEWSLETTER), "newsletter")
         .when((kind == "paragraph") & (F.length(md) < C.COPYRIGHT_CHARS) & md.rlike(COPYRIGHT), "copyright")
         .when((kind == "list") & is_link_list(md), "link-list").when((kind == "figure") & md.rlike(AD_FIGURE), "ad-figure")
@@ -33,26 +37,36 @@ def boilerplate_rule(kind: Column | str = "kind", md: Column | str = "markdown")
     )
 
 
-def dedupe_key(md: Column | str) -> Column:
-    return T.collapse(F.regexp_replace(F.lower(T.col(md)), "[*_`~]", ""))
+#: whether dedupe_key leaves anything; where white space is but for these and for U+00A0 (patterns of one range are fast)
+HAS_KEY, UNEVEN = T.NOT_WS.replace("[^", "[^*_`~"), r"[^ -\x{167F}]"
+
+
+def _has(low: Column, *words: str) -> Column:
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+
+
+def dedupe_key(low: Column | str) -> Column:
+    """What sections are compared by, of their Markdown in lower case: no marks, white space collapsed.  Most have nothing to change."""
+    low = T.col(low)
+    changed = _has(low, "  ", "*", "_", "`", "~", "\u00a0") | low.rlike(UNEVEN)
+    return F.when(changed, T.collapse(F.regexp_replace(low, "[*_`~]", ""))).otherwise(F.trim(low))
 
 
 def strip(secs: DataFrame) -> DataFrame:
     """secs with removed_by: a boilerplate rule, `duplicate`, `orphan-heading` or null for what stays."""
-    x = secs.withColumn("removed_by", boilerplate_rule())
-    key = dedupe_key("markdown")
-    x = x.withColumn("key", F.when(F.col("removed_by").isNull() & F.col("kind").isin(*C.REPEATABLE) & (key != ""), F.xxhash64(key)))
+    x = secs.withColumn("low", F.lower("markdown"))
+    x = x.withColumn("removed_by", boilerplate_rule(low="low"))
+    x = x.withColumn("key", F.when(F.col("removed_by").isNull() & F.col("kind").isin(*C.REPEATABLE) & F.col("low").rlike(HAS_KEY), F.xxhash64(dedupe_key("low"))))
     # rows without a key are numbered by their own index: each is its first
     same = Window.partitionBy("doc_id", "key", F.when(F.col("key").isNull(), F.col("idx"))).orderBy("idx")
     x = x.withColumn("removed_by", F.coalesce("removed_by", F.when(F.row_number().over(same) > 1, "duplicate")))
     live, heading = F.col("removed_by").isNull(), F.col("kind") == "heading"
-    doc = Window.partitionBy("doc_id")
-    x = x.withColumn("run", F.sum((live & ~heading).cast("int")).over(doc.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("runs", F.max("run").over(doc))
+    doc, content = Window.partitionBy("doc_id").orderBy("idx"), F.sum((live & ~heading).cast("int"))
+    x = x.withColumns({"run": content.over(doc.rowsBetween(Window.unboundedPreceding, 0)), "runs": content.over(doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     later = Window.partitionBy("doc_id", "run").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
     shallower = F.min(F.when(live & heading, F.col("level"))).over(later)
     orphan = live & heading & (F.coalesce(shallower <= F.col("level"), F.lit(False)) | ((F.col("run") == F.col("runs")) & (F.col("level") > 1)))
-    return x.withColumn("removed_by", F.coalesce("removed_by", F.when(orphan, "orphan-heading"))).drop("key", "run", "runs")
+    return x.withColumn("removed_by", F.coalesce("removed_by", F.when(orphan, "orphan-heading"))).drop("low", "key", "run", "runs")
 
 
 def strip_report(marked: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """What a query does once per row, per task or per file, as its tables grow."""
 
+import random
+import re
+
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from docloom.functions import rows
 from docloom.functions.scratch import shared_dir
-from docloom.operators import prompts
+from docloom.operators import blocks, clean, prompts
 from docloom.plans import catalogue, conversions, surfaces
 from docloom.sources import html, pdf, pdf_layout
 
@@ -70,3 +74,17 @@ def test_a_streamed_table_is_written_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(surfaces, "shared_dir", lambda s: path.append(shared_dir(s)) or path[0])
     surfaces._streamed(spark, SF, "documents", 3)
     assert len(spark.read.parquet(path[0]).inputFiles()) > 3
+
+
+def test_a_section_s_key_is_made_once(spark):
+    x = clean.strip(blocks.sections(spark.createDataFrame([(1, "a")], "doc_id long, text string")))
+    assert plan(x).count("lower(") == 1 and plan(x).count("Window [lag(") == 0
+
+
+def test_keys_of_sections_have_no_marks_and_white_space_collapsed(spark):
+    r, odd = random.Random(5), "\t    　﻿"
+    texts = ["".join(r.choice("aBÉß世😀.*_`~  " + odd) for _ in range(r.randint(0, 8))) for _ in range(3000)] + ["", "  ", "a b", "*", "\u0085x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "lower(t) low").select("t", clean.dedupe_key("low").alias("k"), F.col("low").rlike(clean.HAS_KEY).alias("has")).collect()
+    for x in got:
+        key = re.sub(f"[ {odd}]+", " ", re.sub("[*_`~]", "", x.t.lower())).strip(" ")
+        assert (x.k, x.has) == (key, key != ""), repr(x.t)
