@@ -1,11 +1,11 @@
-"""Python functions over rows whose results are much larger than a row."""
+"""How rows are dealt to tasks, and Python functions over rows whose results are much larger than a row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
@@ -13,6 +13,11 @@ from pyspark.sql.types import DataType
 SLICE = 128
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys over all cores.  A compact file of many short rows is a split or two, too few tasks for work that is done row by row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _sliced(batches, f: Callable, kind: pa.DataType):
     for batch in batches:
         cols = batch if isinstance(batch, tuple) else (batch,)

@@ -69,12 +69,20 @@ def strip(secs: DataFrame) -> DataFrame:
     return x.withColumn("removed_by", F.coalesce("removed_by", F.when(orphan, "orphan-heading"))).drop("low", "key", "run", "runs")
 
 
+def _report() -> list[Column]:
+    gone = F.col("removed_by").isNotNull()
+    return [F.sum(gone.cast("int")).cast("bigint").alias("removed_sections"), F.sum(F.when(gone, F.col("tokens")).otherwise(0)).cast("bigint").alias("removed_tokens"), F.sum(F.when(gone, 0).otherwise(F.col("tokens"))).cast("bigint").alias("kept_tokens")]
+
+
 def strip_report(marked: DataFrame) -> DataFrame:
     """Removed sections and tokens of each document."""
-    gone = F.col("removed_by").isNotNull()
-    return marked.groupBy("doc_id").agg(
-        F.sum(gone.cast("int")).cast("bigint").alias("removed_sections"), F.sum(F.when(gone, F.col("tokens")).otherwise(0)).cast("bigint").alias("removed_tokens"), F.sum(F.when(gone, 0).otherwise(F.col("tokens"))).cast("bigint").alias("kept_tokens")
-    )
+    return marked.groupBy("doc_id").agg(*_report())
+
+
+def rendered(marked: DataFrame) -> DataFrame:
+    """The report of each document with its markdown, made of what stays; the sections are read once for both."""
+    stays = F.array_sort(F.collect_list(F.when(F.col("removed_by").isNull(), F.struct("idx", "markdown"))))
+    return marked.groupBy("doc_id").agg(F.array_join(F.transform(stays, lambda p: p["markdown"]), "\n\n").alias("markdown"), *_report())
 
 
 def kept(marked: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docloom.functions import constants as C, text as T
+from docloom.functions.rows import dealt
 from docloom.functions.scratch import shared_dir
 from docloom.operators import blocks, clean, compress, digest, outline, prompts, report, sniff, store, tables
 from docloom.sources import delimited, html, pdf_layout
@@ -28,11 +29,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows by keys over all cores.  A compact file of many short rows is a split or two, too few tasks for work that is done row by row."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 # --- inputs ------------------------------------------------------------------------------------
 def threads(spark: SparkSession, d: str) -> DataFrame:
     """A Markdown thread per conversation; every fourth turn of every third one has chrome or nothing in it."""

@@ -254,7 +254,7 @@ def filler_paragraphs(spark, d):
 # --- the engine ----------------------------------------------------------------------------------------------
 def mixed_texts(spark, d):
     named = lambda x, p: x.select(F.concat(F.lit(p), _s("k")).alias("doc_id"), "text")
-    mail = table(spark, d, "customer").select(F.concat(F.lit("mail-"), _s("c_custkey")).alias("doc_id"), F.concat(F.lit("From: "), "c_name", F.lit("\nSubject: order\n\n\nHello "), "c_name").alias("text"))
+    mail = dealt(table(spark, d, "customer"), "c_custkey").select(F.concat(F.lit("mail-"), _s("c_custkey")).alias("doc_id"), F.concat(F.lit("From: "), "c_name", F.lit("\nSubject: order\n\n\nHello "), "c_name").alias("text"))
     notes = groups(spark, d).select("k", joined(["# Parts ", _s("k"), "\n\n", each(lambda r: F.concat(r["name"], F.lit(" is a part that we have. Order it by number "), _s(r["key"]), F.lit(".\n\n"))), "Copyright 2024 us\n\n## Empty\n"]).alias("text"))
     return named(html_pages(spark, d), "html-").unionByName(named(plain_csv(spark, d), "csv-")).unionByName(named(json_texts(spark, d).filter("k % 3 < 2"), "json-")).unionByName(mail).unionByName(named(notes, "note-"))
 

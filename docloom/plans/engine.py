@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import constants as C, text as T
-from docloom.functions.rows import per_row
+from docloom.functions.rows import dealt, per_row
 from docloom.functions.scratch import Scratch
 from docloom.operators import blocks, clean, compress as squeeze, outline as index, prompts, report, sniff, store
 from docloom.sources import delimited, external, html, ooxml, pdf, pdf_layout
@@ -91,8 +91,7 @@ class Engine:
             x = laid.withColumn("converted", F.when(F.col("request"), F.col("laid")).otherwise(F.col("converted"))).drop("laid", "request")
         x = x.withColumns({"row": F.monotonically_increasing_id(), "input_tokens": T.approx_tokens("text").cast("bigint")})
         x = Scratch(self.spark).cut(x.select("row", "doc_id", "kind", "engine", "failed", "converted", "input_tokens"), "converted")
-        marked = clean.strip(blocks.sections(x, "row", "converted"))
-        md = blocks.render(clean.kept(marked)).join(clean.strip_report(marked), "doc_id", "right").withColumnRenamed("doc_id", "row")
+        md = clean.rendered(clean.strip(blocks.sections(dealt(x, "row"), "row", "converted"))).withColumnRenamed("doc_id", "row")
         out = x.drop("converted").join(md, "row", "left")
         out = out.withColumns({"markdown": F.coalesce("markdown", F.lit("")), "output_tokens": F.coalesce("kept_tokens", F.lit(0))})
         grew = F.when((F.col("output_tokens") > F.col("input_tokens")) & F.col("kind").isin("html", "csv", "json"), "grew")

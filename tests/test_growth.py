@@ -11,6 +11,7 @@ from docloom.functions import rows
 from docloom.functions.scratch import shared_dir
 from docloom.operators import blocks, clean, prompts
 from docloom.plans import catalogue, conversions, surfaces
+from docloom.plans.engine import Engine
 from docloom.sources import html, pdf, pdf_layout
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +77,13 @@ def test_a_streamed_table_is_written_by_all_tasks(spark, monkeypatch):
     assert len(spark.read.parquet(path[0]).inputFiles()) > 3
 
 
+def test_sections_of_converted_texts_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "# A\n\none\n\none\n\n## B\n"), (2, ""), (3, None)], "doc_id long, text string")
+    x = Engine(spark).convert_texts(docs, structure=False)
+    assert plan(x).count("posexplode") == 1
+    assert [(r.markdown, r.output_tokens) for r in x.orderBy("doc_id").collect()] == [("# A\n\none", 2), ("", 0), ("", 0)]
+
+
 def test_a_section_s_key_is_made_once(spark):
     x = clean.strip(blocks.sections(spark.createDataFrame([(1, "a")], "doc_id long, text string")))
     assert plan(x).count("lower(") == 1 and plan(x).count("Window [lag(") == 0
