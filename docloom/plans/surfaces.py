@@ -125,8 +125,8 @@ def stream_converted(spark, d):
     sink.register(spark)
     rows = F.concat(F.lit("key,size\n"), F.array_join(F.transform("r", lambda r: F.concat(_s(r["key"]), F.lit(","), _s(r["size"]))), "\n"), F.lit("\n"))
     groups(spark, d).select(F.concat(F.lit("n"), _s("k")).alias("out_name"), rows.alias("csv")).write.format("file_per_row").option("suffixes", "csv=.csv").mode("append").save(f"{root}/in")
-    q = watch.convert_stream(watch.watch(spark, f"{root}/in", "*.csv", 10_000), Engine(spark).convert_files, f"{root}/out", f"{root}/checkpoint")
-    q.awaitTermination()
+    with watch.small_files(spark):
+        watch.convert_stream(watch.watch(spark, f"{root}/in", "*.csv", 10_000), Engine(spark).convert_files, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out").select(sniff.basename("path").alias("file"), "markdown")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -19,6 +20,20 @@ def watch(spark: SparkSession, path: str, glob: str | None = None, max_files: in
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark lists a batch's files in as many tasks as there are cores, not in a task each, and reads hundreds of small ones in a task."""
+    own = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def latest(batch: DataFrame) -> DataFrame:
     """The last state of each path in a micro-batch: what a debounce lets through."""
     by = Window.partitionBy("path").orderBy(F.desc("modificationTime"))
@@ -79,10 +94,14 @@ def debounced(events: DataFrame, quiet_ms: int = 200, ttl_ms: int = 3_600_000) -
 
 
 def convert_stream(files: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, interval: str | None = None):
-    """Runs convert on each micro-batch's latest files and appends to out; a repeated batch overwrites its own part."""
+    """Runs convert on each micro-batch's latest files and appends to out; a repeated batch overwrites its own part.
+
+    A batch's files are dealt over all cores: by their size alone, small ones would be a task or two.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        convert(latest(df)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        dealt = df.repartition(df.sparkSession.sparkContext.defaultParallelism, "path")
+        convert(latest(dealt)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     w = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()

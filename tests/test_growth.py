@@ -13,6 +13,7 @@ from docloom.operators import blocks, clean, prompts
 from docloom.plans import catalogue, conversions, surfaces
 from docloom.plans.engine import Engine
 from docloom.sources import html, pdf, pdf_layout
+from docloom.streaming import watch
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +78,24 @@ def test_a_streamed_table_is_written_by_all_tasks(spark, monkeypatch):
     assert len(spark.read.parquet(path[0]).inputFiles()) > 3
 
 
+def test_a_stream_s_files_are_dealt_over_all_cores(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(20):
+        (tmp_path / "in" / f"{i}.csv").write_text(f"a\n{i}\n")
+    seen, key = [], "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+
+    def convert(files):
+        seen.append((files.rdd.getNumPartitions(), spark.conf.get(key)))
+        return files.select("path")
+
+    n = spark.sparkContext.defaultParallelism
+    with watch.small_files(spark):
+        watch.convert_stream(watch.watch(spark, str(tmp_path / "in")), convert, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert seen == [(n, str(n))] and spark.conf.get(key) == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
 def test_sections_of_converted_texts_are_made_once(spark):
     docs = spark.createDataFrame([(1, "# A\n\none\n\none\n\n## B\n"), (2, ""), (3, None)], "doc_id long, text string")
     x = Engine(spark).convert_texts(docs, structure=False)
