@@ -99,9 +99,9 @@ def _fates(own: Column, markdown: Column, spans: Column) -> Column:
 
 def eval_score(pairs: DataFrame, original: str = "text", output: str = "cleaned") -> DataFrame:
     """pairs with score: 0.6 facts kept, 0.2 size saved, 0.2 structure."""
-    own = facts(original)
-    kept = F.size(F.filter(own, lambda f: F.contains(F.col(output), f)))
-    fact = F.when(F.size(own) > 0, kept / F.size(own)).otherwise(F.lit(1.0))
+    kept = lambda own: F.size(F.filter(own, lambda f: F.contains(F.col(output), f)))
+    # a text is searched for its facts once, not anew for their number
+    fact = T.let(facts(original), lambda own: F.when(F.size(own) > 0, kept(own) / F.size(own)).otherwise(F.lit(1.0)))
     size = F.when(F.length(original) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.length(output) / F.length(original)))).otherwise(F.lit(0.0))
     shaped = F.col(output).rlike(r"(?m)^(?:#{1,6}\s|[-*+]\s|\|)").cast("double")
     return pairs.withColumns({"fact_score": fact, "size_score": size, "structure_score": shaped}).withColumn("score", 0.6 * F.col("fact_score") + 0.2 * F.col("size_score") + 0.2 * F.col("structure_score"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rows
 from docloom.functions.scratch import shared_dir
-from docloom.operators import blocks, clean, prompts
+from docloom.operators import blocks, clean, prompts, report
 from docloom.plans import catalogue, conversions, surfaces
 from docloom.plans.engine import Engine
 from docloom.sources import html, pdf, pdf_layout
@@ -115,3 +115,10 @@ def test_keys_of_sections_have_no_marks_and_white_space_collapsed(spark):
     for x in got:
         key = re.sub(f"[ {odd}]+", " ", re.sub("[*_`~]", "", x.t.lower())).strip(" ")
         assert (x.k, x.has) == (key, key != ""), repr(x.t)
+
+
+def test_a_text_is_searched_for_its_facts_once(spark):
+    rows = [(0, "ORD-1234 of 2024-01-02 costs $5", "- ORD-1234"), (1, "none", "none"), (2, "", ""), (3, None, "x"), (4, "7.5% 7.5%", None)]
+    x = report.eval_score(spark.createDataFrame(rows, "doc_id long, text string, cleaned string"))
+    assert plan(x.select("doc_id", "score")).count("regexp_extract_all") == len(report.FACTS)
+    assert [r.fact_score for r in x.orderBy("doc_id").collect()] == [1 / 3, 1.0, 1.0, 1.0, 0.0]
