@@ -243,6 +243,62 @@ def test_passages_with_many_changes_are_found(spark):
     assert got <= {x for every in pairs.values() for x in every}
 
 
+def test_short_passages_with_changes_within_are_found(spark):
+    """Words replaced, or taken out on one side and put in on the other; the first and last word are shared."""
+    r, rows = random.Random(18), []
+    least = {(45, 0.8, "sub"): 0.85, (45, 0.85, "sub"): 0.95, (55, 0.8, "sub"): 0.93, (45, 0.85, "in"): 0.8, (55, 0.85, "in"): 0.8, (55, 0.9, "in"): 0.95}
+    pairs = {k: [] for k in least}
+    for n, alike, how in least:
+        for _ in range(80):
+            p, k = words(r, n), int(n * (1 - alike) + 1e-9)
+            q = list(p)
+            for j in sorted(r.sample(range(1, n - 1), k), reverse=True):
+                q[j : j + 1] = ["new%d" % r.randint(0, 9999)] if how == "sub" else []
+            for _ in range(k if how == "in" else 0):
+                q.insert(r.randint(1, len(q) - 1), "new%d" % r.randint(0, 9999))
+            pairs[n, alike, how].append((len(rows) + 1, len(rows)))
+            rows += [(len(rows) + i, " ".join(words(r, 90) + w + words(r, 90))) for i, w in enumerate((p, q))]
+    got = substring_dedup.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.similarity >= 0.8 for x in got)
+    found = {(x.doc_id, x.source_doc_id) for x in got}
+    for k, every in pairs.items():
+        assert sum(x in found for x in every) >= least[k] * len(every), k
+    assert found <= {x for every in pairs.values() for x in every}
+
+
+def test_passages_in_slices_of_long_words_are_found(spark):
+    """A passage of 45 words that is longer than the slice about its chain."""
+    r, rows = random.Random(19), []
+    for _ in range(20):
+        p = ["%020d" % r.randint(0, 10**19) for _ in range(50)]
+        q = ["new" + w if i % 9 == 6 else w for i, w in enumerate(p)]
+        q[10:11], q[30:30] = [], ["put", "in"]
+        rows += [(len(rows) + i, " ".join(words(r, 90) + w + words(r, 90))) for i, w in enumerate((p, q))]
+    got = {(x.doc_id, x.source_doc_id) for x in substring_dedup.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(i + 1, i) for i in range(0, 40, 2)} and len(got) >= 18
+
+
+def test_passages_through_a_pair_of_words_agree_with_all_windows(monkeypatch):
+    r = random.Random(20)
+    monkeypatch.setattr(substring_dedup, "MIN_WORDS", 5)
+    monkeypatch.setattr(substring_dedup, "REACH", 8)
+    monkeypatch.setattr(substring_dedup, "END_GAP", 99)
+    lcs, cases = substring_dedup.common_length, []
+    for _ in range(150):
+        one, two = ([r.randint(0, 4) for _ in range(r.randint(1, 10))] for _ in range(2))
+        cases.append((one, two, r.randint(0, len(one)), r.randint(0, len(two))))
+    got = substring_dedup.through(*map(list, zip(*cases)))
+    for (w1, w2, i, j), x in zip(cases, got):
+        score = lambda a, b, c, d: 5 * (lcs(w1[a:i], w2[c:j]) + lcs(w1[i:b], w2[j:d])) - 2 * (b - a + d - c)
+        ends = lambda a, b, c, d: ((a, c) == (i, j) or (a < i and c < j and w1[a] == w2[c])) and ((b, d) == (i, j) or (b > i and d > j and w1[b - 1] == w2[d - 1]))
+        near = [(a, b, c, d) for a in range(max(0, i - 8), i + 1) for b in range(i, min(len(w1), i + 8) + 1) for c in range(max(0, j - 8), j + 1) for d in range(j, min(len(w2), j + 8) + 1)]
+        every = [score(*w) for w in near if ends(*w) and max(w[1] - w[0], w[3] - w[2]) >= 5]
+        best = max(every, default=-1)
+        assert (x is None) == (best < 0)
+        if x:
+            assert ends(*x) and max(x[1] - x[0], x[3] - x[2]) >= 5 and score(*x) == best
+
+
 def brute_passages(rows, least=51):
     """The words of later documents that lie in a run of `least` words which an earlier document has too."""
     seen, out = {}, {}
