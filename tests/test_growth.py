@@ -29,6 +29,21 @@ def test_a_prompt_is_laid_out_once(spark):
     assert [(r.laid, r.structured) for r in x.orderBy("doc_id").collect()][1:] == [(None, False), ("", False)]
 
 
+def test_only_sentences_with_digits_are_searched_for_constraints(spark):
+    r = random.Random(11)
+    parts = ["python", "Node", "go", ".net", "x.NET", "version ", "Version", " v", " ", "3", "3.11", "1.2.3", "only", " or later", "or newer", "_", "a", "٣", "\n", "didn't", "Did I mention", "did i say", "undid i say", "_did i say", " ", "?", " yes, "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 7))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    x = df.select("t", prompts.is_constraint(F.col("t")).alias("is"), F.regexp_replace("t", prompts.META_QUESTION, "").alias("left"))
+    assert ", [0-9]) AND RLIKE(" in plan(prompts.structure(df, "t", "laid"))
+    meta = re.compile(r"(?i)(?<![A-Za-z0-9_])did i (?:mention|say)(?![A-Za-z0-9_])[^.?!]*[?]\s*(?:yeah|yes|yep)?[,.]?\s*", re.ASCII)
+    constraint = re.compile(prompts.CONSTRAINT, re.ASCII)
+    got = x.collect()
+    assert {bool(v["is"]) for v in got} == {True, False} and any(v.left != v.t for v in got)
+    for v in got:
+        assert (v["is"], v.left) == (bool(constraint.search(v.t)), meta.sub("", v.t)), repr(v.t)
+
+
 def test_prompts_are_dealt_over_all_tasks(spark):
     assert catalogue.part_prompts(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
