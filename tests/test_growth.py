@@ -60,6 +60,13 @@ def test_results_of_a_batch_are_made_in_slices():
     assert max(map(len, parts)) == rows.SLICE and [v for p in parts for v in p.to_pylist()] == [*range(1000), *range(0, 2000, 2)]
 
 
+def test_slices_of_long_rows_are_shorter():
+    texts = ["x" * 100_000, None, "", "y" * 3_000_000] * 100
+    parts = list(rows._sliced(iter([pa.array(texts), (pa.array(texts), pa.array(texts))]), lambda *x: x[0], pa.string()))
+    assert [v for p in parts for v in p.to_pylist()] == texts * 2
+    assert max(p.nbytes for p in parts if len(p) > 1) <= rows.SLICE_BYTES
+
+
 def test_texts_are_converted_in_slices(spark):
     pages = spark.createDataFrame([(i, None if i == 7 else f"<p>{i}</p>") for i in range(300)], "k long, html string").coalesce(1)
     x = html.convert(pages)
